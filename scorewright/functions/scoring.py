@@ -18,12 +18,12 @@ WEIGHT_TOLERANCE = 0.001
 
 # Complexity grades, as (upper bound of the average, grade, label, score range).
 COMPLEXITY_GRADES = [
-    (5.0, "A", "simple", "80-100"),
-    (10.0, "B", "well structured", "60-80"),
-    (20.0, "C", "slightly complex", "40-60"),
-    (30.0, "D", "more complex", "20-40"),
-    (40.0, "E", "complex", "5-20"),
-    (float("inf"), "F", "unmaintainable", "0-5"),
+    (5.0, "A", "Simple", "80–100"),
+    (10.0, "B", "Moderate", "60–80"),
+    (20.0, "C", "Complex", "40–60"),
+    (30.0, "D", "High", "20–40"),
+    (40.0, "E", "Very High", "5–20"),
+    (float("inf"), "F", "Untestable", "0–5"),
 ]
 
 

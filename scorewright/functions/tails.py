@@ -8,6 +8,7 @@ batches over comparison rows, which are few, never over runs.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -50,6 +51,8 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, steps: int = 300
             d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
             c = 1.0 + num / np.where(np.abs(c) < tiny, tiny, c)
             h = h * c * d
+        if np.all(np.abs(c * d - 1.0) < 1e-15):
+            break
     return h
 
 
@@ -75,15 +78,14 @@ def t_sf_values(t, df) -> np.ndarray:
     return np.where(t >= 0, half, 1.0 - half)
 
 
-def t_ppf(p: float, df: float) -> float:
-    """Quantile by bisection on the upper tail."""
-    lo, hi = 0.0, 1e4
-    for _ in range(200):
+def t_ppf_values(p, df) -> np.ndarray:
+    """Quantiles above the median by bisection on the upper tail."""
+    p, df = np.broadcast_arrays(np.asarray(p, float), np.asarray(df, float))
+    lo, hi = np.zeros(p.shape), np.full(p.shape, 1e3)
+    for _ in range(70):
         mid = 0.5 * (lo + hi)
-        if float(t_sf_values(mid, df)) > 1.0 - p:
-            lo = mid
-        else:
-            hi = mid
+        above = t_sf_values(mid, df) > 1.0 - p
+        lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
     return 0.5 * (lo + hi)
 
 
@@ -98,9 +100,10 @@ def normal_ppf(p: float) -> float:
     return 0.5 * (lo + hi)
 
 
+@lru_cache
 def critical_table(confidence: float = 0.95) -> list[float]:
     """t critical values for 1..TABLE_DF degrees of freedom."""
-    return [t_ppf(0.5 + confidence / 2.0, df) for df in range(1, TABLE_DF + 1)]
+    return [float(x) for x in t_ppf_values(0.5 + confidence / 2.0, np.arange(1, TABLE_DF + 1))]
 
 
 def critical_terms(confidence: float = 0.95) -> list[float]:
@@ -152,20 +155,24 @@ def _noncentral_cdf(t: float, df: float, delta: float) -> float:
     return float(0.5 * (hi - lo) * np.sum(_NODE_WEIGHTS * density * phi))
 
 
-def power_value(d: float, n1: float, n2: float, alpha: float) -> float:
-    if n1 < 2 or n2 < 2 or abs(d) < 1e-10:
-        return alpha
-    df = n1 + n2 - 2.0
-    delta = abs(d) * math.sqrt(n1 * n2 / (n1 + n2))
-    crit = t_ppf(1.0 - alpha / 2.0, df)
-    power = 1.0 - _noncentral_cdf(crit, df, delta) + _noncentral_cdf(-crit, df, delta)
-    return min(1.0, max(0.0, power))
+def power_values(d, n1, n2, alpha) -> np.ndarray:
+    """Power of a two-sided two-sample t test; alpha where there is no effect or too little data."""
+    d, n1, n2, alpha = (np.asarray(x, float) for x in np.broadcast_arrays(d, n1, n2, alpha))
+    ok = (n1 >= 2) & (n2 >= 2) & (np.abs(d) >= 1e-10)
+    out = alpha.copy()
+    if not ok.any():
+        return out
+    df = n1[ok] + n2[ok] - 2.0
+    delta = np.abs(d[ok]) * np.sqrt(n1[ok] * n2[ok] / (n1[ok] + n2[ok]))
+    crit = t_ppf_values(1.0 - alpha[ok] / 2.0, df)
+    out[ok] = [1.0 - _noncentral_cdf(c, f, e) + _noncentral_cdf(-c, f, e) for c, f, e in zip(crit, df, delta)]
+    return np.clip(out, 0.0, 1.0)
 
 
 @F.pandas_udf(DoubleType())
 def post_hoc_power(d: pd.Series, n1: pd.Series, n2: pd.Series, alpha: pd.Series) -> pd.Series:
-    """Power of a two-sided two-sample t test at the observed effect."""
-    return pd.Series([power_value(*row) for row in zip(d, n1, n2, alpha)], index=d.index)
+    """`power_values` over comparison rows."""
+    return pd.Series(power_values(d, n1, n2, alpha), index=d.index)
 
 
 def u_distribution(m: int, n: int) -> np.ndarray:

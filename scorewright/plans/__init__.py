@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["scoring"]
+FAMILIES = ["scoring", "aggregating"]
 
 
 def _load() -> None:

@@ -82,7 +82,7 @@ class Tables:
 
     @property
     def pricing(self) -> DataFrame:
-        return self.spark.createDataFrame(PRICES, "model string, price_in double, price_out double")
+        return self.spark.sql(f"WITH {PRICES_CTE} SELECT * FROM pricing")
 
     @property
     def judgements(self) -> DataFrame:

@@ -51,8 +51,8 @@ def norm_complexity(t):
 @query("complexity_grade", f"""WITH {RUNS_CTE}
 SELECT CASE WHEN avg_complexity <= 5 THEN 'A' WHEN avg_complexity <= 10 THEN 'B' WHEN avg_complexity <= 20 THEN 'C'
             WHEN avg_complexity <= 30 THEN 'D' WHEN avg_complexity <= 40 THEN 'E' ELSE 'F' END AS grade,
-       CASE WHEN avg_complexity <= 5 THEN '80-100' WHEN avg_complexity <= 10 THEN '60-80' WHEN avg_complexity <= 20 THEN '40-60'
-            WHEN avg_complexity <= 30 THEN '20-40' WHEN avg_complexity <= 40 THEN '5-20' ELSE '0-5' END AS score_range,
+       CASE WHEN avg_complexity <= 5 THEN '80–100' WHEN avg_complexity <= 10 THEN '60–80' WHEN avg_complexity <= 20 THEN '40–60'
+            WHEN avg_complexity <= 30 THEN '20–40' WHEN avg_complexity <= 40 THEN '5–20' ELSE '0–5' END AS score_range,
        count(*) AS n, min(avg_complexity) AS lowest, max(avg_complexity) AS highest
 FROM runs GROUP BY 1, 2""")
 def complexity_grade(t):
