@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["scoring", "aggregating"]
+FAMILIES = ["scoring", "aggregating", "joining"]
 
 
 def _load() -> None:
