@@ -121,8 +121,10 @@ def mann_whitney(stats: DataFrame, alternative: str = "two-sided", method: str =
     if method == "asymptotic":
         return df.withColumn("p_value", approx).withColumn("test_used", F.lit("mann-whitney-u"))
     only = lambda c: F.when(F.col("p_method") == "exact", c)
-    p_exact = F.least(F.lit(1.0), tails.exact_u_sf(only(big), only(F.col("n_a")), only(F.col("n_b"))) * tails_n)
-    return (df.withColumn("_pe", p_exact).withColumn("p_value", F.coalesce("_pe", approx)).drop("_pe")
+    df = df.withColumn("_pe", tails.exact_u_sf(only(big), only(F.col("n_a")), only(F.col("n_b"))) * tails_n)
+    # least() skips nulls, so it must not see the groups that were not enumerated.
+    p = F.when(F.col("_pe").isNull(), approx).otherwise(F.least(F.lit(1.0), F.col("_pe")))
+    return (df.withColumn("p_value", p).drop("_pe")
             .withColumn("test_used", F.lit("mann-whitney-u")))
 
 
