@@ -25,3 +25,150 @@ def session_result(messages: DataFrame, key: str, order: str, role: str = "role"
     done = F.col("result_text").isNotNull()
     return g.withColumn("success", done).withColumn(
         "error", F.when(~done, "No result message received"))
+
+
+# Lint rules as (name, pattern that matches one bad line).
+LINE_RULES = [
+    ("long_line", r"(?m)^[^\n]{121,}$"),
+    ("trailing_space", r"(?m)[ \t]+$"),
+    ("tab_indent", r"(?m)^ *\t"),
+    ("repeated_mark", r"(?m)^[^\n]*[%*#!?]{3,}[^\n]*$"),
+]
+
+
+def loc(docs: DataFrame, text: str = "text") -> DataFrame:
+    return docs.withColumn("loc", tx.loc(text))
+
+
+def lint(docs: DataFrame, rules: list[tuple[str, str]] = LINE_RULES, text: str = "text",
+         keep: list[str] | None = None) -> DataFrame:
+    """Bad lines per document and rule, and the lint score of the document.
+
+    All rules are counted in one projection over the text; no line leaves its row.
+    """
+    keep = keep or [c for c in docs.columns if c != text]
+    hits = F.array(*[
+        F.struct(F.lit(name).alias("rule"), F.regexp_count(F.col(text), F.lit(pattern)).cast("bigint").alias("violations"))
+        for name, pattern in rules])
+    counted = docs.select(*keep, tx.loc(text).alias("loc"), hits.alias("_hits"))
+    errors = F.aggregate("_hits", F.lit(0).cast("bigint"), lambda a, h: a + h["violations"])
+    scored = counted.withColumn("lint_score", scoring.lint_score(errors, "loc"))
+    return scored.select(*keep, "loc", "lint_score", F.explode("_hits").alias("_h")).select(
+        *keep, "loc", "lint_score", "_h.rule", "_h.violations")
+
+
+def parse_judgements(df: DataFrame, text: str, expected: list[str]) -> DataFrame:
+    """Add the verdict on each response, and average and normalized score of the accepted ones."""
+    out = df.withColumn("verdict", tx.response_verdict(text, expected))
+    scores = F.transform(tx.response_evaluations(text), lambda e: e["score"].try_cast("double"))
+    out = out.withColumn("average", F.when(F.col("verdict") == "ok", scoring.judge_average_array(scores)))
+    return out.withColumn("normalized", scoring.judge_normalized("average"))
+
+
+def concat_files(files: Column | str) -> Column:
+    """One text from a map of files, sorted by name, each under a header line."""
+    entries = F.array_sort(F.map_entries(files))
+    return F.array_join(F.transform(
+        entries, lambda e: F.concat(F.lit("# --- "), e["key"], F.lit(" ---\n"), e["value"])), "\n\n")
+
+
+def _diff_batches(batches: Iterator[pd.DataFrame], a: str, b: str, label_a: str, label_b: str) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for left, right, na, nb in zip(pdf[a], pdf[b], pdf[label_a], pdf[label_b]):
+            text = list(difflib.unified_diff(left.splitlines(True), right.splitlines(True), str(na), str(nb), n=3))
+            body = [x for x in text if not x.startswith(("---", "+++", "@@"))]
+            signs = [x[:1] for x in body]
+            rows.append((signs.count("+"), signs.count("-"), signs.count(" "),
+                         "".join(text) or "no differences"))
+        out = pdf.drop(columns=[a, b])
+        out[["additions", "deletions", "unchanged", "diff"]] = pd.DataFrame(rows, index=out.index)
+        yield out
+
+
+def diff_pairs(pairs: DataFrame, a: str, b: str, label_a: str, label_b: str) -> DataFrame:
+    """Unified diff of two texts per row: added, deleted and unchanged lines within its hunks.
+
+    Rows stay where they are; the pairs are spread over tasks because texts differ in length.
+    """
+    rest = [f for f in pairs.schema.fields if f.name not in (a, b)]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
+    keys = [f.name for f in rest]
+    return pairs.repartition(*keys).mapInPandas(
+        lambda it: _diff_batches(it, a, b, label_a, label_b),
+        f"{schema}, additions bigint, deletions bigint, unchanged bigint, diff string")
+
+
+def line_set_diff(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """Lines gained, lost and kept as multisets: one aggregation over lines, no join of the two sides."""
+    def side(c: str, n: int) -> DataFrame:
+        return pairs.select(*keys, F.explode(tx.lines(c)).alias("line"), F.lit(n).alias("_a"), F.lit(1 - n).alias("_b"))
+
+    per_line = side(a, 1).unionByName(side(b, 0)).groupBy(*keys, "line").agg(
+        F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    return per_line.groupBy(*keys).agg(
+        F.sum(F.greatest(F.col("_b") - F.col("_a"), F.lit(0))).alias("additions"),
+        F.sum(F.greatest(F.col("_a") - F.col("_b"), F.lit(0))).alias("deletions"),
+        F.sum(F.least("_a", "_b")).alias("unchanged"))
+
+
+def test_failures(reports: DataFrame, report: str, keep: list[str]) -> DataFrame:
+    """One row per failed test of each report."""
+    return reports.select(*keep, F.explode(tx.failed_tests(report)).alias("_t")).select(*keep, "_t.name", "_t.error", "_t.detail")
+
+
+# Tiers of degraded copies: gold stays as it is.
+TIERS = ["gold", "mild", "severe"]
+DOCSTRING = r'(?m)^[ \t]*"""[^"]*"""[ \t]*\n'
+COMMENT = r"(?m)[ \t]*#[^\n]*$"
+RETURN_TYPE = r"[ ]*->[ ]*[A-Za-z_][A-Za-z0-9_.\[\], ]*:"
+ARGUMENT_TYPE = r"([A-Za-z_][A-Za-z0-9_]*):[ ]*(?:int|str|float|bool|list|dict)\b"
+LONG_NAME = r"\b([a-z])[a-z0-9]*_[a-z0-9_]*\b"
+
+
+def degrade(docs: DataFrame, text: str = "text", tiers: list[str] = TIERS) -> DataFrame:
+    """A copy of each text per tier: mild loses its docstrings, severe also comments, types and long names."""
+    mild = F.regexp_replace(text, DOCSTRING, "")
+    severe = F.regexp_replace(mild, COMMENT, "")
+    severe = F.regexp_replace(severe, RETURN_TYPE, ":")
+    severe = F.regexp_replace(severe, ARGUMENT_TYPE, "$1")
+    severe = F.regexp_replace(severe, LONG_NAME, "$1")
+    rest = [c for c in docs.columns if c != text]
+    copies = {"gold": F.col(text), "mild": mild, "severe": severe}
+    entries = F.array(*[F.struct(F.lit(t).alias("tier"), copies[t].alias(text)) for t in tiers])
+    return docs.select(*rest, F.explode(entries).alias("_e")).select(*rest, "_e.tier", f"_e.{text}")
+
+
+# Markers around filler text.
+PADDING_BEGIN = "--- BEGIN BACKGROUND CONTEXT (for reference only) ---\n"
+PADDING_END = "\n--- END BACKGROUND CONTEXT ---\n\n"
+MIN_PARAGRAPH = 40
+
+
+def filler(paragraphs: DataFrame, max_tokens: int, text: str = "text", seed: str = "42") -> DataFrame:
+    """One row with enough filler for `max_tokens`: paragraphs in an order fixed by their hash.
+
+    Only as many paragraphs are taken as can be needed, so the row is bounded by `max_tokens`; a short
+    table is repeated.
+    """
+    chars = max_tokens * tx.CHARS_PER_TOKEN
+    need = chars // (MIN_PARAGRAPH + 2) + 1
+    ordered = (paragraphs.where(F.length(text) >= MIN_PARAGRAPH)
+               .select(F.md5(F.concat(F.lit(seed), F.col(text))).alias("h"), F.col(text).alias("t")).distinct()
+               .orderBy("h").limit(need))
+    once = ordered.agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("h", "t"))), lambda e: e["t"]), "\n\n").alias("once"))
+    block = F.concat("once", F.lit("\n\n"))
+    times = F.ceil(F.lit(float(chars)) / F.length(block)).cast("int")
+    return once.select(F.left(F.repeat(block, times), F.lit(chars)).alias("filler"))
+
+
+def pad_prompts(prompts: DataFrame, tokens: str, text: str, paragraphs: DataFrame, max_tokens: int) -> DataFrame:
+    """Put about `tokens` tokens of filler before each prompt, cut at a word; 0 leaves it alone."""
+    block = filler(paragraphs, max_tokens)
+    chars = F.least(F.col(tokens), F.lit(max_tokens)) * tx.CHARS_PER_TOKEN
+    joined = prompts.withColumn("_one", F.lit(1)).join(F.broadcast(block.withColumn("_one", F.lit(1))), "_one")
+    cut = F.left(F.col("filler"), chars)
+    body = F.regexp_replace(cut, r" [^ ]*\z", "")
+    padded = F.concat(F.lit(PADDING_BEGIN), body, F.lit(PADDING_END), F.col(text))
+    return joined.withColumn(text, F.when(F.col(tokens) > 0, padded).otherwise(F.col(text))).drop("_one", "filler")

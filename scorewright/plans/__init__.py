@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["scoring", "aggregating", "joining", "ranking", "testing"]
+FAMILIES = ["scoring", "aggregating", "joining", "ranking", "testing", "text"]
 
 
 def _load() -> None:
