@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numeric import col
@@ -97,33 +97,38 @@ def judge_prompt(task: Column | str, code: Column | str, criteria: list[tuple[st
     return F.concat_ws("\n\n", *parts)
 
 
-def response_json(text: Column | str) -> Column:
-    """The JSON inside a judge response.
+def with_response_payload(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the JSON inside a judge response.
 
     An envelope gives its `structured_output`, else its `result` text; a text gives its fenced block,
-    else everything from the first brace to the last, else itself.
+    else everything from the first brace to the last, else itself. Each step is its own projection,
+    so that a costly value is computed once and then read as a column.
     """
-    raw = F.trim(col(text), F.lit(" \t\n\r"))
-    structured = F.get_json_object(raw, "$.structured_output")
-    result = F.get_json_object(raw, "$.result")
-    inner = F.when(F.try_parse_json(raw).isNotNull() & result.isNotNull(), result).otherwise(raw)
-    fenced = F.regexp_extract(inner, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    bare = F.regexp_extract(inner, r"(?s)\{.*\}", 0)
-    return (F.when(structured.startswith("{"), structured).when(fenced != "", fenced)
-            .when(bare != "", bare).otherwise(inner))
+    names = ["_raw", "_structured", "_result", "_inner", "_fenced", "_bare"]
+    df = df.withColumn("_raw", F.trim(col(text), F.lit(" \t\n\r")))
+    df = df.withColumns({"_structured": F.get_json_object("_raw", "$.structured_output"),
+                         "_result": F.get_json_object("_raw", "$.result")})
+    df = df.withColumn("_inner", F.coalesce("_result", "_raw"))
+    df = df.withColumns({"_fenced": F.regexp_extract("_inner", r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1),
+                         "_bare": F.regexp_extract("_inner", r"(?s)\{.*\}", 0)})
+    payload = (F.when(F.col("_structured").startswith("{"), F.col("_structured"))
+               .when(F.col("_fenced") != "", F.col("_fenced"))
+               .when(F.col("_bare") != "", F.col("_bare")).otherwise(F.col("_inner")))
+    return df.withColumn(out, payload).drop(*names)
 
 
 EVALUATIONS = "struct<evaluations:array<struct<criterion:string,score:string,reasoning:string>>>"
 
 
-def response_evaluations(text: Column | str) -> Column:
-    return F.from_json(response_json(text), EVALUATIONS)["evaluations"]
+def response_evaluations(payload: Column | str) -> Column:
+    """Evaluations of an extracted response payload."""
+    return F.from_json(col(payload), EVALUATIONS)["evaluations"]
 
 
-def response_verdict(text: Column | str, expected: list[str]) -> Column:
+def response_verdict(text: Column | str, payload: Column | str, evaluations: Column | str,
+                     expected: list[str]) -> Column:
     """ok, or the first reason to reject the response."""
-    raw = F.trim(col(text), F.lit(" \t\n\r"))
-    ev = response_evaluations(text)
+    raw, ev = F.trim(col(text), F.lit(" \t\n\r")), col(evaluations)
     score = lambda e: e["score"].try_cast("int")
     names = F.transform(ev, lambda e: e["criterion"])
     wanted = F.array(*[F.lit(x) for x in expected])
@@ -131,7 +136,7 @@ def response_verdict(text: Column | str, expected: list[str]) -> Column:
     bad_score = F.exists(ev, lambda e: score(e).isNull() | ~score(e).between(1, 5))
     no_reason = F.exists(ev, lambda e: F.trim(e["reasoning"]) == "")
     return (F.when(raw.isNull() | (raw == ""), "empty_response")
-            .when(F.try_parse_json(response_json(text)).isNull(), "invalid_json")
+            .when(F.try_parse_json(col(payload)).isNull(), "invalid_json")
             .when(ev.isNull() | (F.size(ev) <= 0), "no_evaluations")
             .when(bad_entry, "invalid_entry").when(bad_score, "invalid_score")
             .when(no_reason, "empty_reasoning")

@@ -59,10 +59,12 @@ def lint(docs: DataFrame, rules: list[tuple[str, str]] = LINE_RULES, text: str =
 
 def parse_judgements(df: DataFrame, text: str, expected: list[str]) -> DataFrame:
     """Add the verdict on each response, and average and normalized score of the accepted ones."""
-    out = df.withColumn("verdict", tx.response_verdict(text, expected))
-    scores = F.transform(tx.response_evaluations(text), lambda e: e["score"].try_cast("double"))
+    out = tx.with_response_payload(df, text, "_payload")
+    out = out.withColumn("_ev", tx.response_evaluations("_payload"))
+    out = out.withColumn("verdict", tx.response_verdict(text, "_payload", "_ev", expected))
+    scores = F.transform("_ev", lambda e: e["score"].try_cast("double"))
     out = out.withColumn("average", F.when(F.col("verdict") == "ok", scoring.judge_average_array(scores)))
-    return out.withColumn("normalized", scoring.judge_normalized("average"))
+    return out.withColumn("normalized", scoring.judge_normalized("average")).drop("_payload", "_ev")
 
 
 def concat_files(files: Column | str) -> Column:
