@@ -103,9 +103,11 @@ def static_total(df: DataFrame, weights: DataFrame | None = None, on: str = "tas
 
 
 def judge_average(criteria: list[Column | str]) -> Column:
-    """Mean of the criteria that are present."""
-    arr = F.array_compact(F.array(*[col(c).cast("double") for c in criteria]))
-    return judge_average_array(arr)
+    """Mean of the criteria that are present, as plain arithmetic: no arrays, no lambdas."""
+    values = [col(c).cast("double") for c in criteria]
+    total = sum((F.coalesce(v, F.lit(0.0)) for v in values), F.lit(0.0))
+    n = sum((F.when(v.isNotNull(), 1).otherwise(0) for v in values), F.lit(0))
+    return F.when(n > 0, total / n)
 
 
 def judge_average_array(scores: Column | str) -> Column:

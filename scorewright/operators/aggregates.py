@@ -43,9 +43,9 @@ def failure_details(runs: DataFrame, by: list[str], success: str = "success", er
 
 def mean_ci(df: DataFrame, by: list[str], value: str, confidence: float = 0.95) -> DataFrame:
     """n, mean, stdev, Student-t interval, min and max. One value, or equal ones, give a point."""
-    g = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(value).alias("mean"), sample_std(value).alias("stdev"),
-        F.min(value).alias("min"), F.max(value).alias("max"))
+    g = df.groupBy(*by).agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), sample_std(value).alias("stdev"),
+        F.min(value).alias("min"), F.max(value).alias("max")).where("n > 0")
     return _interval(g, confidence)
 
 
@@ -57,7 +57,7 @@ def _interval(g: DataFrame, confidence: float) -> DataFrame:
 
 def value_counts(df: DataFrame, by: list[str], value: str, n: str = "n") -> DataFrame:
     """The raw values of each group as (value, count) rows: whole, yet bounded by distinct values."""
-    return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias(n))
+    return df.groupBy(*by, value).agg(F.count(value).alias(n)).where(F.col(n) > 0)
 
 
 def metric_panel(runs: DataFrame, by: list[str], metrics: list[str], confidence: float = 0.95) -> DataFrame:

@@ -177,10 +177,10 @@ def comparison_pairs(means: DataFrame, on: list[str], entity: str, dim: str = "d
 
 def comparison_document(means: DataFrame, on: list[str], entity: str, dim: str = "dimension", value: str = "mean") -> DataFrame:
     """One JSON per key: entity to dimension to score. Built from group means, so it stays small."""
-    inner = means.groupBy(*on, entity).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(dim, value)))).alias("_s"))
-    return inner.groupBy(*on).agg(
-        F.array_sort(F.collect_list(F.struct(entity, "_s"))).alias("_l")).select(
-        *on, F.to_json(F.map_from_entries("_l")).alias("scores"))
+    inner = means.groupBy(*on, entity).agg(F.array_sort(F.collect_list(F.struct(dim, value))).alias("_s"))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct(entity, "_s"))),
+                          lambda e: F.struct(e[entity], F.map_from_entries(e["_s"])))
+    return inner.groupBy(*on).agg(F.to_json(F.map_from_entries(entries)).alias("scores"))
 
 
 def comparison_rows(comparisons: DataFrame, entity: str) -> DataFrame:

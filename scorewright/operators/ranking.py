@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import col
+from ..session import pin
 from . import prefix
 
 
@@ -120,11 +121,19 @@ def benjamini_hochberg(df: DataFrame, p: str, part: list[str], out: str = "p_bh"
                        splits: list[float] | None = None) -> DataFrame:
     """Step-up false discovery rate.
 
-    Works on distinct p: tests with equal p share their largest rank, which is what the step-up
-    minimum gives them. With split points of -p, one family may exceed the memory of a task.
+    Tests with equal p share their largest rank, which is what the step-up minimum gives them. Windows
+    serve families of any usual size; with split points of -p a family may exceed one task.
     """
     family = part or ["_all"]
     df = df if part else df.withColumn("_all", F.lit(0))
+    if splits is None:
+        up = Window.partitionBy(*family).orderBy(p).rangeBetween(Window.unboundedPreceding, 0)
+        down = Window.partitionBy(*family).orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
+        whole = Window.partitionBy(*family)
+        adj = F.col(p) * F.count("*").over(whole) / F.count("*").over(up)
+        return df.withColumn("_adj", adj).withColumn(
+            out, F.least(F.lit(1.0), F.min("_adj").over(down))).drop("_adj", "_all")
+    df = pin(df, "tests")
     counts = df.groupBy(*family, p).agg(F.count("*").alias("_n")).withColumn("_neg_p", -F.col(p))
     ranked = prefix.running(counts, family, ["_neg_p"], {"_from_top": F.col("_n")}, splits)
     ranked = ranked.join(df.groupBy(*family).agg(F.count("*").alias("_m")), family)

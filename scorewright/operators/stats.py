@@ -8,11 +8,12 @@ without such a bound pass `splits` and the running sums are spread over ranges o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, tails
 from ..functions.numeric import ratio
+from ..session import pin
 from . import joins, prefix
 
 # The exact distribution of U is enumerated up to this product of group sizes.
@@ -23,8 +24,13 @@ TINY = 1e-10
 
 
 def histogram(df: DataFrame, keys: list[str], value: str = "score") -> DataFrame:
-    return (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value"))
-            .agg(F.count("*").alias("n")))
+    """Distinct values of each group with their counts.
+
+    Nulls are dropped by their count after the aggregation: a filter on a computed score would be
+    pushed down to the scan and compute the score a second time.
+    """
+    return (df.groupBy(*keys, F.col(value).alias("value")).agg(F.count(value).alias("n"))
+            .where(F.col("n") > 0))
 
 
 def moments(hist: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,6 +61,41 @@ def against(hist: DataFrame, part: list[str], entity: str, baseline: str) -> Dat
         others.select(*part, entity, "value", zero.alias("n_a"), F.col("n").alias("n_b")))
 
 
+def versus(hist: DataFrame, part: list[str], entity: str, baseline: str,
+           splits: list[float] | None = None) -> DataFrame:
+    """`two_sample` of the baseline (side a) and every other entity (side b) of the same part.
+
+    U counts, for each score of side b, the baseline scores above it and half of those equal to it, so
+    it needs only the running count of the baseline beside each row of the histogram. All windows
+    share one sort of the part, nothing is joined and the runs are read once.
+    """
+    keys = [*part, entity]
+    if splits is not None:
+        return two_sample(against(hist, part, entity, baseline), keys, splits)
+    is_base = F.col(entity) == baseline
+    n, v = F.col("n").cast("double"), F.col("value")
+    whole = Window.partitionBy(*part)
+    up_to = Window.partitionBy(*part).orderBy("value").rangeBetween(Window.unboundedPreceding, 0)
+    equal = Window.partitionBy(*part, "value")
+    base = lambda c: F.when(is_base, c)
+    cubes = lambda c: c * c * c - c
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    rows = hist.withColumns({
+        "_le": zero(F.sum(base(n)).over(up_to)), "_eq": zero(F.sum(base(n)).over(equal)),
+        "_na": F.sum(base(F.col("n"))).over(whole), "_sa": F.sum(base(n * v)).over(whole),
+        "_qa": F.sum(base(n * v * v)).over(whole), "min_a": F.min(base(v)).over(whole),
+        "max_a": F.max(base(v)).over(whole), "_ta": F.sum(base(cubes(n))).over(whole)})
+    rows = rows.where(~is_base & F.col("_na").isNotNull())
+    same = lambda c: F.first(c).alias(c)
+    g = rows.groupBy(*keys).agg(
+        F.first("_na").alias("n_a"), F.sum("n").alias("n_b"),
+        F.sum(n * (F.col("_na") - F.col("_le") + F.col("_eq") / 2.0)).alias("u"),
+        (F.first("_ta") + F.sum(cubes(n + F.col("_eq")) - cubes(F.col("_eq")))).alias("_ties"),
+        same("_sa"), same("_qa"), same("min_a"), same("max_a"),
+        F.sum(n * v).alias("_sb"), F.sum(n * v * v).alias("_qb"), F.min(v).alias("min_b"), F.max(v).alias("max_b"))
+    return _summary(g, keys)
+
+
 def all_pairs(hist: DataFrame, on: list[str], entity: str) -> DataFrame:
     """Pair every two entities of the same keys (side a is the smaller name)."""
     names = hist.select(*on, entity).distinct()
@@ -81,6 +122,10 @@ def two_sample(paired: DataFrame, keys: list[str], splits: list[float] | None =
         F.sum(t * t * t - t).alias("_ties"),
         F.sum(a * v).alias("_sa"), F.sum(a * v * v).alias("_qa"), F.min(on_a).alias("min_a"), F.max(on_a).alias("max_a"),
         F.sum(b * v).alias("_sb"), F.sum(b * v * v).alias("_qb"), F.min(on_b).alias("min_b"), F.max(on_b).alias("max_b"))
+    return _summary(g, keys)
+
+
+def _summary(g: DataFrame, keys: list[str]) -> DataFrame:
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     total = na + nb
     u_var = na * nb / 12.0 * ((total + 1.0) - F.coalesce(
@@ -193,7 +238,7 @@ def detect_regressions(run_scores: DataFrame, entity: str, baseline: str, on: li
                        method: str = "exact", splits: list[float] | None = None) -> DataFrame:
     """Every entity against the baseline: flagged when significantly and clearly worse; others are kept."""
     hist = histogram(run_scores, [*on, entity], value)
-    stats = two_sample(against(hist, on, entity, baseline), [*on, entity], splits)
+    stats = versus(hist, on, entity, baseline, splits)
     stats = stats.where((F.col("n_a") >= minimum) & (F.col("n_b") >= minimum))
     tested = mann_whitney(stats, "greater", method)
     delta = joins.delta_pct("mean_b", "mean_a")
@@ -211,7 +256,7 @@ def variant_table(runs: DataFrame, entity: str, control: str, value: str, part:
     """
     hist = histogram(runs, [*part, entity], value)
     keys = [*part, entity]
-    stats = two_sample(against(hist, part, entity, control), keys, splits).where(F.col("n_a") > 0)
+    stats = versus(hist, part, entity, control, splits)
     rows = mann_whitney(stats, "two-sided", method)
     enough = (F.col("n_a") >= 2) & (F.col("n_b") >= 2)
     neutral = lambda c, other: F.when(enough, c).otherwise(F.lit(other))
@@ -228,7 +273,8 @@ def variant_table(runs: DataFrame, entity: str, control: str, value: str, part:
                                      F.col("n_variant").cast("double"), F.lit(alpha))
         rows = rows.withColumn("power", F.when(F.col("_enough"), power).otherwise(F.lit(0.0)))
     from .ranking import bonferroni
-    rows = bonferroni(rows, "p_value", part, "adjusted_p_value")
+    family = F.count("*").over(Window.partitionBy(*part)) if part else None
+    rows = bonferroni(rows, "p_value", part, "adjusted_p_value", family)
     return rows.drop("_enough").withColumns({
         "effect_label": labels.effect_label("effect_size"),
         "is_significant": F.col("p_value") < alpha,
@@ -243,7 +289,7 @@ def compare_run_sets(run_scores: DataFrame, entity: str, keys: list[str], dim: s
     The nominal number is pairs of run sets times keys found in at least two of them times dimensions,
     whether or not each of those tests could be made.
     """
-    hist = histogram(run_scores, [*keys, dim, entity], value)
+    hist = pin(histogram(run_scores, [*keys, dim, entity], value), "histogram")
     sides = [*keys, dim, f"{entity}_a", f"{entity}_b"]
     stats = two_sample(all_pairs(hist, [*keys, dim], entity), sides, splits)
     stats = stats.where((F.col("n_a") >= minimum) & (F.col("n_b") >= minimum))

@@ -49,7 +49,7 @@ _SIDES = LONG_CTE + f""", names AS (SELECT DISTINCT profile FROM run_scores WHER
 SELECT task, dimension, profile, n_a, n_b, u, {rnd('z', 4)} AS z, {rnd('p', 5)} AS p_value FROM tested""")
 def mann_whitney(t):
     hist = stats.histogram(t.run_scores, ["task", "dimension", "profile"])
-    pairs = stats.two_sample(stats.against(hist, ["task", "dimension"], "profile", BASELINE), ["task", "dimension", "profile"])
+    pairs = stats.versus(hist, ["task", "dimension"], "profile", BASELINE)
     return stats.mann_whitney(pairs, "two-sided", "asymptotic").select(
         "task", "dimension", "profile", "n_a", "n_b", "u", r("z"), r("p_value", 5))
 
@@ -69,7 +69,7 @@ def mann_whitney_unbounded(t):
 
 def _two(t):
     hist = stats.histogram(t.run_scores, ["task", "dimension", "profile"])
-    return stats.two_sample(stats.against(hist, ["task", "dimension"], "profile", BASELINE), ["task", "dimension", "profile"])
+    return stats.versus(hist, ["task", "dimension"], "profile", BASELINE)
 
 
 _AGG2 = LONG_CTE + f""", g AS (SELECT task, dimension, profile, count(*) AS n, avg(score) AS m, var_samp(score) AS v FROM run_scores GROUP BY 1, 2, 3),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "scorewright", cores: str | int = "*", **conf: str) -> SparkSession:
@@ -48,3 +48,14 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def pin(df: DataFrame, name: str = "pin") -> DataFrame:
+    """Write a small frame that is used several times and read it back.
+
+    Without it every use would run the scan below again, because the filters of each use are pushed
+    into its own copy of the plan. The table lies in the shared folder, so it outlives executors.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
