@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["scoring", "aggregating", "joining", "ranking", "testing", "text", "source", "report"]
+FAMILIES = ["scoring", "aggregating", "joining", "ranking", "testing", "text", "source", "report", "streaming"]
 
 
 def _load() -> None:
