@@ -152,39 +152,39 @@ def run_cost(input_tokens: Column | str, output_tokens: Column | str, price_in:
             + col(output_tokens) / F.lit(1e6) * col(price_out))
 
 
+NESTED_RECORD = ("composite STRUCT<composite: DOUBLE>, "
+                 "static STRUCT<test_pass_rate: DOUBLE, lint_score: DOUBLE, complexity_score: DOUBLE>, "
+                 "llm STRUCT<normalized: DOUBLE>")
+
+
+def _let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def flatten_scores(raw: Column | str) -> Column:
     """Score JSON, nested or flat, to one map of dimension to value.
 
-    A record whose `composite` is an object is nested; of any other object the numeric members are
-    taken as they are. Members that are not numbers (flags, texts, objects) are no dimensions.
+    A record whose `composite` is an object is nested; of any other object the members that read as
+    numbers are taken as they are. Flags, texts and objects are no dimensions, and neither are
+    values that are not finite.
     """
-    doc = F.try_parse_json(col(raw))
-
-    def number(path: str) -> Column:
-        return F.try_variant_get(doc, path, "double")
-
-    nested = F.map_from_entries(F.filter(
-        F.array(*[
-            F.struct(F.lit(name).alias("key"), number(path).alias("value"))
-            for name, path in [
-                ("composite", "$.composite.composite"),
-                ("test_pass_rate", "$.static.test_pass_rate"),
-                ("lint_score", "$.static.lint_score"),
-                ("complexity_score", "$.static.complexity_score"),
-                ("llm_quality", "$.llm.normalized"),
-            ]
-        ]),
-        lambda e: e["value"].isNotNull(),
-    ))
-    members = F.try_variant_get(doc, "$", "map<string,variant>")
-    flat = F.map_filter(
-        F.transform_values(members, lambda _, v: F.when(
-            F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))),
-        lambda _, v: v.isNotNull(),
-    )
-    is_nested = F.schema_of_variant(F.try_variant_get(doc, "$.composite", "variant")).startswith("OBJECT")
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
-    return finite_map(F.coalesce(F.when(is_nested, nested).otherwise(flat), empty))
+    def entries(*pairs) -> Column:
+        return F.array(*[F.struct(F.lit(k).alias("key"), finite(v).alias("value")) for k, v in pairs])
+
+    def nested(doc: Column) -> Column:
+        pairs = [("composite", doc["composite"]["composite"])]
+        pairs += [(d, doc["static"][d]) for d in STATIC_DIMENSIONS]
+        return entries(*pairs, ("llm_quality", doc["llm"]["normalized"]))
+
+    def flat(members: Column) -> Column:
+        return F.transform(F.map_entries(members), lambda e: F.struct(
+            e["key"].alias("key"), finite(e["value"].try_cast("double")).alias("value")))
+
+    found = _let(F.from_json(col(raw), "map<string,string>"), lambda m: F.when(
+        m["composite"].startswith("{"), _let(F.from_json(col(raw), NESTED_RECORD), nested)).otherwise(flat(m)))
+    none = F.array().cast("array<struct<key:string,value:double>>")
+    return F.map_from_entries(F.filter(F.coalesce(found, none), lambda e: e["value"].isNotNull()))
 
 
 def run_quality(scores: Column | str, policy: str = "mean_all") -> Column:

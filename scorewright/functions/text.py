@@ -152,8 +152,7 @@ def failed_tests(report: Column | str) -> Column:
 
     def failure(t: Column) -> Column:
         trace = F.coalesce(t["call"]["longrepr"], F.lit(""))
-        stripped = F.transform(lines(trace), lambda s: F.trim(s, F.lit(" \t")))
-        errors = F.filter(stripped, lambda s: s.startswith("E "))
+        errors = F.regexp_extract_all(trace, F.lit(r"(?m)^[ \t]*(E [ \t]*\S[^\r\n]*)"), F.lit(1))
         last = F.coalesce(F.try_element_at(errors, F.lit(-1)), F.lit(""))
         error = F.trim(F.substring(last, 3, 1_000_000), F.lit(" \t"))
         return F.struct(

@@ -97,6 +97,8 @@ def frontier(df: DataFrame, cost: str, quality: str, part: list[str] | None = No
     """
     part = part or []
     best = df.groupBy(*part, cost).agg(F.max(quality).alias("_best"))
+    if splits is not None:
+        best = pin(best, "frontier")
     front = prefix.running_max(best, part, cost, "_best", "_before", splits)
     front = front.where(F.col("_best") > F.coalesce("_before", F.lit(-1.0))).select(
         *part, cost, F.col("_best").alias(quality), F.lit(True).alias("on_frontier"))

@@ -214,7 +214,8 @@ def cohens_d(kind: str = "pooled") -> Column:
 def spearman(counts: DataFrame, part: list[str], x: str, y: str, n: str = "n",
              splits_x: list[float] | None = None, splits_y: list[float] | None = None) -> DataFrame:
     """Rank correlation from counts of (x, y) pairs; fewer than 3 points or no spread give 0."""
-    joint = counts.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*part, x, y).agg(F.sum(n).alias("_n"))
+    joint = counts.groupBy(*part, x, y).agg(F.sum(n).alias("_n"))
+    joint = pin(joint, "pairs").where(F.col(x).isNotNull() & F.col(y).isNotNull())
 
     def ranks(c: str, splits) -> DataFrame:
         single = joint.groupBy(*part, c).agg(F.sum("_n").alias("_m"))

@@ -217,7 +217,7 @@ def run_plan_summary(t):
 SELECT profile, task, {rnd("CASE WHEN avg(composite) = 0 THEN 0 ELSE stddev_samp(composite) / avg(composite) * 100 END", 1)} AS cv_pct
 FROM scored WHERE composite IS NOT NULL GROUP BY 1, 2""")
 def cv_pct(t):
-    return aggregates.cv_pct(t.scored.where("composite IS NOT NULL"), ["profile", "task"], "composite").select(
+    return aggregates.cv_pct(t.scored.where("success"), ["profile", "task"], "composite").select(
         "profile", "task", r("cv_pct", 1))
 
 

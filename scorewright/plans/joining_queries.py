@@ -61,7 +61,7 @@ def cross_variant_expand(t):
     scored = t.scored.where("run_set = 1995").withColumn("variant", F.concat(F.lit("v"), (F.col("k2") % 2).cast("string")))
     virtual = joins.expand_variants(scored)
     on = ["model", "profile", "task"]
-    g = virtual.where("composite IS NOT NULL").groupBy(*on, "run_set").agg(
+    g = virtual.where("success").groupBy(*on, "run_set").agg(
         F.avg("composite").alias("mean"), F.count("*").alias("n"))
     p = joins.pairwise(g, "run_set", on, ["mean", "n"])
     return p.select("run_set_a", "run_set_b", "profile", "model", "task", "n_a", "n_b",

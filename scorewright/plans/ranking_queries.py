@@ -123,7 +123,7 @@ def efficient_frontier(t):
 SELECT model, token_count, composite FROM f WHERE composite > coalesce(before, -1)""")
 def run_frontier(t):
     """Frontier over single runs: too many for one task per model, so the running maximum is split by token range."""
-    runs = t.scored.where("composite IS NOT NULL").select("model", "token_count", "composite")
+    runs = t.scored.where("success").select("model", "token_count", "composite")
     splits = prefix.range_splits(t.runs.select((F.col("input_tokens") + F.col("output_tokens")).alias("token_count")), "token_count")
     return ranking.frontier(runs, "token_count", "composite", ["model"], splits=splits).distinct()
 

@@ -146,7 +146,7 @@ def token_efficiency(t):
     empty = F.col("k2") == 7
     ctx = F.when(empty, 0).otherwise(F.col("input_tokens"))
     io = F.when(empty, 0).otherwise(F.col("output_tokens"))
-    return t.scored.where("composite IS NOT NULL").groupBy("profile").agg(
+    return t.scored.where("success").groupBy("profile").agg(
         F.count("*").alias("n"), F.sum(ctx + io).alias("total_tokens"),
         round_to(F.avg(scoring.points_per_1k("composite", ctx, io)), 4).alias("mean_points_per_1k"))
 
@@ -270,7 +270,8 @@ def flatten_scores(t):
     layout = (F.when(F.col("k2") == 1, "none").when(F.col("k2") == 2, "broken")
               .when(F.col("k2") % 2 == 0, "flat").otherwise("nested"))
     raw = (F.when(layout == "broken", F.lit('{"composite": 1')).when(layout == "flat", flat).when(layout == "nested", nested))
-    df = t.scored.where("success").select(layout.alias("layout"), scoring.flatten_scores(raw).alias("m"))
+    records = t.scored.where("success").select(layout.alias("layout"), raw.alias("raw"))
+    df = records.select("layout", scoring.flatten_scores("raw").alias("m"))
     return df.groupBy("layout").agg(
         F.count("*").alias("n"), round_to(F.sum(F.col("m")["composite"]), 2).alias("composite"),
         round_to(F.sum(F.col("m")["llm_quality"]), 2).alias("llm_quality"),

@@ -131,7 +131,7 @@ def spearman_sql(source: str, keys: str) -> str:
 @query("spearman", f"""WITH {SCORED_CTE}, s AS (SELECT model, profile, tests_passed AS x, composite AS y FROM scored WHERE composite IS NOT NULL), {spearman_sql('s', 'model, profile')}
 SELECT model, profile, n, {rnd('rho', 6)} AS rho FROM sp""")
 def spearman(t):
-    counts = t.scored.where("composite IS NOT NULL").groupBy("model", "profile", "tests_passed", "composite").agg(F.count("*").alias("n"))
+    counts = t.scored.where("success").groupBy("model", "profile", "tests_passed", "composite").agg(F.count("*").alias("n"))
     return stats.spearman(counts, ["model", "profile"], "tests_passed", "composite").select("model", "profile", "n", r("rho", 6))
 
 

@@ -48,13 +48,11 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 PARTITIONS = ["model", "profile", "task"]
 
 
-def write_runs(runs: DataFrame, path: str, files_per_partition: int = 8) -> None:
+def write_runs(runs: DataFrame, path: str) -> None:
     """Store runs under model/profile/task; a rewrite replaces only the partitions it holds.
 
-    Rows are spread by partition and a salt, so a hot partition is written by several tasks and a
-    small one is not split into one file per task.
+    The rows of a partition are brought together for few files; the rebalance splits a hot partition over
+    several tasks and joins small ones.
     """
-    salt = F.pmod(F.xxhash64(*[c for c in runs.columns if c not in PARTITIONS
-                               and not runs.schema[c].dataType.typeName() in ("map", "variant")]), F.lit(files_per_partition))
-    (runs.repartition(*PARTITIONS, salt).write.mode("overwrite")
+    (runs.hint("rebalance", *PARTITIONS).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path))
