@@ -10,8 +10,8 @@ from ..functions import text as tx
 
 def read_profiles(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
     """Profile texts, one file each; the slug is the file name without its ending."""
-    raw = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-           .option("pathGlobFilter", pattern).text(path))
+    raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+           .text(path, wholetext=True))
     slug = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
     return split_front_matter(raw.select(slug.alias("slug"), F.col("value").alias("text")), "text", "slug")
 
