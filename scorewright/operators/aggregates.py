@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.numeric import col, ratio
 from ..functions.tails import t_critical
+from ..session import pin
 from . import reshape
 
 
@@ -88,6 +89,7 @@ def grid_mean(runs: DataFrame, axes: list[str], dims: list[str], fill: float | N
     cells = reshape.agg_dims(runs, axes, dims, {"value": F.avg}).drop("n")
     if fill is None:
         return cells
+    cells = pin(cells, "grid")
     names = cells.agg(*[F.collect_set(a).alias(a) for a in axes])
     grid = names
     for a in axes:
@@ -158,11 +160,12 @@ def category_quality(runs: DataFrame, entity: str, task: str = "task", score: st
     """Mean quality per task category and entity, with the number of distinct tasks of the category."""
     cells = runs.withColumn("category", labels.task_category(task)).groupBy("category", entity, task).agg(
         F.sum(score).alias("_s"), F.count(score).alias("_n"))
-    tasks = cells.groupBy("category").agg(F.countDistinct(task).alias("task_count"))
+    # Task names of a category are few; gathering them spares a second pass for their number.
     means = cells.groupBy("category", entity).agg(
-        F.sum("_s").alias("_s"), F.sum("_n").alias("_n")).where("_n > 0").select(
-        "category", entity, (F.col("_s") / F.col("_n")).alias("quality"), F.col("_n").alias("n"))
-    return means.join(tasks, "category")
+        F.sum("_s").alias("_s"), F.sum("_n").alias("n"), F.collect_set(task).alias("_tasks"))
+    of_category = F.array_distinct(F.flatten(F.collect_list("_tasks").over(Window.partitionBy("category"))))
+    counted = means.withColumn("task_count", F.size(of_category).cast("bigint")).where("n > 0")
+    return counted.select("category", entity, (F.col("_s") / F.col("n")).alias("quality"), "n", "task_count")
 
 
 def with_cost(runs: DataFrame, pricing: DataFrame, default: tuple[float, float],

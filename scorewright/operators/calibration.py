@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import ratio
+from ..session import pin
 from . import joins, reshape, stats
 
 # Order of the quality tiers.
@@ -67,8 +67,7 @@ def inter_rater(judgements: DataFrame, score: str = "normalized", judge: str = "
     rho = stats.spearman(counts, [a, b], "m_a", "m_b").where("n >= 3")
     summary = rho.agg(F.avg("rho").alias("_r"), F.count("*").alias("pairs"))
     judges = means.agg(F.countDistinct(judge).alias("judges"))
-    both = summary.withColumn("_one", F.lit(1)).join(judges.withColumn("_one", F.lit(1)), "_one")
-    return both.select("judges", "pairs", F.when(F.col("judges") < 2, 1.0).otherwise(
+    return summary.withColumn("judges", judges.scalar()).select("judges", "pairs", F.when(F.col("judges") < 2, 1.0).otherwise(
         F.coalesce("_r", F.lit(0.0))).alias("agreement"))
 
 
@@ -84,18 +83,18 @@ def recommend(judgements: DataFrame, criteria: list[str], score: str = "normaliz
     failures = judgements.groupBy(judge).agg(
         F.count(score).alias("successful"), F.count_if(F.col(score).isNull()).alias("failed"))
     m = dis.join(det, judge, "left").join(corr, judge).join(failures, judge).fillna(
-        0.0, ["mean_variance", "pct_deterministic"]).withColumn("_one", F.lit(1))
-    best = m.groupBy("_one").agg(F.max("d").alias("_d"), F.max("pct_deterministic").alias("_p"),
-                                 F.max("mean_variance").alias("_v"))
-    m = m.join(F.broadcast(best), "_one")
+        0.0, ["mean_variance", "pct_deterministic"])
+    m = pin(m, "judges")
+    m = m.withColumns({"_d": m.agg(F.max("d")).scalar(), "_p": m.agg(F.max("pct_deterministic")).scalar(),
+                       "_v": m.agg(F.max("mean_variance")).scalar()})
     top = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(F.lit(1.0))
     w = RECOMMENDATION_WEIGHTS
     total = (w["discrimination"] * F.col("d") / top("_d") + w["determinism"] * F.col("pct_deterministic") / top("_p")
              + w["consistency"] * (1.0 - F.col("mean_variance") / top("_v")))
     m = m.withColumn("recommendation_score", total)
-    winner = m.groupBy("_one").agg(F.min_by(judge, F.struct(-F.round("recommendation_score", 9), F.col(judge))).alias("_w"))
-    m = m.join(F.broadcast(winner), "_one").withColumn("recommended", F.col(judge) == F.col("_w"))
+    winner = m.agg(F.min_by(judge, F.struct(-F.round("recommendation_score", 9), F.col(judge))))
+    m = m.withColumn("recommended", F.col(judge) == winner.scalar())
     reasoning = F.format_string(
         "%s scored highest overall (score=%.2f): discrimination=%.2f, determinism=%.0f%%, variance=%.3f",
         F.col(judge), F.col("recommendation_score"), F.col("d"), F.col("pct_deterministic"), F.col("mean_variance"))
-    return m.withColumn("reasoning", F.when(F.col("recommended"), reasoning)).drop("_one", "_d", "_p", "_v", "_w", "groups")
+    return m.withColumn("reasoning", F.when(F.col("recommended"), reasoning)).drop("_d", "_p", "_v", "groups")

@@ -169,8 +169,8 @@ def pad_prompts(prompts: DataFrame, tokens: str, text: str, paragraphs: DataFram
     """Put about `tokens` tokens of filler before each prompt, cut at a word; 0 leaves it alone."""
     block = filler(paragraphs, max_tokens)
     chars = F.least(F.col(tokens), F.lit(max_tokens)) * tx.CHARS_PER_TOKEN
-    joined = prompts.withColumn("_one", F.lit(1)).join(F.broadcast(block.withColumn("_one", F.lit(1))), "_one")
+    joined = prompts.withColumn("filler", block.scalar())
     cut = F.left(F.col("filler"), chars)
     body = F.regexp_replace(cut, r" [^ ]*\z", "")
     padded = F.concat(F.lit(PADDING_BEGIN), body, F.lit(PADDING_END), F.col(text))
-    return joined.withColumn(text, F.when(F.col(tokens) > 0, padded).otherwise(F.col(text))).drop("_one", "filler")
+    return joined.withColumn(text, F.when(F.col(tokens) > 0, padded).otherwise(F.col(text))).drop("filler")

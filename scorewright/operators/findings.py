@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..functions.numeric import ratio, round_to
+from ..functions.numeric import round_to
+from ..session import pin
 from . import aggregates, ranking, reshape
 
 
@@ -47,6 +48,7 @@ def _rows(df: DataFrame, by: list[str], findings: list[tuple[Column, Column]]) -
 def quality_findings(quality: DataFrame, by: list[str], entity: str, baseline=None, score: str = "quality",
                      tokens: str = "total_tokens") -> DataFrame:
     """Sentences on the best entity and its tier, the token winner, the spread, and who beats the baseline."""
+    quality = pin(quality, "quality")
     s = entry_summary(quality, entity, by, control=baseline, score=score, tokens=tokens)
     q = F.round(score, 9)
     control = F.max(F.when(F.col(entity) == baseline, q))
@@ -78,6 +80,7 @@ def quality_findings(quality: DataFrame, by: list[str], entity: str, baseline=No
 
 def regression_findings(regressions: DataFrame, entity: str, by: list[str]) -> DataFrame:
     """One line per flagged regression, and one with their number and the entities concerned."""
+    regressions = pin(regressions, "regressions")
     flagged = regressions.where("is_regression")
     line = F.format_string("%s on %s/%s: %+.1f%% (p=%.3f)", entity, "task", "dimension", F.col("delta_pct") * 100.0, "p_value")
     lines = flagged.select(*by, F.lit("regression").alias("kind"), F.col(entity).alias("subject"),
@@ -100,6 +103,7 @@ def experiment_findings(table: DataFrame, quality: DataFrame, by: list[str], ent
 
     `table` is the output of `variant_table`, `quality` has one row per variant, control included.
     """
+    quality, table = pin(quality, "quality"), pin(table, "variants")
     s = entry_summary(quality, entity, by, score=score, tokens=tokens)
     weak = ~F.col("is_significant") & (F.col("power") < 0.8) if "power" in table.columns else F.lit(False)
     counts = table.groupBy(*by).agg(F.count_if("is_significant").alias("_sig"), F.count_if(weak).alias("_weak"), F.count("*").alias("_rows"))
@@ -133,6 +137,7 @@ def token_findings(quality: DataFrame, by: list[str], entity: str, tokens: str =
 def comparison_findings(comparisons: DataFrame, quality: DataFrame, by: list[str], entity: str,
                         score: str = "quality", tokens: str = "total_tokens") -> DataFrame:
     """Sentences on a comparison of run sets: best, spread, significant differences per dimension, token use."""
+    quality, comparisons = pin(quality, "quality"), pin(comparisons, "comparisons")
     s = entry_summary(quality, entity, by, score=score, tokens=tokens)
     sums = comparisons.groupBy(*by).agg(F.count_if("is_significant").alias("_sig"))
     fmt = F.format_string
@@ -204,6 +209,7 @@ def report_metadata(runs: DataFrame, by: list[str], date: Column, planned: DataF
 
 def narrative(quality: DataFrame, categories: DataFrame, regressions: DataFrame, by: list[str], entity: str) -> DataFrame:
     """One compact JSON per report with qualities, tokens, winners, categories and flagged regressions."""
+    quality = pin(quality, "quality")
     s = entry_summary(quality, entity, by)
     q = quality.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(
         F.col(entity).alias("name"), round_to("quality", 2).alias("quality"), F.col("total_tokens").alias("tokens")))).alias("profiles"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
@@ -13,8 +13,13 @@ def vs_baseline(groups: DataFrame, entity: str, baseline: str, on: list[str], va
 
     `groups` are group results, one row per key and entity.
     """
-    base = groups.where(F.col(entity) == baseline).select(*on, *[F.col(v).alias(f"baseline_{v}") for v in values])
-    return groups.where(F.col(entity) != baseline).join(base, on)
+    same_keys = Window.partitionBy(*on)
+    is_base = F.col(entity) == baseline
+    # A window rather than a join: the filters of a join's two sides would each run their own scan.
+    return groups.withColumns({
+        "_has": F.max(is_base).over(same_keys),
+        **{f"baseline_{v}": F.max(F.when(is_base, F.col(v))).over(same_keys) for v in values},
+    }).where(~is_base & F.col("_has")).drop("_has")
 
 
 def pairwise(groups: DataFrame, entity: str, on: list[str], values: list[str]) -> DataFrame:
@@ -46,9 +51,8 @@ def intersect_all(runs: DataFrame, entity: str, keys: list[str]) -> DataFrame:
     pairs = runs.select(*keys, entity).distinct()
     counted = pairs.join(pairs.groupBy(*keys).agg(F.count("*").alias("_sets")), keys)
     total = pairs.select(entity).distinct().agg(F.count("*").alias("_all"))
-    per_set = counted.groupBy(entity, "_sets").agg(F.count("*").alias("_n")).withColumn("_one", F.lit(1))
-    joined = per_set.join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
-    return joined.groupBy(entity).agg(
+    per_set = counted.groupBy(entity, "_sets").agg(F.count("*").alias("_n"))
+    return per_set.withColumn("_all", total.scalar()).groupBy(entity).agg(
         F.sum("_n").alias("combinations"),
         F.coalesce(F.sum(F.when(F.col("_sets") == 1, F.col("_n"))), F.lit(0)).alias("unique_combinations"),
         F.coalesce(F.sum(F.when(F.col("_sets") == F.col("_all"), F.col("_n"))), F.lit(0)).alias("in_all_sets"))

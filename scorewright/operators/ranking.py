@@ -160,10 +160,11 @@ def assign_ids(new: DataFrame, existing: DataFrame, id_col: str, order: list[str
     number = F.regexp_extract(F.col(id_col), f"^{label}([0-9]+)$", 1).try_cast("bigint")
     last = existing.agg(F.coalesce(F.max(number), F.lit(0)).alias("_last"))
     numbered = prefix.row_numbers(new.withColumn("_all", F.lit(0)), ["_all"], order, "_rn", splits)
-    seq = F.col("_rn") + F.col("_last")
-    text = F.when(seq < 1000, F.lpad(seq.cast("string"), 3, "0")).otherwise(seq.cast("string"))
-    return (numbered.join(F.broadcast(last.withColumn("_all", F.lit(0))), "_all")
-            .withColumn(id_col, F.concat(F.lit(label), text)).drop("_all", "_rn", "_last"))
+    seq = F.col("_rn") + last.scalar()
+    digits = F.col("_seq").cast("string")
+    text = F.when(F.col("_seq") < 1000, F.lpad(digits, 3, "0")).otherwise(digits)
+    return (numbered.withColumn("_seq", seq).withColumn(id_col, F.concat(F.lit(label), text))
+            .drop("_all", "_rn", "_seq"))
 
 
 def weakest(parts: list[tuple[str, Column | str]]) -> Column:

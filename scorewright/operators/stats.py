@@ -54,8 +54,10 @@ def against(hist: DataFrame, part: list[str], entity: str, baseline: str) -> Dat
     """Pair the baseline (side a) with every other entity (side b) of the same part."""
     base = hist.where(F.col(entity) == baseline).select(*part, "value", F.col("n").alias("n_a"))
     others = hist.where(F.col(entity) != baseline)
-    names = others.select(*part, entity).distinct()
-    side_a = base.join(names, part) if part else base.join(F.broadcast(names))
+    if part:
+        side_a = base.join(others.select(*part, entity).distinct(), part)
+    else:
+        side_a = base.withColumn(entity, F.explode(others.agg(F.collect_set(entity)).scalar()))
     zero = F.lit(0).cast("bigint")
     return side_a.select(*part, entity, "value", "n_a", zero.alias("n_b")).unionByName(
         others.select(*part, entity, "value", zero.alias("n_a"), F.col("n").alias("n_b")))
@@ -222,8 +224,10 @@ def spearman(counts: DataFrame, part: list[str], x: str, y: str, n: str = "n",
         return prefix.mid_ranks(single, part, c, "_m", f"_r_{c}", splits).drop("_m")
 
     ranked = joint.join(ranks(x, splits_x), [*part, x]).join(ranks(y, splits_y), [*part, y])
-    sizes = joint.groupBy(*part).agg(F.sum("_n").alias("n"))
-    ranked = ranked.join(sizes, part) if part else ranked.join(F.broadcast(sizes))
+    if part:
+        ranked = ranked.join(joint.groupBy(*part).agg(F.sum("_n").alias("n")), part)
+    else:
+        ranked = ranked.withColumn("n", joint.agg(F.sum("_n")).scalar())
     mid = (F.col("n") + 1) / 2.0
     dx, dy = F.col(f"_r_{x}") - mid, F.col(f"_r_{y}") - mid
     w = F.col("_n").cast("double")
@@ -298,11 +302,8 @@ def compare_run_sets(run_scores: DataFrame, entity: str, keys: list[str], dim: s
 
     sets = hist.select(*keys, entity).distinct()
     shared = sets.groupBy(*keys).agg(F.count("*").alias("_c")).agg(F.count_if(F.col("_c") >= 2).alias("_keys"))
-    names = hist.agg(F.countDistinct(entity).alias("_e"), F.countDistinct(dim).alias("_d"))
-    one = F.lit(1).alias("_one")
-    nominal = shared.select("*", one).join(names.select("*", one), "_one").select(
-        "_one", (F.col("_e") * (F.col("_e") - 1) / 2 * F.col("_keys") * F.col("_d")).alias("n_comparisons"))
-    rows = tested.withColumn("_one", F.lit(1)).join(F.broadcast(nominal), "_one").drop("_one")
+    e, d = hist.agg(F.countDistinct(entity)).scalar(), hist.agg(F.countDistinct(dim)).scalar()
+    rows = tested.withColumn("n_comparisons", e * (e - 1) / 2 * shared.scalar() * d)
     rows = rows.withColumn("delta_pct", joins.delta_pct("mean_b", "mean_a")).withColumn("effect_size", cohens_d())
     rows = rows.withColumn("raw_p_value", F.col("p_value")).withColumn(
         "p_value", F.least(F.lit(1.0), F.col("p_value") * F.col("n_comparisons")))

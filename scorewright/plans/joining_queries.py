@@ -99,11 +99,11 @@ def experiment_expand(t):
     variants = t.part.select("p_brand").distinct().select(
         F.col("p_brand").alias("label"), F.when(num % 2 == 0, "think: ").alias("prompt_prefix"),
         F.when(num % 5 == 0, "pad ").alias("padding"), F.when(num % 3 == 0, 0.7).alias("temperature"),
-        F.when(num % 4 == 0, F.array(F.lit("O"))).alias("models"), F.lit(1).alias("_one"))
-    tasks = t.part.agg(F.collect_set(F.lower("p_type")).alias("tasks")).withColumn("_one", F.lit(1))
+        F.when(num % 4 == 0, F.array(F.lit("O"))).alias("models"))
+    tasks = t.part.agg(F.collect_set(F.lower("p_type")))
     defaults = {"models": F.array(F.lit("F"), F.lit("O"), F.lit("P")), "tasks": F.col("tasks"),
                 "profiles": F.array(F.lit("base")), "reps": F.lit(3), "temperature": F.lit(0.2)}
-    return joins.expand_experiment(variants.join(tasks, "_one"), defaults).select(
+    return joins.expand_experiment(variants.withColumn("tasks", tasks.scalar()), defaults).select(
         "variant_label", "model", "task", "run_number", "profile", "temperature", "prompt_prefix")
 
 

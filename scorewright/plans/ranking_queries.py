@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import round_to
 from ..operators import aggregates, prefix, ranking
+from ..session import pin
 from .aggregating_queries import r
 from .bindings import BASELINE, DIMS, LONG_CTE, QUALITY_CTE, RUNS_CTE, SCORED_CTE
 from .joining_queries import _BEST_CTE, best_runs
@@ -75,14 +76,13 @@ _MARGIN_COLS = f"profile AS winner, {rnd('v', 4)} AS winner_score, coalesce(ru,
 
 
 def _with_exception(margins, per_profile):
-    best = ranking.top_one(per_profile, "quality", "profile", ["profile"]).select(F.col("profile").alias("best"), F.lit(1).alias("_one"))
-    return margins.withColumn("_one", F.lit(1)).join(F.broadcast(best), "_one").withColumn(
-        "is_exception", F.col("winner") != F.col("best"))
+    best = ranking.top_one(per_profile, "quality", "profile", ["profile"])
+    return margins.withColumn("is_exception", F.col("winner") != best.scalar())
 
 
 def category_frame(t):
     """Per category and per profile from one pass over the runs."""
-    cells = aggregates.category_quality(t.quality, "profile")
+    cells = pin(aggregates.category_quality(t.quality, "profile"), "cells")
     per_profile = cells.groupBy("profile").agg((F.sum(F.col("quality") * F.col("n")) / F.sum("n")).alias("quality"))
     margins = ranking.winner_margin(cells, ["category"], "profile", "quality")
     tasks = cells.groupBy("category").agg(F.max("task_count").alias("task_count"))

@@ -185,3 +185,11 @@ def test_unknown_tiers_take_no_part(spark):
     row = calibration.discrimination(df, ["normalized"]).first()
     assert (row.gold_mean, row.severe_mean, row.d) == (90.0, 40.0, 10.0)
     assert calibration.inter_rater(df).first().agreement == 1.0
+
+
+def test_statistics_without_a_part(spark):
+    hist = stats.histogram(scores(spark, {"a": [1, 2, 3, 4], "b": [3, 4, 5], "c": [0, 9]}), ["g"])
+    plain = {r.g: (r.u, r.n_b) for r in stats.versus(hist, [], "g", "a").collect()}
+    assert plain == {"b": (2.0, 3), "c": (4.0, 2)}
+    df = spark.createDataFrame([(1, 2, 1), (2, 3, 1), (3, 9, 2)], "x int, y int, n int")
+    assert stats.spearman(df, [], "x", "y").first().rho == pytest.approx(1.0)
