@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, url_filter
+from . import chat_format, exact_dedup, mixing, packing, url_filter
 from .registry import ORACLES, QUERIES, query, table
 
 LOWER_SQL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -45,6 +46,38 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+MIX_WEIGHTS = [5.0, 2.0, 1.0]
+
+
+@query()
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(table(spark, sf_dir, "documents"), MIX_WEIGHTS).select(
+        "doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query("""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+         '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS line
+  FROM conversations),
+c AS (SELECT conv_id, list(line ORDER BY i) AS lines, count(*) AS n FROM t GROUP BY conv_id),
+p AS (SELECT DISTINCT lines[1:i] AS lines FROM c JOIN t USING (conv_id) WHERE i < n),
+d AS (SELECT min(conv_id) AS conv_id, n, lines, count(*) AS n_copies FROM c GROUP BY n, lines)
+SELECT conv_id, n AS n_turns, n_copies, CAST(0 AS BIGINT) AS part, array_to_string(lines, '') AS text
+FROM d ANTI JOIN p USING (lines)
+""")
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.render_chats(table(spark, sf_dir, "conversations"))
+
+
+TOKENIZER = {"path": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken")}
+
+
+@query()
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), **TOKENIZER)
+
+
 def all_queries():
     return dict(QUERIES)
 
