@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import pin
@@ -68,3 +68,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, mark: Column) -> DataFrame:
+    """The rows of `docs` whose (id, mark) is in `kept` (`_k_id` a struct of the id, `_k_mark`), one row of each.
+
+    Rows are matched by what they hold, not by their place in a scan, so a lost task can be run again anywhere.
+    The join and the numbering share one shuffle.
+    """
+    first = Window.partitionBy("_k_id", "_k_mark").orderBy(F.lit(1))
+    return (docs.withColumns({"_k_id": F.struct(F.col(id_col).alias("id")), "_k_mark": mark})
+            .join(kept, ["_k_id", "_k_mark"], "left_semi").withColumn("_k_n", F.row_number().over(first))
+            .where("_k_n = 1").drop("_k_id", "_k_mark", "_k_n"))

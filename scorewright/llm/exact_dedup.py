@@ -10,11 +10,11 @@ Everything is DataFrame operations.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import pin
-from .common import lower_ascii
+from .common import keep_rows, lower_ascii
 
 #: Lazily at least 512 characters up to a place after vowel, consonant and white space; else 4096 or the rest.
 CHUNK = r"(?s).{512,4096}?(?<=[aeiou][lnrst]\s)|.{1,4096}"
@@ -71,8 +71,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each group of equal texts, all columns as they are."""
     kept = (exact_groups(docs, id_col, text_col).where("kept")
-            .select(F.struct(id_col).alias("_k_id"), F.col("text_sha256").alias("_k_sha")))
-    keyed = docs.withColumns({"_k_id": F.struct(id_col), "_k_sha": F.sha2(normal(F.col(text_col)), 256)})
-    first = Window.partitionBy("_k_id", "_k_sha").orderBy(F.xxhash64(text_col))
-    return (keyed.join(kept, ["_k_id", "_k_sha"], "left_semi").withColumn("_n", F.row_number().over(first))
-            .where("_n = 1").drop("_k_id", "_k_sha", "_n"))
+            .select(F.struct(F.col(id_col).alias("id")).alias("_k_id"), F.col("text_sha256").alias("_k_mark")))
+    return keep_rows(docs, kept, id_col, F.sha2(normal(F.col(text_col)), 256))
