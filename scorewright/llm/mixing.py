@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..session import pin
 from .common import WORD
 
-#: Rows of a source that are sorted together; more rows give more ranges.
-RANGE_ROWS = 20_000
+#: Ranges that the whole table is sorted in, for each shuffle partition; a source has its share of them.
+RANGES = 4
 #: A source is passed through this often at most.
 MAX_EPOCHS = 2
 
@@ -50,7 +50,7 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, max_epo
 
 def mix_plan(docs: DataFrame, weights: list[float], share: float = 1.5, max_epochs: int = MAX_EPOCHS, seed: int = 0,
              id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-             range_rows: int = RANGE_ROWS) -> DataFrame:
+             ranges: int | None = None) -> DataFrame:
     """One row per document: id, source, text_hash, size, source_size, target, taken.
 
     `size` counts words, 0 for null or blank texts, which take nothing. A null source is a source of its own.
@@ -63,8 +63,10 @@ def mix_plan(docs: DataFrame, weights: list[float], share: float = 1.5, max_epoc
     rows = pin(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"),
                            F.xxhash64(F.col(text_col)).alias("text_hash"), key.alias("key")), "mix")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
-    targets = pin(source_targets(sizes, weights, share, max_epochs), "targets")
-    slices = F.ceil(F.col("_rows") / range_rows)
+    targets = pin(source_targets(sizes, weights, share, max_epochs)
+                  .withColumn("_all", F.sum("_rows").over(Window.partitionBy())), "targets")
+    ranges = ranges or RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = F.ceil(F.col("_rows") * ranges / F.col("_all"))
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
     place = F.floor((F.shiftrightunsigned("key", 11) / F.lit(float(1 << 53))) * slices)
     dealt = (rows.alias("r").join(targets.alias("t"), same("r", "t"))
