@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, exact_dedup, mixing, packing, simhash, substring_dedup, url_filter
+from . import chat_format, embedding_dedup, exact_dedup, mixing, packing, pii, simhash, substring_dedup, url_filter
 from .registry import ORACLES, QUERIES, query, table
 
 LOWER_SQL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -96,6 +96,14 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), **TOKENIZER)
 
 
+@query()
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.joined("base"), 256).alias("base_sha256"),
+                        pii.joined("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("bigint").alias("n_added"))
+
+
 def all_queries():
     return dict(QUERIES)
 
