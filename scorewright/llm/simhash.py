@@ -186,11 +186,10 @@ def links(values: DataFrame, radius: int = 2, paired: int = PAIRED) -> DataFrame
     # from the other meet.
     inner, outer = flips(list(range(BITS)), radius // 2), flips(list(range(BITS)), radius - radius // 2)
     near = F.posexplode(F.array(*[F.lit(m) for m in outer])).alias("i", "m")
-    ball = (many.select("part", "key", "fp", near)
-            .select("part", "key", "fp", F.col("fp").bitwiseXOR(F.col("m")).alias("value"), (F.col("i") < len(inner)).alias("core")))
-    hubs = ball.where("core").groupBy("part", "key", "value").agg(F.min("fp").alias("hub"))
-    spokes = (ball.join(hubs, ["part", "key", "value"]).where("fp <> hub")
-              .select(F.col("fp").alias("a"), F.col("hub").alias("b")))
+    ball = (many.select("fp").distinct().select("fp", near)
+            .select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("value"), (F.col("i") < len(inner)).alias("core")))
+    hubs = ball.where("core").groupBy("value").agg(F.min("fp").alias("hub"))
+    spokes = ball.join(hubs, "value").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
     return pairs.unionByName(spokes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
