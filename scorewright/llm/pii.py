@@ -352,7 +352,8 @@ def contexts_of(docs: DataFrame, text_col: str, texts: int = SAMPLE_TEXTS, width
     """Short stretches without seeds from about `texts` texts, chosen by hash; always with some plain ones of its own."""
     plain = ["", "call me at", "my mail is", "send it to", "the number"]
     mark = F.xxhash64(text_col)
-    n = docs.where(f"`{text_col}` IS NOT NULL").count()
+    docs = docs.where(F.col(text_col).isNotNull())
+    n = docs.count()
     share = int(min(1.0, texts / max(n, 1)) * (1 << 53))
     stretch = F.substr(text_col, F.pmod(mark, F.greatest(F.length(text_col) - 20 * width, F.lit(1))).cast("int") + 1, F.lit(20 * width))
     rows = (docs.where(F.shiftrightunsigned(mark, 11) < share).groupBy(mark.alias("mark"))
