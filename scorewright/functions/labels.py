@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import col
+from .numeric import col, round_to
 
 # Substrings that mark an error, matched in lower case.
 TRANSIENT_PATTERNS = [
@@ -123,8 +123,8 @@ def effect_label(d: Column | str) -> Column:
 
 
 def signed_pct(fraction: Column | str) -> Column:
-    """0.034 -> +3.4%."""
-    return F.format_string("%+.1f%%", col(fraction) * 100.0)
+    """0.034 -> +3.4%; rounded like every displayed number."""
+    return F.format_string("%+.1f%%", round_to(col(fraction) * 100.0, 1))
 
 
 def short_tokens(n: Column | str) -> Column:

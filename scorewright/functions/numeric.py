@@ -16,9 +16,10 @@ def col(c: Column | str) -> Column:
 
 
 def round_to(value: Column | str, digits: int) -> Column:
-    """Round half up, stable against the noise of floating sums."""
+    """Round half up, stable against the noise of floating sums; null for what is not finite."""
     scale = float(10**digits)
-    return F.floor(col(value).cast("double") * F.lit(scale) + F.lit(NUDGE)) / F.lit(scale)
+    raised = finite(value) * F.lit(scale) + F.lit(NUDGE)
+    return (raised - F.pmod(raised, F.lit(1.0))) / F.lit(scale)
 
 
 def finite(value: Column | str) -> Column:
@@ -27,6 +28,13 @@ def finite(value: Column | str) -> Column:
     return F.when(F.isnan(v) | (F.abs(v) == F.lit(float("inf"))), F.lit(None)).otherwise(v)
 
 
+def last_entries(entries: Column) -> Column:
+    """A map of (key, value) entries in which the last entry of a repeated key counts."""
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    return F.map_from_entries(F.transform(
+        keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)))
+
+
 def finite_map(scores: Column | str) -> Column:
     return F.transform_values(col(scores), lambda _, v: finite(v))
 

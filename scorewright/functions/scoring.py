@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .numeric import col, finite, finite_map, round_to
+from .numeric import col, finite, finite_map, last_entries, round_to
 
 # The score dimensions a nested score record is flattened to.
 STATIC_DIMENSIONS = ["test_pass_rate", "lint_score", "complexity_score"]
@@ -167,7 +167,7 @@ def flatten_scores(raw: Column | str) -> Column:
 
     A record whose `composite` is an object is nested; of any other object the members that read as
     numbers are taken as they are. Flags, texts and objects are no dimensions, and neither are
-    values that are not finite.
+    values that are not finite. Of a key that is there twice the last value counts.
     """
     def entries(*pairs) -> Column:
         return F.array(*[F.struct(F.lit(k).alias("key"), finite(v).alias("value")) for k, v in pairs])
@@ -181,7 +181,8 @@ def flatten_scores(raw: Column | str) -> Column:
         return F.transform(F.map_entries(members), lambda e: F.struct(
             e["key"].alias("key"), finite(e["value"].try_cast("double")).alias("value")))
 
-    found = _let(F.from_json(col(raw), "map<string,string>"), lambda m: F.when(
+    members = last_entries(F.map_entries(F.from_json(col(raw), "map<string,string>")))
+    found = _let(members, lambda m: F.when(
         m["composite"].startswith("{"), _let(F.from_json(col(raw), NESTED_RECORD), nested)).otherwise(flat(m)))
     none = F.array().cast("array<struct<key:string,value:double>>")
     return F.map_from_entries(F.filter(F.coalesce(found, none), lambda e: e["value"].isNotNull()))

@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .numeric import col
+from .numeric import col, last_entries
 
 # Fixed values.
 CHARS_PER_TOKEN = 4
-MAX_CODE_CHARS = 8000
 TRUNCATED_MARK = "\n[truncated]"
-MAX_ERROR_CHARS = 200
-MAX_DETAIL_CHARS = 2000
 
 
 def approx_tokens(text: Column | str) -> Column:
@@ -32,8 +29,11 @@ def loc(text: Column | str) -> Column:
                   ).cast("bigint")
 
 
-def truncate(text: Column | str, limit: int = MAX_CODE_CHARS) -> Column:
+def truncate(text: Column | str, limit: int | None = None) -> Column:
+    """The first `limit` characters with a mark behind them; the whole text without a limit or below it."""
     t = col(text)
+    if limit is None:
+        return t
     return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.left(t, F.lit(limit)), F.lit(TRUNCATED_MARK)))
 
 
@@ -46,12 +46,12 @@ def front_matter_block(text: Column | str) -> Column:
 
 
 def front_matter_map(text: Column | str) -> Column:
-    """`key: value` lines of the block as a map; quotes around values are removed."""
+    """`key: value` lines of the block as a map; quotes around values are removed and the last line of a key counts."""
     entries = F.filter(F.split(front_matter_block(text), "\n"), lambda s: s.rlike(r"^[A-Za-z_][\w-]*\s*:"))
     pairs = F.transform(entries, lambda s: F.struct(
         F.trim(F.split_part(s, F.lit(":"), F.lit(1))).alias("key"),
         F.regexp_replace(F.trim(F.regexp_replace(s, r"^[^:]*:", "")), "^[\"'](.*)[\"']$", "$1").alias("value")))
-    return F.map_from_entries(F.array_distinct(pairs))
+    return last_entries(pairs)
 
 
 def front_matter_body(text: Column | str) -> Column:
@@ -61,8 +61,8 @@ def front_matter_body(text: Column | str) -> Column:
 
 
 def pick_output(files: Column | str) -> Column:
-    """First Python file of an output map by name, else its first entry, else empty."""
-    entries = F.array_sort(F.map_entries(col(files)))
+    """First Python file of an output map in its own order, else its first entry, else empty."""
+    entries = F.map_entries(col(files))
     python = F.filter(entries, lambda e: e["key"].endswith(".py"))
     return F.coalesce(F.try_element_at(python, F.lit(1))["value"], F.try_element_at(entries, F.lit(1))["value"], F.lit(""))
 
@@ -86,9 +86,10 @@ OUTPUT_FORMAT = (
 
 
 def judge_prompt(task: Column | str, code: Column | str, criteria: list[tuple[str, str]],
-                 reference: Column | str | None = None) -> Column:
+                 reference: Column | str | None = None, limit: int | None = None) -> Column:
+    """The prompt for a judge; code and reference are cut at `limit` characters, if there is one."""
     def fenced(title: str, body: Column) -> Column:
-        return F.concat(F.lit(f"## {title}\n```python\n"), truncate(body), F.lit("\n```"))
+        return F.concat(F.lit(f"## {title}\n```python\n"), truncate(body, limit), F.lit("\n```"))
 
     parts = [F.concat(F.lit("## Task\n"), col(task)), fenced("Code to Evaluate", col(code))]
     if reference is not None:
@@ -125,11 +126,16 @@ def response_evaluations(payload: Column | str) -> Column:
     return F.from_json(col(payload), EVALUATIONS)["evaluations"]
 
 
+def whole_score(score: Column) -> Column:
+    """A score as a whole number: 4, 4.0 and 4.7 are 4."""
+    return score.try_cast("double").try_cast("int")
+
+
 def response_verdict(text: Column | str, payload: Column | str, evaluations: Column | str,
                      expected: list[str]) -> Column:
     """ok, or the first reason to reject the response."""
     raw, ev = F.trim(col(text), F.lit(" \t\n\r")), col(evaluations)
-    score = lambda e: e["score"].try_cast("int")
+    score = lambda e: whole_score(e["score"])
     names = F.transform(ev, lambda e: e["criterion"])
     wanted = F.array(*[F.lit(x) for x in expected])
     bad_entry = F.exists(ev, lambda e: e["criterion"].isNull() | e["score"].isNull() | e["reasoning"].isNull())
@@ -146,18 +152,21 @@ def response_verdict(text: Column | str, payload: Column | str, evaluations: Col
 TEST_REPORT = "struct<tests:array<struct<nodeid:string,outcome:string,call:struct<longrepr:string>>>>"
 
 
-def failed_tests(report: Column | str) -> Column:
-    """Failed tests of a report: short name, last error line and the start of the trace."""
+def failed_tests(report: Column | str, error_chars: int | None = None, detail_chars: int | None = None) -> Column:
+    """Failed tests of a report: short name, last error line and trace, cut at so many characters if given."""
+    def cut(c: Column, n: int | None) -> Column:
+        return c if n is None else F.left(c, F.lit(n))
+
     tests = F.filter(F.from_json(col(report), TEST_REPORT)["tests"], lambda t: t["outcome"] == "failed")
 
     def failure(t: Column) -> Column:
         trace = F.coalesce(t["call"]["longrepr"], F.lit(""))
         errors = F.regexp_extract_all(trace, F.lit(r"(?m)^[ \t]*(E [ \t]*\S[^\r\n]*)"), F.lit(1))
         last = F.coalesce(F.try_element_at(errors, F.lit(-1)), F.lit(""))
-        error = F.trim(F.substring(last, 3, 1_000_000), F.lit(" \t"))
+        error = F.trim(F.substr(last, F.lit(3)), F.lit(" \t"))
         return F.struct(
             F.substring_index(F.coalesce(t["nodeid"], F.lit("")), "::", -1).alias("name"),
-            F.left(error, F.lit(MAX_ERROR_CHARS)).alias("error"),
-            F.left(trace, F.lit(MAX_DETAIL_CHARS)).alias("detail"))
+            cut(error, error_chars).alias("error"),
+            cut(trace, detail_chars).alias("detail"))
 
     return F.transform(tests, failure)

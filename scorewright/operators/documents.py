@@ -62,7 +62,7 @@ def parse_judgements(df: DataFrame, text: str, expected: list[str]) -> DataFrame
     out = tx.with_response_payload(df, text, "_payload")
     out = out.withColumn("_ev", tx.response_evaluations("_payload"))
     out = out.withColumn("verdict", tx.response_verdict(text, "_payload", "_ev", expected))
-    scores = F.transform("_ev", lambda e: e["score"].try_cast("double"))
+    scores = F.transform("_ev", lambda e: tx.whole_score(e["score"]).cast("double"))
     out = out.withColumn("average", F.when(F.col("verdict") == "ok", scoring.judge_average_array(scores)))
     return out.withColumn("normalized", scoring.judge_normalized("average")).drop("_payload", "_ev")
 
@@ -114,63 +114,93 @@ def line_set_diff(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFram
         F.sum(F.least("_a", "_b")).alias("unchanged"))
 
 
-def test_failures(reports: DataFrame, report: str, keep: list[str]) -> DataFrame:
+def test_failures(reports: DataFrame, report: str, keep: list[str], error_chars: int | None = None,
+                  detail_chars: int | None = None) -> DataFrame:
     """One row per failed test of each report."""
-    return reports.select(*keep, F.explode(tx.failed_tests(report)).alias("_t")).select(*keep, "_t.name", "_t.error", "_t.detail")
+    return reports.select(*keep, F.explode(tx.failed_tests(report, error_chars, detail_chars)).alias("_t")).select(*keep, "_t.name", "_t.error", "_t.detail")
 
 
 # Tiers of degraded copies: gold stays as it is.
-TIERS = ["gold", "mild", "severe"]
-DOCSTRING = r'(?m)^[ \t]*"""[^"]*"""[ \t]*\n'
-COMMENT = r"(?m)[ \t]*#[^\n]*$"
+TIERS = ["gold", "mild", "severe", "broken"]
+DOCSTRING = r'(?m)^[ \t]*(?:"""[^"]*"""|\'\'\'[^\']*\'\'\')[ \t]*\n'
+# A string as it is, or a comment with the blanks before it.
+COMMENT = r"""("[^"\n]*"|'[^'\n]*')|[ \t]*#[^\n]*"""
 RETURN_TYPE = r"[ ]*->[ ]*[A-Za-z_][A-Za-z0-9_.\[\], ]*:"
 ARGUMENT_TYPE = r"([A-Za-z_][A-Za-z0-9_]*):[ ]*(?:int|str|float|bool|list|dict)\b"
-LONG_NAME = r"\b([a-z])[a-z0-9]*_[a-z0-9_]*\b"
+LONG_NAME = r"\b([a-z])[a-z0-9]*_([a-z0-9])[a-z0-9_]*\b"
+# One of these makes a text wrong: the first place of the pattern is changed.
+MISTAKES = [(r"(?s)\A(.*?)>=", "$1>"), (r"(?s)\A(.*?)\+ 1\b", "$1- 1"), (r"(?s)\A(.*?)return True\b", "$1return False")]
 
 
-def degrade(docs: DataFrame, text: str = "text", tiers: list[str] = TIERS) -> DataFrame:
-    """A copy of each text per tier: mild loses its docstrings, severe also comments, types and long names."""
-    mild = F.regexp_replace(text, DOCSTRING, "")
-    severe = F.regexp_replace(mild, COMMENT, "")
+def degrade(docs: DataFrame, text: str = "text", tiers: list[str] = TIERS, seed: str = "42") -> DataFrame:
+    """A copy of each text per tier.
+
+    Mild loses its docstrings, severe also comments, types and long names (which keep two letters). Broken is the text
+    with one logic mistake, chosen by a hash of seed and text among those that it has a place for; a text without any
+    stays as it is.
+    """
+    t = F.col(text)
+    mild = F.regexp_replace(t, DOCSTRING, "")
+    severe = F.regexp_replace(mild, COMMENT, "$1")
     severe = F.regexp_replace(severe, RETURN_TYPE, ":")
     severe = F.regexp_replace(severe, ARGUMENT_TYPE, "$1")
-    severe = F.regexp_replace(severe, LONG_NAME, "$1")
+    severe = F.regexp_replace(severe, LONG_NAME, "$1$2")
+    possible = F.filter(F.array(*[F.when(t.rlike(p), i) for i, (p, _) in enumerate(MISTAKES)]), lambda i: i.isNotNull())
+    draw = F.conv(F.left(F.md5(F.concat(F.lit(seed), t)), F.lit(8)), 16, 10).cast("bigint")
+    chosen = F.try_element_at(possible, (F.try_mod(draw, F.size(possible)) + 1).cast("int"))
+    broken = t
+    for i, (pattern, change) in enumerate(MISTAKES):
+        broken = F.when(chosen == i, F.regexp_replace(t, pattern, change)).otherwise(broken)
     rest = [c for c in docs.columns if c != text]
-    copies = {"gold": F.col(text), "mild": mild, "severe": severe}
-    entries = F.array(*[F.struct(F.lit(t).alias("tier"), copies[t].alias(text)) for t in tiers])
+    copies = {"gold": t, "mild": mild, "severe": severe, "broken": broken}
+    entries = F.array(*[F.struct(F.lit(name).alias("tier"), copies[name].alias(text)) for name in tiers])
     return docs.select(*rest, F.explode(entries).alias("_e")).select(*rest, "_e.tier", f"_e.{text}")
 
 
 # Markers around filler text.
 PADDING_BEGIN = "--- BEGIN BACKGROUND CONTEXT (for reference only) ---\n"
 PADDING_END = "\n--- END BACKGROUND CONTEXT ---\n\n"
-MIN_PARAGRAPH = 40
+STYLES = ["prose", "comments", "lorem", "mixed"]
+
+
+def styled(paragraphs: DataFrame, style: str, text: str = "text") -> DataFrame:
+    """Paragraphs as prose, as comment lines, with their words in alphabetical order, or all three beside each other."""
+    prose = F.col(text)
+    comments = F.concat(F.lit("# "), F.regexp_replace(prose, "\n", "\n# "))
+    lorem = F.array_join(F.array_sort(F.split(F.lower(prose), r"[ \n]+")), " ")
+    kinds = {"prose": [prose], "comments": [comments], "lorem": [lorem], "mixed": [prose, comments, lorem]}
+    if style not in kinds:
+        raise ValueError(f"unknown style {style!r}, must be one of {STYLES}")
+    return paragraphs.select(F.explode(F.array(*kinds[style])).alias(text))
 
 
-def filler(paragraphs: DataFrame, max_tokens: int, text: str = "text", seed: str = "42") -> DataFrame:
-    """One row with enough filler for `max_tokens`: paragraphs in an order fixed by their hash.
+def filler(paragraphs: DataFrame, chars: int, text: str = "text", seed: str = "42") -> DataFrame:
+    """One row with `chars` characters of filler: paragraphs in an order fixed by their hash, again and again.
 
-    Only as many paragraphs are taken as can be needed, so the row is bounded by `max_tokens`; a short
-    table is repeated.
+    Every paragraph that is not blank takes part. A paragraph brings three characters at least, one of its own and the
+    blank line after it, so the first `chars` / 3 + 1 of the order are as many as can be needed.
     """
-    chars = max_tokens * tx.CHARS_PER_TOKEN
-    need = chars // (MIN_PARAGRAPH + 2) + 1
-    ordered = (paragraphs.where(F.length(text) >= MIN_PARAGRAPH)
+    ordered = (paragraphs.where(F.trim(text, F.lit(" \t\n\r")) != "")
                .select(F.md5(F.concat(F.lit(seed), F.col(text))).alias("h"), F.col(text).alias("t")).distinct()
-               .orderBy("h").limit(need))
-    once = ordered.agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("h", "t"))), lambda e: e["t"]), "\n\n").alias("once"))
-    block = F.concat("once", F.lit("\n\n"))
-    times = F.ceil(F.lit(float(chars)) / F.length(block)).cast("int")
-    return once.select(F.left(F.repeat(block, times), F.lit(chars)).alias("filler"))
-
-
-def pad_prompts(prompts: DataFrame, tokens: str, text: str, paragraphs: DataFrame, max_tokens: int) -> DataFrame:
-    """Put about `tokens` tokens of filler before each prompt, cut at a word; 0 leaves it alone."""
-    block = filler(paragraphs, max_tokens)
-    chars = F.least(F.col(tokens), F.lit(max_tokens)) * tx.CHARS_PER_TOKEN
+               .orderBy("h").limit(chars // 3 + 1))
+    once = ordered.agg(F.concat(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("h", "t"))), lambda e: e["t"]), "\n\n"), F.lit("\n\n")).alias("once"))
+    once = once.withColumn("once", F.when(F.length("once") > 2, F.col("once")).otherwise(
+        F.raise_error(F.lit("there is no paragraph to pad with")).cast("string")))
+    times = F.ceil(F.lit(float(chars)) / F.length("once")).cast("int")
+    return once.select(F.left(F.repeat("once", times), F.lit(chars)).alias("filler"))
+
+
+def pad_prompts(prompts: DataFrame, tokens: str, text: str, paragraphs: DataFrame, style: str = "prose") -> DataFrame:
+    """Put `tokens` tokens of filler before each prompt, cut at a word; 0 leaves it alone.
+
+    The filler is as long as the longest request. Without any paragraph a request fails.
+    """
+    most = prompts.agg(F.max(tokens)).first()[0] or 0
+    if most <= 0:
+        return prompts
+    block = filler(styled(paragraphs, style), most * tx.CHARS_PER_TOKEN)
     joined = prompts.withColumn("filler", block.scalar())
-    cut = F.left(F.col("filler"), chars)
-    body = F.regexp_replace(cut, r" [^ ]*\z", "")
+    body = F.regexp_replace(F.left(F.col("filler"), F.col(tokens) * tx.CHARS_PER_TOKEN), r" [^ ]*\z", "")
     padded = F.concat(F.lit(PADDING_BEGIN), body, F.lit(PADDING_END), F.col(text))
     return joined.withColumn(text, F.when(F.col(tokens) > 0, padded).otherwise(F.col(text))).drop("filler")

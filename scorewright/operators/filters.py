@@ -28,6 +28,21 @@ def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return counts.select("n", F.explode(entries).alias("e")).select("e.rule", "e.n_bad", "n")
 
 
+def statistic_rules(stdev: Column, n: Column, weights: list[Column]) -> dict[str, Column]:
+    """Rules on aggregated scores: no negative spread, at least one score, weights that add up to 1."""
+    total = sum(weights[1:], weights[0])
+    return {"spread_not_negative": stdev >= 0, "count_positive": n >= 1, "weights_add_up": F.abs(total - 1.0) < 1e-9}
+
+
+def task_rules() -> dict[str, Column]:
+    """Rules on task definitions: what each type of task has to bring, and the known sizes."""
+    some = lambda *names: F.coalesce(*[F.nullif(F.col(c).cast("string"), F.lit("")) for c in names]).isNotNull()
+    kind = F.coalesce("task_type", F.lit(""))
+    return {"starter_present": ~kind.isin("bug-fix", "refactor") | some("starter_code", "starter_files"),
+            "rules_present": (kind != "instruction") | some("task_rules", "prompt_rules"),
+            "size_known": F.coalesce(F.col("size").isin("function", "module"), F.lit(False))}
+
+
 def select_rescore(runs: DataFrame, tasks: DataFrame, profiles: DataFrame, force: bool = False,
                    rerun_empty: bool = False) -> tuple[DataFrame, DataFrame]:
     """Successful runs to score again, and the candidates rejected with a reason.

@@ -16,10 +16,6 @@ from ..functions.numeric import ratio
 from ..session import pin
 from . import joins, prefix
 
-# The exact distribution of U is enumerated up to this product of group sizes.
-EXACT_LIMIT = 2500
-# Largest smaller group for which method "auto" is exact.
-AUTO_LIMIT = 8
 TINY = 1e-10
 
 
@@ -140,39 +136,25 @@ def _summary(g: DataFrame, keys: list[str]) -> DataFrame:
         _variance("n_b", "_sb", "_qb", "min_b", "max_b").alias("var_b"))
 
 
-def mann_whitney(stats: DataFrame, alternative: str = "two-sided", method: str = "auto") -> DataFrame:
-    """Add U, z and p to the output of `two_sample`.
+def mann_whitney(stats: DataFrame, alternative: str = "two-sided", method: str = "asymptotic") -> DataFrame:
+    """Add U, z and p to the output of `two_sample`, by one method for groups of every size.
 
-    `greater` asks whether side a is larger. The normal approximation corrects for ties and
-    continuity; equal values throughout give p = 1. `exact` enumerates the distribution of U,
-    ignoring ties, for groups whose sizes multiply to at most EXACT_LIMIT; `auto` does so only without
-    ties and for small groups.
+    `greater` asks whether side a is larger. `asymptotic` is the normal approximation, corrected for ties and
+    continuity; equal values throughout give p = 1. `exact` enumerates the distribution of U, ignoring ties, for every
+    row; its cost grows with the product of the group sizes.
     """
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     big = F.greatest(F.col("u"), na * nb - F.col("u")) if alternative == "two-sided" else F.col("u")
     tails_n = 2.0 if alternative == "two-sided" else 1.0
     z = F.try_divide(big - na * nb / 2.0 - 0.5, F.sqrt("u_var"))
     df = stats.withColumn("z", F.when(F.col("u_var") > TINY, z))
-    approx = F.when(F.col("z").isNull(), F.lit(1.0)).otherwise(
-        F.least(F.lit(1.0), tails.normal_sf("z") * tails_n))
-    small = (F.col("n_a") * F.col("n_b")) <= EXACT_LIMIT
     if method == "asymptotic":
-        exact = F.lit(False)
+        p = F.when(F.col("z").isNull(), F.lit(1.0)).otherwise(F.least(F.lit(1.0), tails.normal_sf("z") * tails_n))
     elif method == "exact":
-        exact = small
-    elif method == "auto":
-        exact = small & ~F.col("has_ties") & (F.least("n_a", "n_b") <= AUTO_LIMIT)
+        p = F.least(F.lit(1.0), tails.exact_u_sf(big, F.col("n_a"), F.col("n_b")) * tails_n)
     else:
         raise ValueError(f"unknown method {method!r}")
-    df = df.withColumn("p_method", F.when(exact, "exact").otherwise("asymptotic"))
-    if method == "asymptotic":
-        return df.withColumn("p_value", approx).withColumn("test_used", F.lit("mann-whitney-u"))
-    only = lambda c: F.when(F.col("p_method") == "exact", c)
-    df = df.withColumn("_pe", tails.exact_u_sf(only(big), only(F.col("n_a")), only(F.col("n_b"))) * tails_n)
-    # least() skips nulls, so it must not see the groups that were not enumerated.
-    p = F.when(F.col("_pe").isNull(), approx).otherwise(F.least(F.lit(1.0), F.col("_pe")))
-    return (df.withColumn("p_value", p).drop("_pe")
-            .withColumn("test_used", F.lit("mann-whitney-u")))
+    return df.withColumns({"p_method": F.lit(method), "p_value": p, "test_used": F.lit("mann-whitney-u")})
 
 
 def welch(stats: DataFrame) -> DataFrame:
@@ -240,19 +222,27 @@ def spearman(counts: DataFrame, part: list[str], x: str, y: str, n: str = "n",
 
 def detect_regressions(run_scores: DataFrame, entity: str, baseline: str, on: list[str], value: str = "score",
                        p_threshold: float = 0.05, delta_threshold: float = 0.05, minimum: int = 2,
-                       method: str = "exact", splits: list[float] | None = None) -> DataFrame:
-    """Every entity against the baseline: flagged when significantly and clearly worse; others are kept."""
+                       method: str = "asymptotic", splits: list[float] | None = None, test: str = "mann-whitney") -> DataFrame:
+    """Every entity against the baseline: flagged when significantly and clearly worse; others are kept.
+
+    `test` is the caller's choice, `mann-whitney` or `welch`, and `test_used` records it.
+    """
     hist = histogram(run_scores, [*on, entity], value)
     stats = versus(hist, on, entity, baseline, splits)
     stats = stats.where((F.col("n_a") >= minimum) & (F.col("n_b") >= minimum))
-    tested = mann_whitney(stats, "greater", method)
+    if test == "welch":
+        tested = welch_p(welch(stats), "greater")
+    elif test == "mann-whitney":
+        tested = mann_whitney(stats, "greater", method)
+    else:
+        raise ValueError(f"unknown test {test!r}")
     delta = joins.delta_pct("mean_b", "mean_a")
     return tested.withColumn("delta_pct", delta).withColumn(
         "is_regression", (F.col("p_value") < p_threshold) & (F.col("delta_pct") < -delta_threshold))
 
 
 def variant_table(runs: DataFrame, entity: str, control: str, value: str, part: list[str],
-                  method: str = "auto", alpha: float = 0.05, with_power: bool = True,
+                  method: str = "asymptotic", alpha: float = 0.05, with_power: bool = True,
                   splits: list[float] | None = None) -> DataFrame:
     """Each variant against the control over all tasks, corrected over the variants of its part.
 
@@ -288,7 +278,7 @@ def variant_table(runs: DataFrame, entity: str, control: str, value: str, part:
 
 def compare_run_sets(run_scores: DataFrame, entity: str, keys: list[str], dim: str = "dimension",
                      value: str = "score", p_threshold: float = 0.05, delta_threshold: float = 0.05,
-                     minimum: int = 2, method: str = "exact", splits: list[float] | None = None) -> DataFrame:
+                     minimum: int = 2, method: str = "asymptotic", splits: list[float] | None = None) -> DataFrame:
     """All pairs of run sets on every shared key and dimension, corrected for the nominal number of tests.
 
     The nominal number is pairs of run sets times keys found in at least two of them times dimensions,

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.numeric import round_to
-from ..functions.tails import TABLE_DF, critical_table, critical_terms
 from ..operators import aggregates, filters, joins, ranking, reshape, rollups
 from .bindings import CRITERIA, DEFAULT_PRICE, DIMS, LONG_CTE, PRICES_CTE, QUALITY_CTE, RUNS_CTE, SCORED_CTE
 from .registry import query, rnd
@@ -16,12 +15,18 @@ def r(c, digits=4, name=None):
     return round_to(c, digits).alias(name or c)
 
 
-def t_crit_sql(df: str) -> str:
-    terms = critical_terms()
-    poly = repr(terms[-1])
-    for c in reversed(terms[:-1]):
-        poly = f"({c!r} + {poly} / {df})"
-    return f"CASE WHEN {df} <= {TABLE_DF} THEN list_extract({critical_table()!r}, CAST({df} AS INT)) ELSE {poly} END"
+def t_crit_ctes(source: str) -> str:
+    """Two-sided 95 % points of Student's t for n - 1 degrees of freedom, by bisection over Simpson's rule.
+
+    With t = sqrt(df) tan(x) the density is a power of a cosine.
+    """
+    inner = ("list_sum(list_transform(range(0, 201), lambda i: CASE WHEN i = 0 OR i = 200 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END "
+             "* exp((v - 1) * ln(cos(m * i / 200))))) * m / 300 / (sqrt(pi()) * exp(lgamma(v / 2) - lgamma((v + 1) / 2)))")
+    return f"""bisected AS (
+  SELECT CAST(n - 1 AS DOUBLE) AS v, CAST(0 AS DOUBLE) AS lo, least(pi() / 2, 8 / sqrt(n - 1)) AS hi, 0 AS step FROM (SELECT DISTINCT n FROM {source} WHERE n > 1)
+  UNION ALL SELECT v, CASE WHEN {inner} < 0.95 THEN m ELSE lo END, CASE WHEN {inner} < 0.95 THEN hi ELSE m END, step + 1
+  FROM (SELECT *, (lo + hi) / 2 AS m FROM bisected WHERE step < 48)),
+ crit AS (SELECT v + 1 AS crit_n, sqrt(v) * tan((lo + hi) / 2) AS crit FROM bisected WHERE step = 48)"""
 
 
 def samp(fn: str, x: str) -> str:
@@ -50,10 +55,11 @@ def execution_failures(t):
     return aggregates.failure_details(runs, ["task", "profile", "model"])
 
 
-@query("mean_ci", f"""WITH {SCORED_CTE}, g AS (
+@query("mean_ci", f"""WITH RECURSIVE {SCORED_CTE}, g AS (
   SELECT task, profile, model, run_set, count(composite) AS n, avg(composite) AS mean, {samp('stddev_samp', 'composite')} AS stdev,
          min(composite) AS min, max(composite) AS max FROM scored WHERE composite IS NOT NULL GROUP BY 1, 2, 3, 4),
- h AS (SELECT *, CASE WHEN n > 1 AND min < max THEN ({t_crit_sql('(n - 1)')}) * stdev / sqrt(n) ELSE 0 END AS half FROM g)
+ {t_crit_ctes('g')},
+ h AS (SELECT g.*, CASE WHEN n > 1 AND min < max THEN crit * stdev / sqrt(n) ELSE 0 END AS half FROM g LEFT JOIN crit ON n = crit_n)
 SELECT task, profile, model, run_set, n, {rnd('mean', 4)} AS mean, {rnd('stdev', 4)} AS stdev, min, max,
        {rnd('mean - half', 4)} AS ci_lower, {rnd('mean + half', 4)} AS ci_upper FROM h""")
 def mean_ci(t):
@@ -76,11 +82,12 @@ def _panel_value(m):
     return {"points_per_1k": rnd("composite / token_count * 1000", 2)}.get(m, m)
 
 
-@query("metric_panel", f"WITH {SCORED_CTE}, long AS (" + " UNION ALL ".join(
+@query("metric_panel", f"WITH RECURSIVE {SCORED_CTE}, long AS (" + " UNION ALL ".join(
     f"SELECT task, profile, model, '{m}' AS metric, CAST({_panel_value(m)} AS DOUBLE) AS v FROM scored" for m in _PANEL) + f"""),
  g AS (SELECT task, profile, model, metric, count(v) AS n, avg(v) AS mean, {samp('stddev_samp', 'v')} AS stdev, min(v) AS min, max(v) AS max
        FROM long WHERE v IS NOT NULL GROUP BY 1, 2, 3, 4),
- h AS (SELECT *, CASE WHEN n > 1 AND min < max THEN ({t_crit_sql('(n - 1)')}) * stdev / sqrt(n) ELSE 0 END AS half FROM g)
+ {t_crit_ctes('g')},
+ h AS (SELECT g.*, CASE WHEN n > 1 AND min < max THEN crit * stdev / sqrt(n) ELSE 0 END AS half FROM g LEFT JOIN crit ON n = crit_n)
 SELECT task, profile, model, metric, n, {rnd('mean', 4)} AS mean, {rnd('stdev', 4)} AS stdev, min, max,
        {rnd('mean - half', 4)} AS ci_lower, {rnd('mean + half', 4)} AS ci_upper FROM h""")
 def metric_panel(t):
@@ -112,14 +119,13 @@ def profile_macro_mean(t):
         "profile", "dimension", r("macro_mean", 6), F.col("groups").alias("tasks"), "total_tokens")
 
 
-@query("dim_grid", f"""WITH {LONG_CTE}, x AS (SELECT * FROM run_scores WHERE NOT (model = 'P' AND profile = '1-URGENT')),
+@query("dim_grid", f"""WITH {LONG_CTE}, x AS (SELECT * FROM run_scores),
  m AS (SELECT model, profile, dimension, avg(score) AS v FROM x GROUP BY 1, 2, 3),
  g AS (SELECT * FROM (SELECT DISTINCT model FROM x), (SELECT DISTINCT profile FROM x), (SELECT DISTINCT dimension FROM x))
 SELECT g.model, g.profile, g.dimension, {rnd('coalesce(v, 0)', 6)} AS value
 FROM g LEFT JOIN m ON g.model = m.model AND g.profile = m.profile AND g.dimension = m.dimension""")
 def dim_grid(t):
-    scored = t.scored.where("NOT (model = 'P' AND profile = '1-URGENT')")
-    return aggregates.grid_mean(scored, ["model", "profile"], DIMS).select("model", "profile", "dimension", r("value", 6))
+    return aggregates.grid_mean(t.scored, ["model", "profile"], DIMS).select("model", "profile", "dimension", r("value", 6))
 
 
 @query("dim_by_task", f"""WITH {LONG_CTE}

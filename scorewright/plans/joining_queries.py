@@ -54,11 +54,11 @@ def intersect_all_sets(t):
 
 
 @query("cross_variant_expand", f"""WITH {LONG_CTE}, x AS (SELECT run_set || ':' || profile || ':v' || (k2 % 2) AS rs, model, task, dimension, score FROM run_scores),
- g AS (SELECT rs, model, task, dimension, avg(score) AS m, count(*) AS n FROM x WHERE dimension = 'composite' AND rs LIKE '1995%' GROUP BY 1, 2, 3, 4)
+ g AS (SELECT rs, model, task, dimension, avg(score) AS m, count(*) AS n FROM x WHERE dimension = 'composite' GROUP BY 1, 2, 3, 4)
 SELECT a.rs AS run_set_a, b.rs AS run_set_b, '_all' AS profile, a.model, a.task, a.n AS n_a, b.n AS n_b, {rnd('b.m - a.m', 6)} AS delta
 FROM g a JOIN g b ON a.model = b.model AND a.task = b.task AND a.rs < b.rs""")
 def cross_variant_expand(t):
-    scored = t.scored.where("run_set = 1995").withColumn("variant", F.concat(F.lit("v"), (F.col("k2") % 2).cast("string")))
+    scored = t.scored.withColumn("variant", F.concat(F.lit("v"), (F.col("k2") % 2).cast("string")))
     virtual = joins.expand_variants(scored)
     on = ["model", "profile", "task"]
     g = virtual.where("success").groupBy(*on, "run_set").agg(

@@ -10,8 +10,9 @@ from ..operators import aggregates, findings, joins, ranking, reshape, stats
 from .aggregating_queries import r
 from .bindings import BASELINE, DIMS, LONG_CTE, QUALITY_CTE, RUNS_CTE, SCORED_CTE
 from .registry import query, rnd
-from .testing_queries import _SIDES, _VARIANT, mwu_sql
+from .testing_queries import _SIDES, _VARIANT, COMPARE_CTE, mwu_sql
 
+_LABEL = "CASE dimension WHEN 'composite' THEN 'Overall' WHEN 'test_pass_rate' THEN 'Tests' WHEN 'lint_score' THEN 'Lint' WHEN 'complexity_score' THEN 'Complexity' ELSE 'LLM Quality' END"
 _Q = """q AS (SELECT run_set, profile, avg(quality) AS v, sum(token_count)::BIGINT AS tk FROM quality GROUP BY 1, 2),
  s AS (SELECT run_set, arg_min(profile, (-round(v, 9), profile)) AS best, max(v) AS bv, arg_min(profile, (round(v, 9), profile)) AS worst, min(v) AS wv,
    arg_min(profile, (-round(v / tk * 1e9, 9), profile)) AS eff, count(*) AS n, max(CASE WHEN profile = '5-LOW' THEN v END) AS cv FROM q GROUP BY 1)"""
@@ -70,11 +71,13 @@ def findings_experiment(t):
     return _out(findings.experiment_findings(table, quality, ["run_set"], "profile"))
 
 
-@query("findings_comparison", f"""WITH {QUALITY_CTE}, q AS (SELECT model AS run_set, run_set::VARCHAR AS profile, avg(quality) AS v, sum(token_count)::BIGINT AS tk FROM quality GROUP BY 1, 2),
+@query("findings_comparison", f"""WITH {COMPARE_CTE},
+ quality AS (SELECT *, (composite + test_pass_rate + lint_score + complexity_score + llm_quality) / 5 AS quality FROM scored), q AS (SELECT model AS run_set, run_set::VARCHAR AS profile, avg(quality) AS v, sum(token_count)::BIGINT AS tk FROM quality GROUP BY 1, 2),
  s AS (SELECT run_set, arg_min(profile, (-round(v, 9), profile)) AS best, max(v) AS bv, arg_min(profile, (round(v, 9), profile)) AS worst, min(v) AS wv, count(*) AS n FROM q GROUP BY 1)
 SELECT run_set AS model, 'best' AS kind, best AS subject, {rnd('bv', 4)} AS value, printf('Best run set: %s with %.1f', best, bv) AS text FROM s
 UNION ALL SELECT run_set, 'spread', best, {rnd('bv - wv', 4)}, printf('Spread across run sets: %.1f points (%s over %s)', bv - wv, best, worst) FROM s WHERE n > 1 AND bv - wv > 0.5
-UNION ALL SELECT run_set, 'no_difference', NULL, 0.0, 'No significant differences between run sets' FROM s
+UNION ALL SELECT run_set, 'no_difference', NULL, 0.0, 'No significant differences between run sets' FROM s WHERE run_set NOT IN (SELECT model FROM compared WHERE is_significant)
+UNION ALL SELECT model, 'significant', dimension, count(*)::DOUBLE, printf('%d significant difference(s) in %s', count(*), {_LABEL}) FROM compared WHERE is_significant GROUP BY model, dimension
 UNION ALL SELECT * FROM ({_TOKEN_SQL})""")
 def findings_comparison(t):
     scored = t.quality
@@ -83,9 +86,6 @@ def findings_comparison(t):
     return findings.comparison_findings(c, q, ["model"], "run_set").select("model", "kind", "subject", r("value", 4), "text")
 
 
-_LABEL = "CASE dimension WHEN 'composite' THEN 'Overall' WHEN 'test_pass_rate' THEN 'Tests' WHEN 'lint_score' THEN 'Lint' WHEN 'complexity_score' THEN 'Complexity' ELSE 'LLM Quality' END"
-
-
 @query("chart_series", f"""WITH {LONG_CTE}, q AS (SELECT profile, {rnd("(avg(composite) + avg(test_pass_rate) + avg(lint_score) + avg(complexity_score) + avg(llm_quality)) / 5", 4)} AS v, sum(token_count)::BIGINT AS tk FROM scored GROUP BY 1),
  f AS (SELECT *, max(v) OVER (ORDER BY tk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM q)
 SELECT 'radar' AS chart, profile AS series, model || '/' || {_LABEL} AS point, {rnd('avg(score)', 4)} AS value, NULL::BOOLEAN AS on_frontier FROM run_scores GROUP BY profile, model, dimension
@@ -102,23 +102,51 @@ def chart_series(t):
     return radar.unionByName(bar).unionByName(scatter)
 
 
-@query("narrative_context")
+_NARRATIVE = ("struct<best_profile_overall:struct<profile:string,score:double>,token_efficiency_winner:string,"
+              "profiles:array<struct<name:string,quality:double,tokens:bigint>>,"
+              "category_analysis:array<struct<category:string,winner:string,winner_score:double,margin:double>>,"
+              "regressions:array<struct<profile:string,task:string,dimension:string,delta_pct:double,p_value:double>>>")
+
+_SIDES_BY_SET = LONG_CTE + f""", names AS (SELECT DISTINCT run_set, profile FROM run_scores WHERE profile <> '{BASELINE}'),
+ src AS (SELECT r.run_set, task, dimension, n.profile, score AS v, 'a' AS side FROM run_scores r JOIN names n ON r.run_set = n.run_set WHERE r.profile = '{BASELINE}'
+   UNION ALL SELECT run_set, task, dimension, profile, score, 'b' FROM run_scores WHERE profile <> '{BASELINE}')"""
+
+
+@query("narrative_context", f"""WITH {_SIDES_BY_SET}, {mwu_sql('src', 'run_set, task, dimension, profile', 'side', 'greater')},
+ quality AS (SELECT *, (composite + test_pass_rate + lint_score + complexity_score + llm_quality) / 5 AS quality FROM scored), {_Q},
+ cells AS (SELECT run_set, regexp_replace(task, '-[0-9]+$', '') AS category, profile, avg(quality) AS v FROM quality GROUP BY 1, 2, 3 HAVING avg(quality) IS NOT NULL),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY run_set, category ORDER BY round(v, 9) DESC, profile) AS rn FROM cells),
+ cats AS (SELECT run_set, category, max(CASE WHEN rn = 1 THEN profile END) AS winner, max(CASE WHEN rn = 1 THEN v END) AS top, max(CASE WHEN rn = 2 THEN v END) AS second FROM ranked GROUP BY 1, 2)
+SELECT run_set, 'best' AS part, best AS subject, eff AS detail, {rnd('bv', 1)} AS value, NULL::DOUBLE AS other FROM s
+UNION ALL SELECT run_set, 'profile', profile, NULL, {rnd('v', 2)}, tk::DOUBLE FROM q
+UNION ALL SELECT run_set, 'category', category, winner, {rnd('top', 1)}, {rnd('top - second', 1)} FROM cats
+UNION ALL SELECT run_set, 'regression', profile, task || '/' || dimension, {rnd('(mean_b - mean_a) / mean_a * 100', 1)}, {rnd('p', 3)} FROM tested WHERE p < 0.05 AND (mean_b - mean_a) / mean_a < -0.05""")
 def narrative_context(t):
+    """The JSON context read back into rows."""
     q = _quality(t)
     cells = t.quality.withColumn("category", labels.task_category("task")).groupBy("run_set", "category", "profile").agg(F.avg("quality").alias("quality")).where("quality IS NOT NULL")
     cats = ranking.winner_margin(cells, ["run_set", "category"], "profile", "quality")
-    reg = stats.detect_regressions(t.run_scores, "profile", BASELINE, ["run_set", "task", "dimension"], method="asymptotic")
-    return findings.narrative(q, cats, reg, ["run_set"], "profile")
+    reg = stats.detect_regressions(t.run_scores, "profile", BASELINE, ["run_set", "task", "dimension"])
+    doc = findings.narrative(q, cats, reg, ["run_set"], "profile").select("run_set", F.from_json("context", _NARRATIVE).alias("c"))
+
+    def rows(part, c, subject, detail, value, other):
+        named = lambda x, kind: (F.lit(None) if x is None else F.col(x) if isinstance(x, str) else x).cast(kind)
+        source = doc if c is None else doc.select("run_set", F.explode(f"c.{c}").alias("e"))
+        return source.select("run_set", F.lit(part).alias("part"), named(subject, "string").alias("subject"), named(detail, "string").alias("detail"),
+                             named(value, "double").alias("value"), named(other, "double").alias("other"))
+
+    return (rows("best", None, "c.best_profile_overall.profile", "c.token_efficiency_winner", "c.best_profile_overall.score", None)
+            .unionByName(rows("profile", "profiles", "e.name", None, "e.quality", "e.tokens"))
+            .unionByName(rows("category", "category_analysis", "e.category", "e.winner", "e.winner_score", "e.margin"))
+            .unionByName(rows("regression", "regressions", "e.profile", F.concat_ws("/", "e.task", "e.dimension"), "e.delta_pct", "e.p_value")))
 
 
-@query("comparison_rows", f"""WITH {LONG_CTE}, g AS (SELECT model, profile, task, dimension, run_set, avg(score) AS m, count(*) AS n FROM run_scores WHERE dimension = 'composite' GROUP BY 1, 2, 3, 4, 5)
-SELECT a.model || '/' || a.profile || '/' || a.task AS key, a.dimension, a.run_set::VARCHAR AS run_a, b.run_set::VARCHAR AS run_b, {rnd('a.m', 2)} AS run_a_mean, {rnd('b.m', 2)} AS run_b_mean,
-  printf('%+.1f%%', (b.m - a.m) / a.m * 100) AS delta_pct
-FROM g a JOIN g b ON a.model = b.model AND a.profile = b.profile AND a.task = b.task AND a.run_set < b.run_set WHERE a.n >= 2 AND b.n >= 2""")
+@query("comparison_rows", f"""WITH {COMPARE_CTE}
+SELECT model || '/' || profile || '/' || task AS key, dimension, run_set_a::VARCHAR AS run_a, run_set_b::VARCHAR AS run_b, {rnd('mean_a', 2)} AS run_a_mean, {rnd('mean_b', 2)} AS run_b_mean,
+  printf('%+.1f%%', {rnd('delta * 100', 1)}) AS delta_pct, {rnd('adj', 4)} AS p_value, effect_label, is_significant FROM compared""")
 def comparison_rows(t):
-    long = t.run_scores.where("dimension = 'composite'")
-    c = stats.compare_run_sets(long, "run_set", ["model", "profile", "task"], method="asymptotic")
-    return findings.comparison_rows(c, "run_set").select("key", "dimension", "run_a", "run_b", "run_a_mean", "run_b_mean", "delta_pct")
+    c = stats.compare_run_sets(t.run_scores, "run_set", ["model", "profile", "task"])
+    return findings.comparison_rows(c, "run_set")
 
 
 @query("comparison_document", f"""WITH {LONG_CTE}, g AS (SELECT model, task, profile, dimension, {rnd('avg(score)', 2)} AS m FROM run_scores GROUP BY 1, 2, 3, 4)
@@ -132,10 +160,14 @@ def comparison_document(t):
         "model", "task", "dimension", "profile_a", "profile_b", "mean_a", "mean_b", "delta", "tier_a", "tier_b")
 
 
-@query("comparison_json")
+@query("comparison_json", f"""WITH {LONG_CTE}
+SELECT model, task, profile, dimension, {rnd('avg(score)', 2)} AS mean FROM run_scores GROUP BY 1, 2, 3, 4""")
 def comparison_json(t):
+    """The JSON documents read back into rows."""
     means = reshape.agg_dims(t.scored, ["model", "task", "profile"], DIMS, {"mean": lambda c: round_to(F.avg(c), 2)})
-    return findings.comparison_document(means, ["model", "task"], "profile")
+    docs = findings.comparison_document(means, ["model", "task"], "profile")
+    per_profile = docs.select("model", "task", F.explode(F.from_json("scores", "map<string,map<string,double>>")).alias("profile", "dims"))
+    return per_profile.select("model", "task", "profile", F.explode("dims").alias("dimension", "mean"))
 
 
 _DRILL_TIES = "k1, k2, k3, k4, loc, input_tokens, output_tokens"

@@ -267,6 +267,8 @@ def flatten_scores(t):
         F.struct("composite", F.lit(False).alias("static_only")).alias("composite"),
         F.lit(False).alias("degraded")))
     flat = F.to_json(F.struct("composite", "llm_quality", F.lit(True).alias("degraded"), F.lit("high").alias("note")))
+    # A third of the flat records name a score twice; the last value is the one.
+    flat = F.when(F.col("k1") % 3 == 0, F.regexp_replace(flat, r"^\{", '{"composite": 1.5, ')).otherwise(flat)
     layout = (F.when(F.col("k2") == 1, "none").when(F.col("k2") == 2, "broken")
               .when(F.col("k2") % 2 == 0, "flat").otherwise("nested"))
     raw = (F.when(layout == "broken", F.lit('{"composite": 1')).when(layout == "flat", flat).when(layout == "nested", nested))
@@ -298,11 +300,31 @@ SELECT * FROM (
   SELECT 'score_in_0_100' AS rule, count(CASE WHEN inflated < 0 OR inflated > 100 THEN 1 END) AS n_bad, count(*) AS n FROM x
   UNION ALL SELECT 'criterion_in_1_5', count(CASE WHEN c_correctness + (k2 // 6) > 5 THEN 1 END), count(*) FROM x
   UNION ALL SELECT 'passed_within_total', count(CASE WHEN tests_passed > 45 THEN 1 END), count(*) FROM x
+  UNION ALL SELECT 'spread_not_negative', count(CASE WHEN k2 - 2 < 0 THEN 1 END), count(*) FROM x
+  UNION ALL SELECT 'count_positive', count(CASE WHEN loc - 1 < 1 THEN 1 END), count(*) FROM x
+  UNION ALL SELECT 'weights_add_up', count(CASE WHEN k2 % 3 = 0 THEN 1 END), count(*) FROM x
   UNION ALL SELECT 'failed_run_has_error', count(CASE WHEN NOT success AND error IS NULL THEN 1 END), count(*) FROM x) v""")
 def score_bounds_check(t):
     return filters.violations(t.scored, {
         "score_in_0_100": F.coalesce((F.col("composite") * 1.3).between(0, 100), F.lit(True)),
         "criterion_in_1_5": (F.col("c_correctness") + F.floor(F.col("k2") / 6)).between(1, 5),
         "passed_within_total": F.col("tests_passed") <= 45,
+        **filters.statistic_rules(F.col("k2") - 2, F.col("loc") - 1, [F.lit(0.5), F.lit(0.3), F.when(F.col("k2") % 3 == 0, 0.3).otherwise(0.2)]),
         "failed_run_has_error": F.col("success") | F.col("error").isNotNull(),
     })
+
+
+@query("task_rules_check", """WITH t AS (SELECT p_partkey AS id, ['bug-fix', 'refactor', 'instruction', 'code-gen'][p_partkey % 4 + 1] AS task_type,
+   CASE WHEN p_size % 3 > 0 THEN p_name END AS starter_code, CASE WHEN p_size % 5 = 0 THEN p_type END AS starter_files, CASE WHEN p_size % 2 = 0 THEN p_brand END AS rules,
+   CASE WHEN p_size > 45 THEN 'system' WHEN p_size > 20 THEN 'module' ELSE 'function' END AS size FROM part)
+SELECT * FROM (SELECT 'starter_present' AS rule, count(CASE WHEN task_type IN ('bug-fix', 'refactor') AND starter_code IS NULL AND starter_files IS NULL THEN 1 END) AS n_bad, count(*) AS n FROM t
+ UNION ALL SELECT 'rules_present', count(CASE WHEN task_type = 'instruction' AND rules IS NULL THEN 1 END), count(*) FROM t
+ UNION ALL SELECT 'size_known', count(CASE WHEN size NOT IN ('function', 'module') THEN 1 END), count(*) FROM t) v""")
+def task_rules_check(t):
+    k = F.col("p_partkey") % 4
+    tasks = t.part.select(
+        F.when(k == 0, "bug-fix").when(k == 1, "refactor").when(k == 2, "instruction").otherwise("code-gen").alias("task_type"),
+        F.when(F.col("p_size") % 3 > 0, F.col("p_name")).alias("starter_code"), F.when(F.col("p_size") % 5 == 0, F.col("p_type")).alias("starter_files"),
+        F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("task_rules"), F.lit(None).cast("string").alias("prompt_rules"),
+        F.when(F.col("p_size") > 45, "system").when(F.col("p_size") > 20, "module").otherwise("function").alias("size"))
+    return filters.violations(tasks, filters.task_rules())

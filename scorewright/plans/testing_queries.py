@@ -15,13 +15,16 @@ _JUDGE_CRITERIA = ["readability", "architecture", "adherence", "correctness"]
 
 
 def sf_sql(z: str) -> str:
-    """Normal tail for the SQL side, from the same published fit."""
-    t = f"(1 / (1 + 0.5 * abs({z}) / sqrt(2.0)))"
-    poly = repr(tails.ERFC_COEFFICIENTS[-1])
-    for c in reversed(tails.ERFC_COEFFICIENTS[:-1]):
-        poly = f"({c!r} + t * {poly})"
-    return (f"(SELECT CASE WHEN zz >= 0 THEN h ELSE 1 - h END FROM (SELECT zz, 0.5 * t * exp(-zz * zz / 2 + {poly}) AS h "
-            f"FROM (SELECT {z} AS zz, {t} AS t)))")
+    """Normal tail for the SQL side: Simpson's rule over the density from 0 to |z|, cut off at 9."""
+    return (f"(SELECT CASE WHEN zz >= 0 THEN 0.5 - h ELSE 0.5 + h END FROM (SELECT zz, y / 600 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 201), "
+            f"lambda i: CASE WHEN i = 0 OR i = 200 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(y * i / 200, 2) / 2))) AS h "
+            f"FROM (SELECT {z} AS zz, least(9.0, abs({z})) AS y)))")
+
+
+def t_tail_sql(t: str, df: str) -> str:
+    """Student's t tail above |t|: with t = sqrt(df) tan(x) its density is a power of a cosine; Simpson's rule again."""
+    return (f"(SELECT 0.5 - x / 1200 * list_sum(list_transform(range(0, 401), lambda i: CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END "
+            f"* exp((v - 1) * ln(cos(x * i / 400))))) / (sqrt(pi()) * exp(lgamma(v / 2) - lgamma((v + 1) / 2))) FROM (SELECT {df} AS v, atan(abs({t}) / sqrt({df})) AS x))")
 
 
 def mwu_sql(source: str, keys: str, side: str, alternative: str) -> str:
@@ -35,9 +38,10 @@ def mwu_sql(source: str, keys: str, side: str, alternative: str) -> str:
    avg(CASE WHEN {side} = 'a' THEN v END) AS mean_a, avg(CASE WHEN {side} = 'b' THEN v END) AS mean_b,
    coalesce(var_samp(CASE WHEN {side} = 'a' THEN v END), 0) AS var_a, coalesce(var_samp(CASE WHEN {side} = 'b' THEN v END), 0) AS var_b FROM rk GROUP BY {keys}),
  us AS (SELECT *, ra - n_a * (n_a + 1) / 2.0 AS u FROM agg WHERE n_a >= 2 AND n_b >= 2),
- zs AS (SELECT *, ({big} - CAST(n_a AS DOUBLE) * n_b / 2 - 0.5) / sqrt(CAST(n_a AS DOUBLE) * n_b / 12 * (n_a + n_b + 1 - ties / (CAST(n_a + n_b AS DOUBLE) * (n_a + n_b - 1)))) AS z FROM us),
- tested AS (SELECT *, least(1.0, {mult} {sf_sql('z')}) AS p,
-   (mean_b - mean_a) / sqrt(((n_a - 1) * var_a + (n_b - 1) * var_b) / (n_a + n_b - 2)) AS d FROM zs)"""
+ vs AS (SELECT *, CAST(n_a AS DOUBLE) * n_b / 12 * (n_a + n_b + 1 - ties / (CAST(n_a + n_b AS DOUBLE) * (n_a + n_b - 1))) AS uv FROM us),
+ zs AS (SELECT *, CASE WHEN uv > 1e-10 THEN ({big} - CAST(n_a AS DOUBLE) * n_b / 2 - 0.5) / sqrt(uv) END AS z FROM vs),
+ tested AS (SELECT *, coalesce(least(1.0, {mult} {sf_sql('z')}), 1.0) AS p,
+   CASE WHEN var_a + var_b > 1e-18 THEN (mean_b - mean_a) / sqrt(((n_a - 1) * var_a + (n_b - 1) * var_b) / (n_a + n_b - 2)) ELSE 0 END AS d FROM zs)"""
 
 
 _SIDES = LONG_CTE + f""", names AS (SELECT DISTINCT profile FROM run_scores WHERE profile <> '{BASELINE}'),
@@ -84,7 +88,8 @@ def welch_t(t):
     return stats.welch(_two(t)).select("task", "dimension", "profile", r("t"), r("df", 3))
 
 
-@query("welch_p")
+@query("welch_p", f"""WITH {_AGG2}, w AS (SELECT *, (ma - mb) / sqrt(va / na + vb / nb) AS t, pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)) AS df FROM ab)
+SELECT task, dimension, profile, {rnd(f"least(1.0, 2 * {t_tail_sql('t', 'df')})", 6)} AS p_value, 'welch-t-test' AS test_used FROM w""")
 def welch_p(t):
     return stats.welch_p(stats.welch(_two(t))).select("task", "dimension", "profile", r("p_value", 6), "test_used")
 
@@ -117,9 +122,9 @@ def label_effect(t):
 
 @query("post_hoc_power")
 def post_hoc_power(t):
-    rows = _two(t).where("dimension = 'composite'").withColumn("d", stats.cohens_d())
+    rows = _two(t).withColumn("d", stats.cohens_d())
     power = tails.post_hoc_power("d", F.col("n_a").cast("double"), F.col("n_b").cast("double"), F.lit(0.05))
-    return rows.select("task", "profile", r("d"), round_to(power, 4).alias("power"))
+    return rows.select("task", "dimension", "profile", r("d"), round_to(power, 4).alias("power"))
 
 
 def spearman_sql(source: str, keys: str) -> str:
@@ -157,7 +162,7 @@ def score_detail(t):
         "dimension", "task", "profile", "model", r("mean", 6), r("std"), F.coalesce("regression", F.lit(False)).alias("regression"))
 
 
-_VARIANT = SCORED_CTE + f""", base AS (SELECT run_set, profile, composite AS v FROM scored WHERE composite IS NOT NULL AND NOT (run_set = 2001 AND profile = '2-HIGH')),
+_VARIANT = SCORED_CTE + f""", base AS (SELECT run_set, profile, composite AS v FROM scored WHERE composite IS NOT NULL),
  names AS (SELECT DISTINCT run_set, profile FROM base WHERE profile <> '{BASELINE}'),
  src AS (SELECT n.run_set, n.profile, v, 'a' AS side FROM base b JOIN names n ON b.run_set = n.run_set WHERE b.profile = '{BASELINE}'
    UNION ALL SELECT run_set, profile, v, 'b' FROM base WHERE profile <> '{BASELINE}')"""
@@ -170,13 +175,13 @@ SELECT run_set, profile, n_a AS n_control, n_b AS n_variant, {rnd('mean_b', 4)}
   CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS effect_label,
   p < 0.05 AS is_significant, adj < 0.05 AS is_significant_adjusted FROM x""")
 def variant_vs_control(t):
-    runs = t.scored.where("NOT (run_set = 2001 AND profile = '2-HIGH')")
-    v = stats.variant_table(runs, "profile", BASELINE, "composite", ["run_set"], with_power=False)
+    v = stats.variant_table(t.scored, "profile", BASELINE, "composite", ["run_set"], with_power=False)
     return v.select("run_set", "profile", "n_control", "n_variant", r("mean"), r("control_mean"), r("delta"), r("delta_pct", 6), r("p_value", 5),
                     r("effect_size"), r("cv_pct", 3), r("adjusted_p_value", 5), "effect_label", "is_significant", "is_significant_adjusted")
 
 
-@query("compare_run_sets", f"""WITH {LONG_CTE}, b AS (SELECT model, profile, task, dimension, run_set, score FROM run_scores),
+_DELTA = "CASE WHEN mean_a = 0 THEN 0 ELSE (mean_b - mean_a) / mean_a END"
+COMPARE_CTE = LONG_CTE + f""", b AS (SELECT model, profile, task, dimension, run_set, score FROM run_scores),
  sets AS (SELECT DISTINCT model, profile, task, dimension, run_set FROM b),
  prs AS (SELECT x.model, x.profile, x.task, x.dimension, x.run_set AS run_set_a, y.run_set AS run_set_b FROM sets x JOIN sets y
    ON x.model = y.model AND x.profile = y.profile AND x.task = y.task AND x.dimension = y.dimension AND x.run_set < y.run_set),
@@ -184,13 +189,19 @@ def variant_vs_control(t):
    ON p.model = b.model AND p.profile = b.profile AND p.task = b.task AND p.dimension = b.dimension AND (b.run_set = run_set_a OR b.run_set = run_set_b)),
  {mwu_sql('src', 'model, profile, task, dimension, run_set_a, run_set_b', 'side', 'two-sided')},
  keys AS (SELECT model, profile, task FROM (SELECT DISTINCT model, profile, task, run_set FROM b) GROUP BY 1, 2, 3 HAVING count(*) >= 2),
- nom AS (SELECT (SELECT count(DISTINCT run_set) FROM b) AS e, (SELECT count(*) FROM keys) AS k, (SELECT count(DISTINCT dimension) FROM b) AS dd)
-SELECT model, profile, task, dimension, run_set_a, run_set_b, n_a, n_b, u, {rnd('mean_a', 4)} AS mean_a, {rnd('mean_b', 4)} AS mean_b,
-  {rnd('CASE WHEN mean_a = 0 THEN 0 ELSE (mean_b - mean_a) / mean_a END', 5)} AS delta_pct, {rnd('z', 4)} AS z, {rnd('coalesce(d, 0)', 4)} AS effect_size, e * (e - 1) // 2 * k * dd AS n_comparisons FROM tested CROSS JOIN nom WHERE z IS NOT NULL""")
+ nom AS (SELECT (SELECT count(DISTINCT run_set) FROM b) AS e, (SELECT count(*) FROM keys) AS k, (SELECT count(DISTINCT dimension) FROM b) AS dd),
+ compared AS (SELECT *, e * (e - 1) // 2 * k * dd AS n_comparisons, least(1.0, p * (e * (e - 1) // 2 * k * dd)) AS adj, {_DELTA} AS delta,
+   CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS effect_label,
+   p * (e * (e - 1) // 2 * k * dd) < 0.05 AND abs({_DELTA}) > 0.05 AS is_significant FROM tested CROSS JOIN nom)"""
+
+
+@query("compare_run_sets", f"""WITH {COMPARE_CTE}
+SELECT model, profile, task, dimension, run_set_a, run_set_b, n_a, n_b, u, {rnd('mean_a', 4)} AS mean_a, {rnd('mean_b', 4)} AS mean_b, {rnd('delta', 5)} AS delta_pct,
+  {rnd('z', 4)} AS z, {rnd('d', 4)} AS effect_size, {rnd('p', 5)} AS raw_p_value, {rnd('adj', 4)} AS p_value, effect_label, is_significant, n_comparisons FROM compared""")
 def compare_run_sets(t):
-    c = stats.compare_run_sets(t.run_scores, "run_set", ["model", "profile", "task"], method="asymptotic").where("z IS NOT NULL")
+    c = stats.compare_run_sets(t.run_scores, "run_set", ["model", "profile", "task"], method="asymptotic")
     return c.select("model", "profile", "task", "dimension", "run_set_a", "run_set_b", "n_a", "n_b", "u", r("mean_a"), r("mean_b"),
-                    r("delta_pct", 5), r("z"), r("effect_size"), F.col("n_comparisons").cast("bigint").alias("n_comparisons"))
+                    r("delta_pct", 5), r("z"), r("effect_size"), r("raw_p_value", 5), r("p_value", 4), "effect_label", "is_significant", F.col("n_comparisons").cast("bigint").alias("n_comparisons"))
 
 
 @query("judge_variance", f"""WITH {JUDGED_CTE}, c AS (""" + " UNION ALL ".join(

@@ -44,7 +44,7 @@ def _responses(runs):
     def doc(*entries):
         return F.to_json(F.struct(F.array(*entries).alias("evaluations")))
 
-    read, corr = F.col("c_readability"), F.col("c_correctness")
+    read, corr = F.col("c_readability").cast("double"), F.col("c_correctness")  # 4.0 is as good as 4
     good = doc(entry("readability", read), entry("correctness", corr))
     k = F.col("k1") % 17
     return (F.when(k == 0, F.lit("  ")).when(k == 1, F.lit('{"evaluations": [{"criterion"'))
@@ -82,14 +82,14 @@ def _trunc(c: str) -> str:
     return f"CASE WHEN length({c}) <= 8000 THEN {c} ELSE left({c}, 8000) || chr(10) || '[truncated]' END"
 
 
-@query("judge_prompt", f"""WITH f AS (SELECT doc_id, source, '# --- a.py ---' || chr(10) || left(text, 60) || chr(10) || chr(10) || '# --- b.py ---' || chr(10) || text AS code, text FROM documents),
+@query("judge_prompt", f"""WITH f AS (SELECT doc_id, source, '# --- a.py ---' || chr(10) || source || ': ' || text || chr(10) || chr(10) || '# --- b.py ---' || chr(10) || text AS code, text FROM documents),
  p AS (SELECT doc_id, '## Task' || chr(10) || 'Rewrite ' || source || chr(10) || chr(10) || '## Code to Evaluate' || chr(10) || '```python' || chr(10) || {_trunc('code')} || chr(10) || '```' || chr(10) || chr(10)
    || '## Reference Solution' || chr(10) || '```python' || chr(10) || {_trunc('text')} || chr(10) || '```' || chr(10) || chr(10) || '## Evaluation Criteria' || chr(10) || {_sql_text(_RUBRIC)} || chr(10) || chr(10) || {_sql_text(tx.OUTPUT_FORMAT)} AS prompt FROM f)
 SELECT doc_id, length(prompt) AS chars, md5(prompt) AS digest FROM p""")
 def judge_prompt(t):
     docs = t.documents.select("doc_id", "source", "text")
-    files = F.create_map(F.lit("b.py"), F.col("text"), F.lit("a.py"), F.left("text", F.lit(60)))
-    prompt = tx.judge_prompt(F.concat(F.lit("Rewrite "), "source"), documents.concat_files(files), _CRITERIA, "text")
+    files = F.create_map(F.lit("b.py"), F.col("text"), F.lit("a.py"), F.concat("source", F.lit(": "), "text"))
+    prompt = tx.judge_prompt(F.concat(F.lit("Rewrite "), "source"), documents.concat_files(files), _CRITERIA, "text", limit=8000)
     return docs.select("doc_id", prompt.alias("p")).select("doc_id", F.length("p").cast("bigint").alias("chars"), F.md5("p").alias("digest"))
 
 
@@ -105,13 +105,6 @@ _PAIRS_CTE = """d AS (SELECT * FROM (SELECT d.doc_id, lang, source, text, row_nu
  prs AS (SELECT a.lang, a.source AS source_a, b.source AS source_b, a.text AS ta, b.text AS tb FROM d a JOIN d b ON a.lang = b.lang AND a.source < b.source)"""
 
 
-@query("diff_stats")
-def diff_stats(t):
-    pairs = _document_pairs(t)
-    out = documents.diff_pairs(pairs, "text_a", "text_b", "source_a", "source_b")
-    return out.select("lang", "source_a", "source_b", "additions", "deletions", "unchanged", F.md5("diff").alias("diff_digest"))
-
-
 @query("line_set_diff", f"""WITH {_PAIRS_CTE}, l AS (
    SELECT lang, source_a, source_b, unnest(string_split(regexp_replace(ta, '\\r\\n?', chr(10), 'g'), chr(10))) AS line, 1 AS a, 0 AS b FROM prs
    UNION ALL SELECT lang, source_a, source_b, unnest(string_split(regexp_replace(tb, '\\r\\n?', chr(10), 'g'), chr(10))), 0, 1 FROM prs),
@@ -121,14 +114,14 @@ def line_set_diff(t):
     return documents.line_set_diff(_document_pairs(t), ["lang", "source_a", "source_b"], "text_a", "text_b")
 
 
-_REPORT_SQL = """WITH {cte}, x AS (SELECT task, k1, k2, tests_passed FROM runs WHERE k2 <= 3)
+_REPORT_SQL = """WITH {cte}, x AS (SELECT task, k1, k2, tests_passed FROM runs)
 SELECT task, 'test_' || (k1 % 5) AS name, CASE WHEN k2 = 2 THEN '' ELSE left('assert ' || tests_passed || ' == 50 ' || repeat('x', 250), 200) END AS error,
   count(*) AS n, max(CASE WHEN k2 = 2 THEN 5 ELSE 2000 END) AS detail_chars FROM x WHERE tests_passed < 40 GROUP BY 1, 2, 3"""
 
 
 @query("test_failures", _REPORT_SQL.format(cte=RUNS_CTE))
 def test_failures(t):
-    runs = t.runs.where("k2 <= 3")
+    runs = t.runs
     message = F.concat(F.lit("assert "), F.col("tests_passed").cast("string"), F.lit(" == 50 "), F.repeat(F.lit("x"), F.lit(250)))
     trace = F.when(F.col("k2") == 2, F.lit("boom\n")).otherwise(F.concat(
         F.lit("def test():\nE   first error\n>   assert\n  E  "), message, F.lit("\n"), F.repeat(F.lit("trace line\n"), F.lit(300))))
@@ -138,53 +131,65 @@ def test_failures(t):
         case(F.concat(F.lit("tests/test_a.py::test_"), (F.col("k1") % 5).cast("string")),
              F.when(F.col("tests_passed") < 40, "failed").otherwise("passed"), trace),
         case(F.lit("tests/test_b.py::test_ok"), F.lit("passed"), F.lit(""))).alias("tests")))
-    failed = documents.test_failures(runs.select("task", report.alias("report")), "report", ["task"])
+    failed = documents.test_failures(runs.select("task", report.alias("report")), "report", ["task"], error_chars=200, detail_chars=2000)
     return failed.groupBy("task", "name", "error").agg(F.count("*").alias("n"), F.max(F.length("detail")).alias("detail_chars"))
 
 
-# A small program around each text: a docstring, a comment, types and a long name.
-_CODE_SQL = """'def make_' || lang || '_page(total_count: int, name: str) -> str:' || chr(10) || '    \"\"\"Page of ' || source || '.\"\"\"' || chr(10) || '    page_total = total_count + ' || doc_id || '  # running' || chr(10) || '    return name' || chr(10) || text"""
+# A small program around each text: docstrings, comments, a sign in a string, types, long names and places for a mistake.
+_CODE_SQL = """'def make_' || lang || '_page(total_count: int, name: str) -> str:' || chr(10) || '    \"\"\"Page of ' || source || '.\"\"\"' || chr(10) || '    page_total = total_count + 1  # running' || chr(10)
+   || '    page_count = "#' || doc_id || '"' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '    if total_count >= 2: return True' || chr(10) ELSE '' END || text"""
 
 
 def _code():
+    even = F.when(F.col("doc_id") % 2 == 0, "    if total_count >= 2: return True\n").otherwise("")
     return F.concat(F.lit("def make_"), "lang", F.lit("_page(total_count: int, name: str) -> str:\n    \"\"\"Page of "), "source",
-                    F.lit(".\"\"\"\n    page_total = total_count + "), F.col("doc_id").cast("string"), F.lit("  # running\n    return name\n"), "text")
+                    F.lit(".\"\"\"\n    page_total = total_count + 1  # running\n    page_count = \"#"), F.col("doc_id").cast("string"), F.lit("\"\n"), even, "text")
 
 
 @query("degrade_corpus", f"""WITH g AS (SELECT doc_id, {_CODE_SQL} AS c FROM documents),
- m AS (SELECT *, regexp_replace(c, '(?m)^[ \\t]*\"\"\"[^\"]*\"\"\"[ \\t]*\\n', '', 'g') AS mild FROM g),
- s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(mild, '(?m)[ \\t]*#[^\\n]*$', '', 'g'), '[ ]*->[ ]*[A-Za-z_][A-Za-z0-9_.\\[\\], ]*:', ':', 'g'),
-   '([A-Za-z_][A-Za-z0-9_]*):[ ]*(?:int|str|float|bool|list|dict)\\b', '\\1', 'g'), '\\b([a-z])[a-z0-9]*_[a-z0-9_]*\\b', '\\1', 'g') AS severe FROM m)
-SELECT doc_id, 'gold' AS tier, length(c) AS chars, md5(c) AS digest FROM s UNION ALL SELECT doc_id, 'mild', length(mild), md5(mild) FROM s
-UNION ALL SELECT doc_id, 'severe', length(severe), md5(severe) FROM s""")
+ m AS (SELECT *, regexp_replace(c, '(?m)^[ \\t]*(?:\"\"\"[^\"]*\"\"\"|''''''[^'']*'''''')[ \\t]*\\n', '', 'g') AS mild FROM g),
+ s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(mild, '(\"[^\"\\n]*\"|''[^''\\n]*'')|[ \\t]*#[^\\n]*', '\\1', 'g'), '[ ]*->[ ]*[A-Za-z_][A-Za-z0-9_.\\[\\], ]*:', ':', 'g'),
+   '([A-Za-z_][A-Za-z0-9_]*):[ ]*(?:int|str|float|bool|list|dict)\\b', '\\1', 'g'), '\\b([a-z])[a-z0-9]*_([a-z0-9])[a-z0-9_]*\\b', '\\1\\2', 'g') AS severe,
+   list_filter([CASE WHEN contains(c, '>=') THEN 0 END, CASE WHEN regexp_matches(c, '\\+ 1\\b') THEN 1 END, CASE WHEN regexp_matches(c, 'return True\\b') THEN 2 END], lambda x: x IS NOT NULL) AS can,
+   CAST('0x' || left(md5('42' || c), 8) AS BIGINT) AS draw FROM m),
+ b AS (SELECT *, CASE can[draw % len(can) + 1] WHEN 0 THEN regexp_replace(c, '>=', '>') WHEN 1 THEN regexp_replace(c, '\\+ 1\\b', '- 1') WHEN 2 THEN regexp_replace(c, 'return True\\b', 'return False') ELSE c END AS broken FROM s)
+SELECT doc_id, tier, length(x) AS chars, md5(x) AS digest FROM b, LATERAL (VALUES ('gold', c), ('mild', mild), ('severe', severe), ('broken', broken)) v(tier, x)""")
 def degrade_corpus(t):
     docs = t.documents.select("doc_id", _code().alias("text"))
     return documents.degrade(docs).select("doc_id", "tier", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("digest"))
 
 
-_PAD = 150
+_STYLE_SQL = {"prose": "SELECT text AS t FROM benchmark", "comments": "SELECT '# ' || replace(text, chr(10), chr(10) || '# ') FROM benchmark",
+              "lorem": "SELECT array_to_string(list_sort(regexp_split_to_array(lower(text), '[ \\n]+')), ' ') FROM benchmark"}
+_STYLE_SQL["mixed"] = " UNION ALL ".join(_STYLE_SQL.values())
 
 
-@query("context_padding", f"""WITH o AS (SELECT DISTINCT md5('42' || text) AS h, text AS t FROM benchmark WHERE length(text) >= 40 ORDER BY h LIMIT {_PAD * 4 // 42 + 1}),
- b AS (SELECT left(repeat(string_agg(t, chr(10) || chr(10) ORDER BY h) || chr(10) || chr(10), 40), {_PAD * 4}) AS f FROM o),
- p AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 > 0 THEN '--- BEGIN BACKGROUND CONTEXT (for reference only) ---' || chr(10)
+@query("context_padding", "WITH " + ", ".join(f"""o_{style} AS (SELECT DISTINCT md5('42' || t) AS h, t FROM ({sql}) v(t) WHERE trim(t, E' \\t\\n\\r') <> ''),
+ b_{style} AS (SELECT '{style}' AS style, left(repeat(string_agg(t, chr(10) || chr(10) ORDER BY h) || chr(10) || chr(10), 600 // sum(length(t) + 2)::INT + 1), 600) AS f
+   FROM (SELECT * FROM o_{style} ORDER BY h LIMIT 201))""" for style, sql in _STYLE_SQL.items()) + """,
+ p AS (SELECT style, conv_id, turn, CASE WHEN conv_id % 4 > 0 THEN '--- BEGIN BACKGROUND CONTEXT (for reference only) ---' || chr(10)
     || regexp_replace(left(f, (conv_id % 4) * 50 * 4), ' [^ ]*\\z', '') || chr(10) || '--- END BACKGROUND CONTEXT ---' || chr(10) || chr(10) || text ELSE text END AS prompt
-  FROM conversations CROSS JOIN b WHERE role = 'user')
-SELECT conv_id, turn, length(prompt) AS chars, md5(prompt) AS digest FROM p""")
+  FROM conversations CROSS JOIN (""" + " UNION ALL ".join(f"SELECT * FROM b_{style}" for style in _STYLE_SQL) + """))
+SELECT style, conv_id, turn, length(prompt) AS chars, md5(prompt) AS digest FROM p""")
 def context_padding(t):
-    prompts = t.conversations.where("role = 'user'").select("conv_id", "turn", "text", ((F.col("conv_id") % 4) * 50).alias("tokens"))
-    padded = documents.pad_prompts(prompts, "tokens", "text", t.benchmark, _PAD)
-    return padded.select("conv_id", "turn", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("digest"))
+    prompts = t.conversations.select("conv_id", "turn", "text", ((F.col("conv_id") % 4) * 50).alias("tokens"))
+    frames = [documents.pad_prompts(prompts, "tokens", "text", t.benchmark, style).select(
+        F.lit(style).alias("style"), "conv_id", "turn", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("digest"))
+        for style in documents.STYLES]
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
 
 
-@query("code_output_pick", """SELECT lang, CASE doc_id % 4 WHEN 0 THEN 'b.py:' || source WHEN 1 THEN 'a.md:' || source WHEN 2 THEN '' ELSE 'z.py' END AS picked, count(*) AS n
+@query("code_output_pick", """SELECT lang, CASE doc_id % 4 WHEN 0 THEN 'b.py:' || source WHEN 1 THEN 'b' WHEN 2 THEN '' ELSE 'z.py' END AS picked, count(*) AS n
 FROM documents GROUP BY 1, 2""")
 def code_output_pick(t):
     k = F.col("doc_id") % 4
     tagged = lambda name: F.concat(F.lit(name + ":"), "source")
     files = (F.when(k == 0, F.create_map(F.lit("a.md"), tagged("a.md"), F.lit("b.py"), tagged("b.py")))
              .when(k == 1, F.create_map(F.lit("b.txt"), F.lit("b"), F.lit("a.md"), tagged("a.md")))
-             .when(k == 3, F.create_map(F.lit("z.py"), F.lit("z.py"))))
+             .when(k == 3, F.create_map(F.lit("z.py"), F.lit("z.py"), F.lit("a.py"), F.lit("later"))))
     return t.documents.groupBy("lang", tx.pick_output(files).alias("picked")).agg(F.count("*").alias("n"))
 
 
@@ -192,12 +197,12 @@ _PROFILE_SQL = """CASE WHEN doc_id % 3 > 0 THEN '---' || chr(10) || 'name: ' ||
 
 
 @query("profile_dimension", """SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN source ELSE 'doc-' || doc_id END AS name,
-   CASE WHEN doc_id % 3 > 0 THEN 'About ' || lang ELSE 'Custom profile (doc-' || doc_id || ')' END AS description,
+   CASE WHEN doc_id % 3 > 0 THEN 'About ' || lang ELSE 'Custom profile (doc-' || doc_id || '.md)' END AS description,
    length(trim(text, E' \\t\\n\\r')) AS body_chars, CASE WHEN trim(text, E' \\t\\n\\r') = '' THEN 0 ELSE greatest(1, length(trim(text, E' \\t\\n\\r')) // 4) END AS tokens FROM documents""")
 def profile_dimension(t):
     from ..sources import dimensions
     docs = t.documents.select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"), F.when(
-        F.col("doc_id") % 3 > 0, F.concat(F.lit("---\nname: "), "source", F.lit('\ndescription: "About '), "lang", F.lit('"\n---\n'), "text")
+        F.col("doc_id") % 3 > 0, F.concat(F.lit("---\nname: older\nname: "), "source", F.lit('\ndescription: "About '), "lang", F.lit('"\n---\n'), "text")
     ).otherwise(F.col("text")).alias("text"))
-    out = dimensions.split_front_matter(docs, "text", "slug")
+    out = dimensions.split_front_matter(docs.withColumn("file", F.concat("slug", F.lit(".md"))), "text", "slug", "file")
     return out.select("doc_id", "name", "description", F.length("content").cast("bigint").alias("body_chars"), "tokens")

@@ -13,18 +13,19 @@ def read_profiles(spark: SparkSession, path: str, pattern: str = "*.md") -> Data
     raw = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
            .text(path, wholetext=True))
     slug = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
-    return split_front_matter(raw.select(slug.alias("slug"), F.col("value").alias("text")), "text", "slug")
+    files = raw.select(slug.alias("slug"), F.col("_metadata.file_name").alias("_file"), F.col("value").alias("text"))
+    return split_front_matter(files, "text", "slug", "_file").drop("_file")
 
 
-def split_front_matter(df: DataFrame, text: str, slug: str) -> DataFrame:
-    """Metadata, body and size of each text; without front matter the slug gives the defaults."""
+def split_front_matter(df: DataFrame, text: str, slug: str, file: str | None = None) -> DataFrame:
+    """Metadata, body and size of each text; without front matter slug and file name give the defaults."""
     meta = tx.front_matter_map(text)
     body = tx.front_matter_body(text)
     return df.select(
         "*", meta.alias("metadata"), body.alias("content")).withColumns({
             "name": F.coalesce(F.col("metadata")["name"], F.col(slug)),
             "description": F.coalesce(F.col("metadata")["description"],
-                                      F.concat(F.lit("Custom profile ("), F.col(slug), F.lit(")"))),
+                                      F.concat(F.lit("Custom profile ("), F.col(file or slug), F.lit(")"))),
             "variant": F.col("metadata")["variant"],
             "tokens": tx.approx_tokens("content"),
         }).drop(text)

@@ -140,3 +140,26 @@ def test_violations(spark):
     df = spark.createDataFrame([(101.0,), (50.0,), (-1.0,)], "s double")
     got = filters.violations(df, {"in_range": F.col("s").between(0, 100), "positive": F.col("s") > -5}).collect()
     assert {r.rule: (r.n_bad, r.n) for r in got} == {"in_range": (2, 3), "positive": (0, 3)}
+
+
+def test_repeated_keys_and_values_that_are_not_finite(spark):
+    from scorewright.functions import scoring, text as tx
+    from scorewright.functions.numeric import round_to
+
+    df = spark.createDataFrame([('{"a": 1, "b": 5, "a": 2}', "---\nname: old\nname: new\n---\nbody")], "raw string, doc string")
+    row = df.select(scoring.flatten_scores("raw"), tx.front_matter_map("doc")).first()
+    assert (row[0], row[1]) == ({"a": 2.0, "b": 5.0}, {"name": "new"})
+    got = spark.range(1).select(*[round_to(F.lit(x), 2) for x in (float("nan"), float("inf"), float("-inf"), 1e300, -1.005, 2.675)]).first()
+    assert list(got)[:3] == [None] * 3 and got[3] == pytest.approx(1e300) and list(got)[4:] == [-1.0, 2.68]
+
+
+def test_rules_on_tasks_and_statistics(spark):
+    from scorewright.operators import filters
+
+    rows = [("bug-fix", None, None, None, None, "function"), ("refactor", "x", None, None, None, "module"), ("instruction", None, None, "", None, "huge"),
+            ("instruction", None, None, None, "p", None), (None, None, None, None, None, "function")]
+    df = spark.createDataFrame(rows, "task_type string, starter_code string, starter_files string, task_rules string, prompt_rules string, size string")
+    assert {r.rule: r.n_bad for r in filters.violations(df, filters.task_rules()).collect()} == {"starter_present": 1, "rules_present": 1, "size_known": 2}
+    stat = spark.createDataFrame([(-1.0, 0, 0.5), (0.0, 3, 0.6)], "s double, n int, w double")
+    got = {r.rule: r.n_bad for r in filters.violations(stat, filters.statistic_rules(F.col("s"), F.col("n"), [F.col("w"), F.lit(0.4)])).collect()}
+    assert got == {"spread_not_negative": 1, "count_positive": 1, "weights_add_up": 1}

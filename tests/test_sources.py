@@ -115,7 +115,7 @@ def test_profiles(spark, tmp_path):
     assert (got["terse"].name, got["terse"].description, got["terse"].variant) == ("Terse", "Short: yes", "b")
     assert got["terse"].content == "# Be brief\n---\nmore"
     assert (got["plain"].name, got["plain"].description, got["plain"].content, got["plain"].tokens) == (
-        "plain", "Custom profile (plain)", "Just text", 2)
+        "plain", "Custom profile (plain.md)", "Just text", 2)
 
 
 def entries(spark, *rows):

@@ -60,7 +60,7 @@ def test_exact_p_by_enumeration(spark):
         y = [pool[i] for i in range(9) if i not in pick]
         hits += sum(p > q for p in x for q in y) >= u
         total += 1
-    row = stats.mann_whitney(compared(spark, a, b), "greater", "auto").first()
+    row = stats.mann_whitney(compared(spark, a, b), "greater", "exact").first()
     assert (row.u, row.p_method) == (u, "exact")
     assert row.p_value == pytest.approx(hits / total)
 
@@ -87,7 +87,7 @@ def test_two_paths_agree_with_brute_force(spark):
 
 
 def test_equal_values_give_p_one(spark):
-    row = stats.mann_whitney(compared(spark, [5, 5, 5], [5, 5]), "two-sided", "auto").first()
+    row = stats.mann_whitney(compared(spark, [5, 5, 5], [5, 5]), "two-sided").first()
     assert row.p_value == 1.0
 
 
@@ -100,7 +100,7 @@ def test_regressions(spark, base, other, flagged):
     df = scores(spark, {"empty": base, "x": other}).withColumn("task", F.lit("t")).withColumn("dimension", F.lit("d"))
     rows = stats.detect_regressions(df, "g", "empty", ["task", "dimension"]).collect()
     assert [r.is_regression for r in rows] == [flagged]
-    assert rows[0].p_method == "exact"
+    assert rows[0].p_method == "asymptotic"
 
 
 def test_regressions_need_two_scores_and_a_baseline(spark):
@@ -118,7 +118,7 @@ def test_zero_baseline_is_no_regression(spark):
 def test_compare_run_sets(spark):
     rows = [(rs, "m", "p", "t", "composite", float(v)) for rs, vs in [("r1", [80, 82]), ("r2", [90, 92])] for v in vs]
     df = spark.createDataFrame(rows, "run_set string, model string, profile string, task string, dimension string, score double")
-    row = stats.compare_run_sets(df, "run_set", ["model", "profile", "task"]).first()
+    row = stats.compare_run_sets(df, "run_set", ["model", "profile", "task"], method="exact").first()
     assert (row.mean_a, row.mean_b, row.n_comparisons) == (81.0, 91.0, 1.0)
     assert row.delta_pct > 0 and row.effect_size == pytest.approx(10 / math.sqrt(2))
     assert row.p_value == pytest.approx(2 / 6)
@@ -135,7 +135,7 @@ def test_cohens_d(spark):
 
 def test_variant_table_neutral_row(spark):
     df = scores(spark, {"control": [1, 2, 3], "one": [9], "two": [4, 5, 6]}).withColumn("rs", F.lit(1))
-    got = {r.g: r for r in stats.variant_table(df, "g", "control", "score", ["rs"]).collect()}
+    got = {r.g: r for r in stats.variant_table(df, "g", "control", "score", ["rs"], method="exact").collect()}
     assert (got["one"].p_value, got["one"].delta, got["one"].power, got["one"].adjusted_p_value) == (1.0, 0.0, 0.0, 1.0)
     assert got["two"].p_value == pytest.approx(0.1)
     assert got["two"].adjusted_p_value == pytest.approx(0.2)
@@ -193,3 +193,26 @@ def test_statistics_without_a_part(spark):
     assert plain == {"b": (2.0, 3), "c": (4.0, 2)}
     df = spark.createDataFrame([(1, 2, 1), (2, 3, 1), (3, 9, 2)], "x int, y int, n int")
     assert stats.spearman(df, [], "x", "y").first().rho == pytest.approx(1.0)
+
+
+def test_one_method_at_every_size(spark):
+    rng = random.Random(11)
+    b = [rng.gauss(52, 9) for _ in range(50)]
+    for n in (3, 50, 51):
+        a = [rng.gauss(50, 9) for _ in range(n)]
+        rows = [stats.mann_whitney(compared(spark, a, b), "two-sided", m).first() for m in ("asymptotic", "exact")]
+        assert [r.p_method for r in rows] == ["asymptotic", "exact"]
+        assert rows[0].p_value == pytest.approx(rows[1].p_value, abs=0.03)
+
+
+def test_regressions_by_the_test_the_caller_chose(spark):
+    df = scores(spark, {"empty": [90, 92, 91, 93, 90], "x": [60, 62, 58, 61, 59]}).withColumns({"task": F.lit("t"), "dimension": F.lit("d")})
+    row = stats.detect_regressions(df, "g", "empty", ["task", "dimension"], test="welch").first()
+    assert (row.test_used, row.is_regression) == ("welch-t-test", True)
+
+
+def test_t_critical_is_one_curve(spark):
+    known = {1: 12.7062047362, 2: 4.3026527297, 5: 2.5705818356, 30: 2.0422724563, 31: 2.0395134464, 1000: 1.9623390808}
+    df = spark.createDataFrame([(k,) for k in known] + [(0,), (None,)], "df bigint")
+    got = {r[0]: r[1] for r in df.select("df", tails.t_critical("df")).collect()}
+    assert all(got[k] == pytest.approx(v, rel=1e-9) for k, v in known.items()) and got[0] is None is got[None]
