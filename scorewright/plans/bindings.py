@@ -116,10 +116,10 @@ def judgements_from(spark, lineitem, orders, part) -> DataFrame:
 
 
 def run_events_from(events: DataFrame) -> DataFrame:
-    """Stream or table of events as the life of runs on eight workers."""
+    """Stream or table of events as the life of runs, a worker per user."""
     return events.select(
         "event_id", "ts",
-        (F.col("user_id") % 8).alias("worker_id"),
+        F.col("user_id").alias("worker_id"),
         (F.col("user_id") % 5).cast("string").alias("model"),
         F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "purchase", "done")
         .when(F.col("event_type") == "click", "start").otherwise("progress").alias("status"),
@@ -179,7 +179,7 @@ judgements AS (SELECT *, {_R2.format('((readability + architecture + adherence +
   FROM judged)"""
 
 EVENTS_CTE = """run_events AS (
-  SELECT event_id, ts, user_id % 8 AS worker_id, CAST(user_id % 5 AS VARCHAR) AS model,
+  SELECT event_id, ts, user_id AS worker_id, CAST(user_id % 5 AS VARCHAR) AS model,
          CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'done' WHEN 'click' THEN 'start' ELSE 'progress' END AS status,
          value / 1000.0 AS cost, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value
   FROM events)"""

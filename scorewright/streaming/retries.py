@@ -2,42 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
+from ..session import scratch
+from .replay import drain
 
 # Retries of a transient failure, and the first delay in seconds.
 MAX_RETRIES = 3
 BASE_DELAY = 30
 
 
-def retry_chain(attempts: DataFrame, key: list[str], attempt: str = "attempt", success: str = "success",
+def retry_parts(attempts: DataFrame, key: list[str], attempt: str = "attempt", success: str = "success",
                 error: str = "error") -> DataFrame:
-    """Final outcome per run: the first attempt that succeeded or failed for good, else the last one allowed.
-
-    A transient failure is tried again at most MAX_RETRIES times with doubling delays. One aggregation,
-    so it runs on a stream as well and keeps one row per run, however often a run was tried.
-    """
+    """What is to be known of each run's attempts; the parts of several tables of attempts can be merged."""
     kind = F.when(F.col(success), "success").otherwise(labels.error_class(error))
     allowed = F.col(attempt) <= MAX_RETRIES + 1
-    final = allowed & (kind != "transient")
     row = F.struct(F.col(attempt).alias("attempt"), kind.alias("kind"))
-    g = attempts.groupBy(*key).agg(
-        F.min_by(F.when(final, row), F.when(final, F.col(attempt))).alias("_final"),
-        F.max_by(F.when(allowed, row), F.when(allowed, F.col(attempt))).alias("_last"),
+    return attempts.groupBy(*key).agg(
+        F.min(F.when(allowed & (kind != "transient"), row)).alias("_final"), F.max(F.when(allowed, row)).alias("_last"),
         F.count("*").alias("attempts_seen"))
+
+
+def retry_outcomes(parts: DataFrame, key: list[str]) -> DataFrame:
     end = F.coalesce("_final", "_last")
     retries = end["attempt"] - 1
     outcome = F.when(end["kind"] == "transient", F.when(end["attempt"] > MAX_RETRIES, "exhausted").otherwise("pending")).otherwise(end["kind"])
-    return g.select(*key, "attempts_seen", outcome.alias("outcome"), retries.alias("retries"),
-                    (F.lit(BASE_DELAY) * (F.pow(F.lit(2.0), retries) - 1)).cast("bigint").alias("total_delay"))
+    return parts.select(*key, "attempts_seen", outcome.alias("outcome"), retries.alias("retries"),
+                        (F.lit(BASE_DELAY) * (F.pow(F.lit(2.0), retries) - 1)).cast("bigint").alias("total_delay"))
+
+
+def retry_chain(attempts: DataFrame, key: list[str], attempt: str = "attempt", success: str = "success",
+                error: str = "error") -> DataFrame:
+    """Final outcome per run: the first attempt that succeeded or failed for good, else the last one allowed.
+
+    A transient failure is tried again at most MAX_RETRIES times with doubling delays.
+    """
+    return retry_outcomes(retry_parts(attempts, key, attempt, success, error), key)
+
+
+def retry_table(attempts: DataFrame, key: list[str], out: str | None = None, **columns: str) -> DataFrame:
+    """`retry_chain` over a stream of attempts.
+
+    A batch leaves the parts of its own runs in a folder of its own and reads nothing, so there is no state that grows;
+    reading the table merges the parts of a run.
+    """
+    spark = attempts.sparkSession
+    out = out or scratch(spark, "retries")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        retry_parts(batch, key, **columns).write.mode("overwrite").parquet(f"{out}/parts/batch={batch_id}")
+
+    drain(attempts, "append", handle, f"{out}/checkpoint")
+    merged = spark.read.parquet(f"{out}/parts").groupBy(*key).agg(
+        F.min("_final").alias("_final"), F.max("_last").alias("_last"), F.sum("attempts_seen").alias("attempts_seen"))
+    return retry_outcomes(merged, key)
 
 
 def auth_aborts(attempts: DataFrame, group: list[str], order: str, error: str = "error") -> DataFrame:
-    """Per group: the first attempt that failed for credentials, and how many later ones it takes down."""
-    first = attempts.groupBy(*group).agg(
-        F.min(F.when(labels.error_class(error) == "auth", F.col(order))).alias("aborted_at"))
-    later = attempts.join(first, group).where(F.col(order) > F.col("aborted_at"))
-    counts = later.groupBy(*group).agg(F.count("*").alias("aborted"))
-    return first.join(counts, group, "left").withColumn("aborted", F.coalesce("aborted", F.lit(0)))
+    """Per group: the first attempt that failed for credentials, and how many later ones it takes down.
+
+    Attempts are counted per group and place first, so nothing is joined and a group's window holds its places only.
+    """
+    auth = labels.error_class(error) == "auth"
+    places = attempts.groupBy(*group, order).agg(F.count("*").alias("n"), F.bool_or(auth).alias("_auth"))
+    first = F.min(F.when(F.col("_auth"), F.col(order))).over(Window.partitionBy(*group))
+    return (places.withColumn("aborted_at", first).groupBy(*group)
+            .agg(F.first("aborted_at").alias("aborted_at"),
+                 F.coalesce(F.sum(F.when(F.col(order) > F.col("aborted_at"), F.col("n"))), F.lit(0)).alias("aborted")))

@@ -104,3 +104,23 @@ def test_retry_chain(spark):
 def test_auth_aborts(spark):
     df = spark.createDataFrame([("g", 1, "x"), ("g", 2, "expired"), ("g", 3, None), ("h", 1, None)], "g string, i int, error string")
     assert {r.g: (r.aborted_at, r.aborted) for r in retries.auth_aborts(df, ["g"], "i").collect()} == {"g": (2, 1), "h": (None, 0)}
+
+
+def test_known_keys_are_read_from_the_touched_buckets_only(spark, tmp_path):
+    table = str(tmp_path / "table")
+    frame = spark.createDataFrame([(k, k % 4, b) for k in range(40) for b in (0, 1)], "k int, bucket int, batch int")
+    frame.write.partitionBy("batch", "bucket").parquet(table)
+    known = ingest.read_table(spark, table, frame.select("k").schema).where((F.col("batch") < 1) & F.col("bucket").isin([2]))
+    files = [r[0] for r in known.select(F.input_file_name()).distinct().collect()]
+    assert files and all("batch=0/bucket=2/" in f for f in files)
+
+
+def test_retries_of_a_stream_are_merged(spark, tmp_path):
+    from scorewright.streaming import replay as rp, retries
+
+    rows = [(k, a, a == 3 and k % 2 == 0, None if a == 3 and k % 2 == 0 else "Rate limit") for k in range(20) for a in range(1, 6)]
+    df = spark.createDataFrame(rows, "k int, attempt int, success boolean, error string")
+    path = str(tmp_path / "attempts")
+    df.repartition(6).write.parquet(path)
+    streamed = retries.retry_table(rp.file_stream(spark, path, df.schema, 2), ["k"])
+    assert sorted(streamed.collect()) == sorted(retries.retry_chain(df, ["k"]).collect())
