@@ -55,38 +55,45 @@ def cut_sentences(text: str) -> list[str]:
     return out
 
 
-def runs(text: str, sentences: int, words: int) -> list[tuple[int, int, int, int]]:
-    """(first sentence, sentence after the last, two halves of the hash) of every run; sentences without words are passed over."""
+def spans_of(sentences: list[str], least: int, words: int) -> Iterator[tuple[int, int, str]]:
+    """(first sentence, sentence after the last, plain words) of every run; sentences without words are passed over."""
     own = []
-    for i, s in enumerate(cut_sentences(text)):
+    for i, s in enumerate(sentences):
         if found := LETTERS.findall(s.lower()):
             own.append((i, len(found), " ".join(found)))
-    out, end, total = [], 0, 0
+    end = total = 0
     for start in range(len(own)):
-        while end < len(own) and (total < words or end - start < sentences):
+        while end < len(own) and (total < words or end - start < least):
             total += own[end][1]
             end += 1
-        if total < words or end - start < sentences:
-            break
-        body = "\n".join([w for _, _, w in own[start:end]])
-        out.append((own[start][0], own[end - 1][0] + 1, *struct.unpack("<qq", xxhash.xxh3_128_digest(body.encode()))))
+        if total < words or end - start < least:
+            return
+        yield own[start][0], own[end - 1][0] + 1, "\n".join([w for _, _, w in own[start:end]])
         total -= own[start][1]
-    return out
 
 
-def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
-    """The text without the sentences of the spans; how many sentences it had and has lost."""
+def runs(text: str, least: int, words: int) -> list[tuple[int, int, int]]:
+    """(first sentence, 64 bits and 32 more of the hash) of every run."""
+    return [(first, *struct.unpack("<qi", xxhash.xxh3_128_digest(body.encode())[:12]))
+            for first, _, body in spans_of(cut_sentences(text), least, words)]
+
+
+def without(text: str, starts: set[int], least: int, words: int) -> tuple[str, int, int]:
+    """The text without the runs that begin at `starts`; how many sentences it had and has lost."""
     own = cut_sentences(text)
+    if not starts:
+        return text, len(own), 0
     gone = np.zeros(len(own) + 1, "int64")
-    for a, b in spans:
-        gone[a] += 1
-        gone[b] -= 1
+    for a, b, _ in spans_of(own, least, words):
+        if a in starts:
+            gone[a] += 1
+            gone[b] -= 1
     lost = np.cumsum(gone)[:len(own)] > 0
     return "".join(s for s, x in zip(own, lost) if not x), len(own), int(lost.sum())
 
 
 def span_table(docs: DataFrame, sentences: int, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(_id, mark, first, end, a, b, again) of every run; again: an earlier one of its batch is equal."""
+    """(_id, mark, first, a, b) of every run. Where an earlier run of its batch is equal, b is null and a is any number."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,27 +101,25 @@ def span_table(docs: DataFrame, sentences: int, words: int, id_col: str, text_co
             batch = batch.drop_duplicates(["_id", "mark"]).sort_values(["_id", "mark"], na_position="first")
             found = [runs(t, sentences, words) for t in batch["_text"]]
             n = [len(f) for f in found]
-            flat = np.array([x for f in found for x in f], "int64").reshape(-1, 4)
+            flat = np.array([x for f in found for x in f], "int64").reshape(-1, 3)
             out = pd.DataFrame({"_id": batch["_id"].repeat(n).array, "mark": batch["mark"].repeat(n).to_numpy(),
-                                "first": flat[:, 0], "end": flat[:, 1], "a": flat[:, 2], "b": flat[:, 3]})
-            out["again"] = out.duplicated(["a", "b"])
+                                "first": flat[:, 0].astype("int32"), "a": flat[:, 1], "b": pd.array(flat[:, 2], "Int32")})
+            again = out.duplicated(["a", "b"])
+            out.loc[again, "a"] = out.loc[again, "mark"] + out.loc[again, "first"]
+            out.loc[again, "b"] = pd.NA
             yield out
 
     return (docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("_text"))
-            .where("_text IS NOT NULL")
-            .mapInPandas(find, f"_id {kind}, mark bigint, first bigint, `end` bigint, a bigint, b bigint, again boolean"))
+            .where("_text IS NOT NULL").mapInPandas(find, f"_id {kind}, mark bigint, first int, a bigint, b int"))
 
 
 def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
-    """(_id, mark, first, end): the runs that have occurred before; mark is a hash of the document's text."""
-    spans = span_table(docs, sentences, words, id_col, text_col)
+    """(_id, mark, first): where the runs begin that have occurred before; mark is a hash of the document's text."""
     place = F.struct("_id", "mark", "first")
-    # Known repeats go along in lanes of their own, anywhere.
-    lane = F.when(F.col("again"), F.xxhash64("mark", "first")).otherwise(F.lit(0))
-    origin = F.min(place).over(Window.partitionBy("a", "b", "lane"))
-    return (spans.withColumn("lane", lane).withColumn("origin", origin)
-            .where(F.col("again") | (place != F.col("origin"))).select("_id", "mark", "first", "end"))
+    origin = F.min(place).over(Window.partitionBy("a", "b"))
+    return (span_table(docs, sentences, words, id_col, text_col).withColumn("origin", origin)
+            .where(F.col("b").isNull() | (place != F.col("origin"))).select("_id", "mark", "first"))
 
 
 def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, id_col: str = "doc_id",
@@ -127,11 +132,11 @@ def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WOR
     """
     spans = (repeated_spans(docs, sentences, words, id_col, text_col)
              .groupBy(F.struct(F.col("_id").alias("id")).alias("_k_id"), F.col("mark").alias("_k_mark"))
-             .agg(F.collect_set(F.struct("first", "end")).alias("_spans")))
+             .agg(F.collect_set("first").alias("_spans")))
 
     @F.pandas_udf("text string, total int, lost int")
     def clean(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
-        rows = [(None, 0, 0) if t is None else without(t, [(s["first"], s["end"]) for s in (() if f is None else f)])
+        rows = [(None, 0, 0) if t is None else without(t, set(() if f is None else f), sentences, words)
                 for t, f in zip(texts, found)]
         return pd.DataFrame(rows, columns=["text", "total", "lost"])
 

@@ -196,11 +196,11 @@ def test_repeats_match_a_plain_version_on_odd_rows(odd, docs):
     rows = [r for k, r in enumerate(rows) if k == 0 or rows[k - 1][0] != r[0]]
     seen, want = set(), {}
     for i, t in rows:
-        bad = []
-        for f, e, a, b in substring_dedup.runs(t, 3, 20):
-            bad += [(f, e)] * ((a, b) in seen)
-            seen.add((a, b))
-        want[i] = substring_dedup.without(t, bad)
+        own, gone = substring_dedup.cut_sentences(t), set()
+        for first, end, body in substring_dedup.spans_of(own, 3, 20):
+            gone |= set(range(first, end)) if body in seen else set()
+            seen.add(body)
+        want[i] = ("".join(s for k, s in enumerate(own) if k not in gone), len(own), len(gone))
     got = substring_dedup.remove_repeats(docs(rows).repartition(3)).collect()
     assert {r["doc_id"]: (r["text"], r["n_sentences"], r["n_removed"]) for r in got} == want
     out = substring_dedup.remove_repeats(odd)
