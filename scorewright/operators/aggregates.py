@@ -160,11 +160,11 @@ def category_quality(runs: DataFrame, entity: str, task: str = "task", score: st
     """Mean quality per task category and entity, with the number of distinct tasks of the category."""
     cells = runs.withColumn("category", labels.task_category(task)).groupBy("category", entity, task).agg(
         F.sum(score).alias("_s"), F.count(score).alias("_n"))
-    # Task names of a category are few; gathering them spares a second pass for their number.
-    means = cells.groupBy("category", entity).agg(
-        F.sum("_s").alias("_s"), F.sum("_n").alias("n"), F.collect_set(task).alias("_tasks"))
-    of_category = F.array_distinct(F.flatten(F.collect_list("_tasks").over(Window.partitionBy("category"))))
-    counted = means.withColumn("task_count", F.size(of_category).cast("bigint")).where("n > 0")
+    # A task counts at the first of its entities, so sums over entities count each task once and no names are gathered.
+    first = F.row_number().over(Window.partitionBy("category", task).orderBy(entity)) == 1
+    means = cells.withColumn("_new", first.cast("int")).groupBy("category", entity).agg(
+        F.sum("_s").alias("_s"), F.sum("_n").alias("n"), F.sum("_new").alias("_new"))
+    counted = means.withColumn("task_count", F.sum("_new").over(Window.partitionBy("category"))).where("n > 0")
     return counted.select("category", entity, (F.col("_s") / F.col("n")).alias("quality"), "n", "task_count")
 
 

@@ -22,15 +22,21 @@ def vs_baseline(groups: DataFrame, entity: str, baseline: str, on: list[str], va
     }).where(~is_base & F.col("_has")).drop("_has")
 
 
-def pairwise(groups: DataFrame, entity: str, on: list[str], values: list[str]) -> DataFrame:
+def pairwise(groups: DataFrame, entity: str, on: list[str], values: list[str], chosen: DataFrame | None = None) -> DataFrame:
     """Each unordered pair of entities that share a key, over group results.
 
-    The report asks for every pair of the chosen run sets, so that is the size of its answer; what is
-    paired are group results, never runs.
+    `chosen` is a table of the wanted entities (a column named as `entity`, such as catalog_find returns) or of the
+    wanted pairs (columns with _a and _b); without it every pair is an answer. What is paired are group results, never runs.
     """
+    if chosen is not None and entity in chosen.columns:
+        groups, chosen = groups.join(chosen.select(entity).distinct(), entity, "left_semi"), None
     a = groups.select(*on, F.col(entity).alias(f"{entity}_a"), *[F.col(v).alias(f"{v}_a") for v in values])
     b = groups.select(*on, F.col(entity).alias(f"{entity}_b"), *[F.col(v).alias(f"{v}_b") for v in values])
-    return a.join(b, on).where(F.col(f"{entity}_a") < F.col(f"{entity}_b"))
+    pairs = [f"{entity}_a", f"{entity}_b"]
+    if chosen is None:
+        return a.join(b, on).where(F.col(pairs[0]) < F.col(pairs[1]))
+    wanted = chosen.select(F.least(*pairs).alias(pairs[0]), F.greatest(*pairs).alias(pairs[1])).where(F.col(pairs[0]) < F.col(pairs[1])).distinct()
+    return a.join(wanted, pairs[0]).join(b, [*on, pairs[1]]).select(*on, *pairs, *[f"{v}_{s}" for s in "ab" for v in values])
 
 
 def overlap(runs: DataFrame, entity: str, keys: list[str], minimum: int = 2) -> DataFrame:

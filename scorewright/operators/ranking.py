@@ -112,11 +112,9 @@ def bonferroni(df: DataFrame, p: str, part: list[str], out: str = "p_bonferroni"
                nominal: Column | None = None) -> DataFrame:
     """p times the number of tests in its family; `nominal` replaces the counted number."""
     if nominal is None:
-        family = part or ["_all"]
-        df = df if part else df.withColumn("_all", F.lit(0))
-        df = df.join(df.groupBy(*family).agg(F.count("*").alias("_m")), family).drop("_all")
-        nominal = F.col("_m")
-    return df.withColumn(out, F.least(F.lit(1.0), F.col(p) * nominal)).drop("_m")
+        # Families of part are group results and lie beside each other anyway; the whole table is counted, not gathered.
+        nominal = F.count("*").over(Window.partitionBy(*part)) if part else df.agg(F.count("*")).scalar()
+    return df.withColumn(out, F.least(F.lit(1.0), F.col(p) * nominal))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, part: list[str], out: str = "p_bh",

@@ -94,10 +94,10 @@ def versus(hist: DataFrame, part: list[str], entity: str, baseline: str,
     return _summary(g, keys)
 
 
-def all_pairs(hist: DataFrame, on: list[str], entity: str) -> DataFrame:
-    """Pair every two entities of the same keys (side a is the smaller name)."""
+def all_pairs(hist: DataFrame, on: list[str], entity: str, chosen: DataFrame | None = None) -> DataFrame:
+    """Pair every two entities of the same keys (side a is the smaller name), or the chosen ones as in `joins.pairwise`."""
     names = hist.select(*on, entity).distinct()
-    pairs = joins.pairwise(names, entity, on, [])
+    pairs = joins.pairwise(names, entity, on, [], chosen)
     a, b = f"{entity}_a", f"{entity}_b"
     zero = F.lit(0).cast("bigint")
     side_a = hist.withColumnRenamed(entity, a).join(pairs, [*on, a])
@@ -278,15 +278,23 @@ def variant_table(runs: DataFrame, entity: str, control: str, value: str, part:
 
 def compare_run_sets(run_scores: DataFrame, entity: str, keys: list[str], dim: str = "dimension",
                      value: str = "score", p_threshold: float = 0.05, delta_threshold: float = 0.05,
-                     minimum: int = 2, method: str = "asymptotic", splits: list[float] | None = None) -> DataFrame:
-    """All pairs of run sets on every shared key and dimension, corrected for the nominal number of tests.
+                     minimum: int = 2, method: str = "asymptotic", splits: list[float] | None = None,
+                     chosen: DataFrame | None = None) -> DataFrame:
+    """Pairs of run sets on every shared key and dimension, corrected for the nominal number of tests.
+
+    `chosen` names the wanted run sets, or pairs of them, as in `joins.pairwise`; without it all are compared.
 
     The nominal number is pairs of run sets times keys found in at least two of them times dimensions,
     whether or not each of those tests could be made.
     """
+    if chosen is not None:
+        # Histograms of other run sets are of no use to any pair.
+        sides_of = [c for c in chosen.columns if c in (entity, f"{entity}_a", f"{entity}_b")]
+        wanted = chosen.select(F.explode(F.array(*sides_of)).alias(entity)).distinct()
+        run_scores = run_scores.join(wanted, entity, "left_semi")
     hist = pin(histogram(run_scores, [*keys, dim, entity], value), "histogram")
     sides = [*keys, dim, f"{entity}_a", f"{entity}_b"]
-    stats = two_sample(all_pairs(hist, [*keys, dim], entity), sides, splits)
+    stats = two_sample(all_pairs(hist, [*keys, dim], entity, chosen), sides, splits)
     stats = stats.where((F.col("n_a") >= minimum) & (F.col("n_b") >= minimum))
     tested = mann_whitney(stats, "two-sided", method)
 

@@ -33,16 +33,16 @@ def samp(fn: str, x: str) -> str:
     return f"coalesce({fn}({x}), CASE WHEN count({x}) > 0 THEN 0.0 END)"
 
 
-_EXEC = ["duration_seconds", "input_tokens", "output_tokens"]
+_EXEC = ["duration_seconds", "input_tokens", "output_tokens", "cost"]
 
 
-@query("execution_aggregate", f"""WITH {RUNS_CTE}, x AS (SELECT *, CASE WHEN success THEN 1 END AS ok FROM runs)
+@query("execution_aggregate", f"""WITH {RUNS_CTE}, {PRICES_CTE}, x AS (SELECT r.*, CASE WHEN success THEN 1 END AS ok, input_tokens / 1e6 * coalesce(price_in, 3.0) + output_tokens / 1e6 * coalesce(price_out, 15.0) AS cost FROM runs r LEFT JOIN pricing p ON r.model = p.model)
 SELECT task, profile, model, count(*) AS total_runs, count(ok) AS successful_runs, count(*) - count(ok) AS failed_runs,
   {rnd("count(ok) / count(*)", 6)} AS success_rate, """ + ", ".join(
     f"{rnd(f'avg({m} * ok)', 4)} AS {m}_mean, {rnd(samp('var_samp', f'{m} * ok'), 3)} AS {m}_variance, {rnd(samp('stddev_samp', f'{m} * ok'), 4)} AS {m}_stdev"
     for m in _EXEC) + " FROM x GROUP BY 1, 2, 3")
 def execution_aggregate(t):
-    g = aggregates.execution_stats(t.runs, ["task", "profile", "model"], _EXEC)
+    g = aggregates.execution_stats(aggregates.with_cost(t.runs, t.pricing, DEFAULT_PRICE), ["task", "profile", "model"], _EXEC)
     return g.select("task", "profile", "model", "total_runs", "successful_runs", "failed_runs", r("success_rate", 6),
                     *[r(f"{m}_{s}", d) for m in _EXEC for s, d in [("mean", 4), ("variance", 3), ("stdev", 4)]])
 

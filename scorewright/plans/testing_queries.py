@@ -247,11 +247,14 @@ def inter_rater_agreement(t):
  det AS (SELECT model, avg(v) AS mv, count(CASE WHEN v = 0 THEN 1 END) / count(*) * 100 AS pd FROM gv GROUP BY 1),
  dis AS (SELECT model, (avg(nz) FILTER (tier = 'gold') - avg(nz) FILTER (tier = 'severe')) / sqrt((var_samp(nz) FILTER (tier = 'gold') + var_samp(nz) FILTER (tier = 'severe')) / 2) AS d,
    count(nz) AS successful, count(*) - count(nz) AS failed FROM jj GROUP BY 1),
+ ts AS (SELECT model, {_TIER} AS x, nz AS y FROM jj WHERE nz IS NOT NULL), {spearman_sql('ts', 'model')},
  m AS (SELECT *, 0.4 * d / CASE WHEN max(d) OVER () > 0 THEN max(d) OVER () ELSE 1 END + 0.3 * pd / CASE WHEN max(pd) OVER () > 0 THEN max(pd) OVER () ELSE 1 END
    + 0.3 * (1 - mv / CASE WHEN max(mv) OVER () > 0 THEN max(mv) OVER () ELSE 1 END) AS sc FROM det JOIN dis USING (model))
-SELECT model, {rnd('d', 6)} AS d, {rnd('pd', 4)} AS pct_deterministic, {rnd('mv', 6)} AS mean_variance, {rnd('sc', 6)} AS recommendation_score, successful, failed,
-  row_number() OVER (ORDER BY round(sc, 9) DESC, model) = 1 AS recommended FROM m""")
+SELECT model, {rnd('d', 6)} AS d, {rnd('pd', 4)} AS pct_deterministic, {rnd('mv', 6)} AS mean_variance, {rnd('sc', 6)} AS recommendation_score, successful, failed, {rnd('rho', 6)} AS tier_correlation,
+  row_number() OVER (ORDER BY round(sc, 9) DESC, model) = 1 AS recommended,
+  CASE WHEN row_number() OVER (ORDER BY round(sc, 9) DESC, model) = 1 THEN printf('%s scored highest overall (score=%.2f): discrimination=%.2f, determinism=%.0f%%, variance=%.3f', model, sc, d, pd, mv) END AS reasoning
+FROM m JOIN sp USING (model)""")
 def judge_recommendation(t):
     j = t.judgements.withColumn("normalized", F.when(F.col("rep") != 7, F.col("normalized")))
     rec = calibration.recommend(j, _JUDGE_CRITERIA)
-    return rec.select("model", r("d", 6), r("pct_deterministic"), r("mean_variance", 6), r("recommendation_score", 6), "successful", "failed", "recommended")
+    return rec.select("model", r("d", 6), r("pct_deterministic"), r("mean_variance", 6), r("recommendation_score", 6), "successful", "failed", r("tier_correlation", 6), "recommended", "reasoning")

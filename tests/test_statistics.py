@@ -216,3 +216,17 @@ def test_t_critical_is_one_curve(spark):
     df = spark.createDataFrame([(k,) for k in known] + [(0,), (None,)], "df bigint")
     got = {r[0]: r[1] for r in df.select("df", tails.t_critical("df")).collect()}
     assert all(got[k] == pytest.approx(v, rel=1e-9) for k, v in known.items()) and got[0] is None is got[None]
+
+
+def test_chosen_run_sets_and_pairs(spark):
+    rows = [(f"r{i}", "m", "p", "t", "composite", 50.0 + i + k) for i in range(5) for k in range(3)]
+    df = spark.createDataFrame(rows, "run_set string, model string, profile string, task string, dimension string, score double")
+    keys = ["model", "profile", "task"]
+
+    def compared_pairs(chosen):
+        return sorted((r.run_set_a, r.run_set_b, r.n_comparisons) for r in stats.compare_run_sets(df, "run_set", keys, chosen=chosen).collect())
+
+    assert len(compared_pairs(None)) == 10
+    assert compared_pairs(spark.createDataFrame([("r4",), ("r1",), ("r2",)], "run_set string")) == [("r1", "r2", 3.0), ("r1", "r4", 3.0), ("r2", "r4", 3.0)]
+    wanted = spark.createDataFrame([("r4", "r0"), ("r1", "r2"), ("r2", "r1"), ("r3", "r3")], "run_set_a string, run_set_b string")
+    assert [p[:2] for p in compared_pairs(wanted)] == [("r0", "r4"), ("r1", "r2")]
