@@ -59,7 +59,8 @@ def mix_plan(docs: DataFrame, weights: list[float], share: float = 1.5, max_epoc
     reruns agree; rows with equal ids and texts are interchangeable. Other columns are not read. An empty table
     gives no rows.
     """
-    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 1)
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"), F.col(text_col)).cast("binary"))
+    key = F.conv(F.left(digest, F.lit(15)), 16, 10).cast("bigint")  # 60 bits
     rows = pin(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"),
                            F.xxhash64(F.col(text_col)).alias("text_hash"), key.alias("key")), "mix")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
@@ -68,7 +69,7 @@ def mix_plan(docs: DataFrame, weights: list[float], share: float = 1.5, max_epoc
     ranges = ranges or RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slices = F.ceil(F.col("_rows") * ranges / F.col("_all"))
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
-    place = F.floor(F.col("key") / F.lit(float(1 << 63)) * slices)
+    place = F.floor(F.col("key") / F.lit(float(1 << 60)) * slices)
     dealt = (rows.alias("r").join(targets.alias("t"), same("r", "t"))
              .select("r.*", "source_size", "target", place.alias("slice")))
     within = Window.partitionBy("source", "slice").orderBy("key", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)

@@ -57,7 +57,23 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_WEIGHTS = [5.0, 2.0, 1.0]
 
 
-@query()
+@query(f"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}')) AS BIGINT) AS size,
+         CAST('0x' || left(md5(concat_ws('|', '0', CAST(doc_id AS VARCHAR), text)), 15) AS BIGINT) AS key
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / weight AS ratio FROM w),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER f, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0)) AS level
+      FROM c WINDOW f AS (ORDER BY ratio, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(cap, weight * coalesce((SELECT level FROM l WHERE level <= ratio ORDER BY ratio, source NULLS FIRST LIMIT 1), 'inf'::DOUBLE)) AS target FROM l),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(floor(target) / source_size) AS BIGINT) ELSE 0 END AS passes FROM t),
+p AS (SELECT d.*, source_size, target, passes, CAST(floor(target) AS BIGINT) - passes * source_size AS rest,
+             CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
+      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, passes * size + least(size, greatest(0, rest - start)) AS taken, source FROM p
+""")
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"), MIX_WEIGHTS).select(
         "doc_id", "size", "source_size", "target", "taken", "source")
@@ -84,7 +100,20 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents).select("doc_id", "n_sentences", "n_removed", "text")
 
 
-@query()
+@query("""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS i, vec_id, CAST(embedding AS DOUBLE[]) AS e,
+         coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                  AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS usable
+  FROM embeddings),
+links AS (SELECT a.i AS a, b.i AS b FROM v a JOIN v b ON a.i <> b.i AND a.usable AND b.usable AND len(a.e) = len(b.e)
+          AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT i AS a, i AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.i) AS n_links,
+       (SELECT min(o.vec_id) FROM reach JOIN v o ON o.i = reach.b WHERE reach.a = v.i) AS component_id,
+       v.vec_id IS NOT DISTINCT FROM (SELECT min(o.vec_id) FROM reach JOIN v o ON o.i = reach.b WHERE reach.a = v.i) AS kept
+FROM v
+""")
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
 
