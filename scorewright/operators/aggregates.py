@@ -92,8 +92,9 @@ def grid_mean(runs: DataFrame, axes: list[str], dims: list[str], fill: float | N
     cells = pin(cells, "grid")
     names = cells.agg(*[F.collect_set(a).alias(a) for a in axes])
     grid = names
-    for a in axes:
+    for i, a in enumerate(axes):
         grid = grid.withColumn(a, F.explode(a))
+        grid = grid.repartition(a) if i == 0 else grid
     grid = grid.withColumn("dimension", F.explode(F.array(*[F.lit(d) for d in dims])))
     return grid.join(cells, [*axes, "dimension"], "left").withColumn(
         "value", F.coalesce("value", F.lit(float(fill))))

@@ -72,10 +72,14 @@ def expand_variants(runs: DataFrame, run_set: str = "run_set", profile: str = "p
 
 
 def run_matrix(plans: DataFrame, axes: list[str], reps: str = "reps") -> DataFrame:
-    """All planned runs of plan rows that name their axes as arrays: one row per combination and repetition."""
+    """All planned runs of plan rows that name their axes as arrays: one row per combination and repetition.
+
+    A plan is one row and a matrix is many: the rows are dealt out after the first axis.
+    """
     out = plans
-    for axis in axes:
+    for i, axis in enumerate(axes):
         out = out.withColumn(axis, F.explode(axis))
+        out = out.repartition(axis) if i == 0 else out
     return out.withColumn("run_number", F.explode(F.sequence(F.lit(1), F.col(reps).cast("int")))).drop(reps)
 
 

@@ -190,7 +190,8 @@ def systematic_sample(df: DataFrame, part: list[str], order: list[str], lines: i
                       splits: list[float] | None = None) -> DataFrame:
     """Every N-th row of a group and its last one, N = max(1, rows // lines)."""
     numbered = prefix.row_numbers(df, part, order, "position", splits)
-    sizes = df.groupBy(*part).agg(F.count("*").alias("total"))
+    # Written out, the sizes are known to be small and go to the rows; a join by group would deal all rows by few keys.
+    sizes = pin(df.groupBy(*part).agg(F.count("*").alias("total")), "sizes")
     step = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("total") / lines))
     return numbered.join(sizes, part).where(
         (F.col("position") % step == 0) | (F.col("position") == F.col("total")))

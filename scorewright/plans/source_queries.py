@@ -65,7 +65,7 @@ def scan_storage_runs(t):
     runs = t.runs
     path = scratch(t.spark, "storage")
     (runs.select("model", "profile", "task", F.to_json(storage_records(runs)).alias("value"))
-     .repartition("model", "profile", "task").write.partitionBy("model", "profile", "task").text(f"{path}/runs"))
+     .hint("rebalance", "model", "profile", "task").write.partitionBy("model", "profile", "task").text(f"{path}/runs"))
     back = src.read_runs(t.spark, path, "storage", **_LINES)
     return back.groupBy("model", "profile", "task", "code_output").agg(
         F.count("*").alias("n"), F.count_if("success").alias("succeeded"), F.sum("token_count").alias("token_count"),

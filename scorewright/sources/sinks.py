@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite, finite_map
+from ..session import pin
 
 
 def nested(runs: DataFrame, fields: list[str], scores: str = "scores", size: int = 10_000) -> DataFrame:
@@ -13,10 +14,11 @@ def nested(runs: DataFrame, fields: list[str], scores: str = "scores", size: int
 
     A document is one page of about `size` runs of a profile and task; a large task has many pages,
     and every run is on exactly one. Pages are dealt by hash before the runs are gathered, so the
-    number of runs of a task bounds neither the memory of a task nor the length of a line.
+    number of runs of a task bounds neither the memory of a task nor the length of a line. The number of pages
+    per profile and task is a small table of a known size, so Spark sends it to the runs and not the runs to it.
     """
     clean = runs.withColumn(scores, finite_map(scores))
-    sizes = clean.groupBy("profile", "task").agg(F.ceil(F.count("*") / size).alias("pages"))
+    sizes = pin(runs.groupBy("profile", "task").agg(F.ceil(F.count("*") / size).alias("pages")), "pages")
     dealt = clean.join(sizes, ["profile", "task"]).withColumn(
         "page", F.pmod(F.xxhash64(*fields), F.col("pages")))
     return dealt.groupBy("profile", "task", "page", "pages").agg(
