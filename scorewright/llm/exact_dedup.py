@@ -53,8 +53,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = pin(recipes(docs, id_col, text_col), "recipes")
     store = chunk_store(docs, text_col) if store is None else store
-    shared = store.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h")
-    unsure = (rows.select("row_id", F.explode("ids.h").alias("h")).join(shared, "h")
+    # Written out, this next to empty table has a size, by which Spark plans the join: small, it is sent to the rows.
+    shared = pin(store.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h"), "shared")
+    unsure = (rows.select("row_id", F.explode(F.array_distinct("ids.h")).alias("h")).join(shared, "h")
               .select("row_id").distinct().withColumn("unsure", F.lit(True)))
     empty = F.array().cast("array<binary>")
     keyed = rows.join(unsure, "row_id", "left").select(
