@@ -173,8 +173,9 @@ def run_health(t):
 SELECT profile, model, count(*) AS tasks, {rnd('avg(i)', 4)} AS avg_input_tokens, {rnd('avg(o)', 4)} AS avg_output_tokens,
        {rnd('avg(d)', 4)} AS avg_duration_seconds, {rnd('avg(s)', 6)} AS avg_success_rate FROM a GROUP BY 1, 2""")
 def summary_matrix(t):
-    return aggregates.summary_matrix(t.runs, ["profile", "model"], "task", _EXEC).select(
-        "profile", "model", "tasks", *[r(f"avg_{m}") for m in _EXEC], r("avg_success_rate", 6))
+    metrics = ["duration_seconds", "input_tokens", "output_tokens"]
+    return aggregates.summary_matrix(t.runs, ["profile", "model"], "task", metrics).select(
+        "profile", "model", "tasks", *[r(f"avg_{m}") for m in metrics], r("avg_success_rate", 6))
 
 
 _COST = f"input_tokens / 1e6 * coalesce(price_in, {DEFAULT_PRICE[0]}) + output_tokens / 1e6 * coalesce(price_out, {DEFAULT_PRICE[1]})"
