@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 SENTENCES, WORDS = 3, 20
 #: Up to a sentence's end before white space, or a line's end.
 SENTENCE = re.compile(r"""[^.!?。！？\n]*(?:[.!?。！？]+(?:["')\]”’]*(?:\s+|\Z)|(?=\S))|\n\s*|\Z)""")
-#: A longer sentence is cut after every vowel, consonant and white space.
-LONG = 160
-MARK = re.compile(r"(?i)(?<=[aeiou][lnrst]\s)|(?<=[aeiou][lnrst][,;:]\s)")
+#: A longer sentence is cut after every vowel, consonant and white space, with up to three other signs between them.
+LONG = 120
+MARK = re.compile("(?i)" + "|".join(rf"(?<=[aeiou][lnrst][^\w\s]{{{n}}}\s)" for n in range(4)))
 #: Where even those are missing, pieces have this length.
 PIECE = 400
 LETTERS = re.compile(r"[^\W_]+")

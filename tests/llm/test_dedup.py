@@ -262,3 +262,21 @@ def test_hashing_recall_at_the_threshold():
 def test_rotation_is_orthonormal():
     x = np.random.default_rng(1).normal(size=(5, 16))
     assert np.allclose(embedding_dedup.hadamard(embedding_dedup.hadamard(x)), x)
+
+
+def test_passages_between_other_words_are_caught(spark):
+    """Passages of over 50 words of the sample texts, put between any two words of other texts."""
+    rng = random.Random(10)
+    texts = [r["text"].split(" ") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL").collect()]
+    texts = [t for t in texts if len(t) > 150 and len(set(t)) > len(t) / 3]
+    caught = 0
+    for _ in range(200):
+        source, hosts = rng.choice(texts), [rng.choice(texts), rng.choice(texts)]
+        at = rng.randrange(len(source) - 55)
+        made = []
+        for h in hosts:
+            p = rng.randrange(len(h))
+            made.append(" ".join([*h[:p], *source[at:at + 55], *h[p:]]))
+        first, second = ({r[1:] for r in substring_dedup.runs(t, 3, 20)} for t in made)
+        caught += bool(first & second)
+    assert caught > 185
