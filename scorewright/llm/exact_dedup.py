@@ -63,7 +63,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(F.col("unsure"), F.col("ids.s")).otherwise(empty).alias("digests"))
     keyed = keyed.withColumn("mark", F.xxhash64("recipe", "digests"))
     key = ["mark", "recipe", "digests"]
-    groups = keyed.groupBy(*key).agg(F.max(F.struct("_id", "row_id")).alias("keep"), F.count("*").alias("group_size"))
+    # Written out, so that both sides of the join are dealt by key and Spark can split a large group of copies.
+    groups = pin(keyed.groupBy(*key).agg(F.max(F.struct("_id", "row_id")).alias("keep"), F.count("*").alias("group_size")), "groups")
     return keyed.join(groups, key).select(
         F.col("_id").alias(id_col), F.col("keep._id").alias("keep_id"), "group_size",
         (F.col("row_id") == F.col("keep.row_id")).alias("kept"), "text_sha256")
