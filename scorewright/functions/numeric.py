@@ -28,11 +28,21 @@ def finite(value: Column | str) -> Column:
     return F.when(F.isnan(v) | (F.abs(v) == F.lit(float("inf"))), F.lit(None)).otherwise(v)
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def last_entries(entries: Column) -> Column:
     """A map of (key, value) entries in which the last entry of a repeated key counts."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    return F.map_from_entries(F.transform(
-        keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)))
+    def build(found: Column) -> Column:
+        keys = F.transform(found, lambda e: e["key"])
+        last = F.transform(F.array_distinct(keys), lambda k: F.element_at(F.filter(found, lambda e: e["key"] == k), -1))
+        # Nearly every record names its keys once and is taken as it is.
+        once = F.size(F.array_distinct(keys)) == F.size(keys)
+        return F.when(once, F.map_from_entries(found)).otherwise(F.map_from_entries(last))
+
+    return let(entries, build)
 
 
 def finite_map(scores: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .numeric import col, finite, finite_map, last_entries, round_to
+from .numeric import col, finite, finite_map, last_entries, let, round_to
 
 # The score dimensions a nested score record is flattened to.
 STATIC_DIMENSIONS = ["test_pass_rate", "lint_score", "complexity_score"]
@@ -157,11 +157,6 @@ NESTED_RECORD = ("composite STRUCT<composite: DOUBLE>, "
                  "llm STRUCT<normalized: DOUBLE>")
 
 
-def _let(value: Column, body) -> Column:
-    """`body(value)` with the value computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def flatten_scores(raw: Column | str) -> Column:
     """Score JSON, nested or flat, to one map of dimension to value.
 
@@ -182,8 +177,8 @@ def flatten_scores(raw: Column | str) -> Column:
             e["key"].alias("key"), finite(e["value"].try_cast("double")).alias("value")))
 
     members = last_entries(F.map_entries(F.from_json(col(raw), "map<string,string>")))
-    found = _let(members, lambda m: F.when(
-        m["composite"].startswith("{"), _let(F.from_json(col(raw), NESTED_RECORD), nested)).otherwise(flat(m)))
+    found = let(members, lambda m: F.when(
+        m["composite"].startswith("{"), let(F.from_json(col(raw), NESTED_RECORD), nested)).otherwise(flat(m)))
     none = F.array().cast("array<struct<key:string,value:double>>")
     return F.map_from_entries(F.filter(F.coalesce(found, none), lambda e: e["value"].isNotNull()))
 

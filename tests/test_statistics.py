@@ -230,3 +230,15 @@ def test_chosen_run_sets_and_pairs(spark):
     assert compared_pairs(spark.createDataFrame([("r4",), ("r1",), ("r2",)], "run_set string")) == [("r1", "r2", 3.0), ("r1", "r4", 3.0), ("r2", "r4", 3.0)]
     wanted = spark.createDataFrame([("r4", "r0"), ("r1", "r2"), ("r2", "r1"), ("r3", "r3")], "run_set_a string, run_set_b string")
     assert [p[:2] for p in compared_pairs(wanted)] == [("r0", "r4"), ("r1", "r2")]
+
+
+def test_underpowered_experiments_say_so(spark):
+    from scorewright.operators import aggregates, findings
+
+    rng = random.Random(12)
+    rows = [("e", g, rng.gauss(50, 10), 100) for g in ("control", "x", "y") for _ in range(4)]
+    df = spark.createDataFrame(rows, "exp string, g string, score double, token_count bigint")
+    table = stats.variant_table(df, "g", "control", "score", ["exp"])
+    quality = df.groupBy("exp", "g").agg(F.avg("score").alias("quality"), F.sum("token_count").alias("total_tokens"))
+    kinds = {r.kind: r.text for r in findings.experiment_findings(table, quality, ["exp"], "g").collect()}
+    assert "no_difference" in kinds and kinds["underpowered"] == "2 of 2 comparisons have power below 80%"
