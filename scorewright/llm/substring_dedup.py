@@ -30,6 +30,8 @@ MARK = re.compile("(?i)" + "|".join(rf"(?<=[aeiou][lnrst][^\w\s]{{{n}}}\s)" for
 #: Where even those are missing, pieces have this length.
 PIECE = 400
 LETTERS = re.compile(r"[^\W_]+")
+#: Runs that are handed on at a time.
+SLICE = 100_000
 
 
 def cut_sentences(text: str) -> list[str]:
@@ -99,15 +101,18 @@ def span_table(docs: DataFrame, sentences: int, words: int, id_col: str, text_co
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch.drop_duplicates(["_id", "mark"]).sort_values(["_id", "mark"], na_position="first")
-            found = [runs(t, sentences, words) for t in batch["_text"]]
+            # An array per text: a batch has some hundred runs a text, and tuples of them would fill the memory.
+            found = [np.array(runs(t, sentences, words), "int64").reshape(-1, 3) for t in batch["_text"]]
             n = [len(f) for f in found]
-            flat = np.array([x for f in found for x in f], "int64").reshape(-1, 3)
+            flat = np.concatenate([np.empty((0, 3), "int64"), *found])
+            del found
             out = pd.DataFrame({"_id": batch["_id"].repeat(n).array, "mark": batch["mark"].repeat(n).to_numpy(),
                                 "first": flat[:, 0].astype("int32"), "a": flat[:, 1], "b": pd.array(flat[:, 2], "Int32")})
             again = out.duplicated(["a", "b"])
             out.loc[again, "a"] = out.loc[again, "mark"] + out.loc[again, "first"]
             out.loc[again, "b"] = pd.NA
-            yield out
+            for at in range(0, len(out), SLICE):
+                yield out.iloc[at:at + SLICE]
 
     return (docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("_text"))
             .where("_text IS NOT NULL").mapInPandas(find, f"_id {kind}, mark bigint, first int, a bigint, b int"))
