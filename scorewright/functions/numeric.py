@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # A tie such as 83.0003125 arrives as a double a hair below or above itself, depending on the order
 # in which the executors summed. The nudge sends both to the same side, so that a result does not
 # depend on task order.
-NUDGE = 0.500001
+NUDGE = 1e-6
 
 
 def col(c: Column | str) -> Column:
@@ -16,10 +16,13 @@ def col(c: Column | str) -> Column:
 
 
 def round_to(value: Column | str, digits: int) -> Column:
-    """Round half up, stable against the noise of floating sums; null for what is not finite."""
+    """Round half up, stable against the noise of floating sums; null for what is not finite (or beyond 9e18 units).
+
+    The value is named once: scores are rounded in several layers, and each further mention would double the code.
+    """
     scale = float(10**digits)
-    raised = finite(value) * F.lit(scale) + F.lit(NUDGE)
-    return (raised - F.pmod(raised, F.lit(1.0))) / F.lit(scale)
+    whole = F.rint(col(value).cast("double") * F.lit(scale) + F.lit(NUDGE)).try_cast("bigint")
+    return whole / F.lit(scale)
 
 
 def finite(value: Column | str) -> Column:
