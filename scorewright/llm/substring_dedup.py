@@ -1,9 +1,10 @@
 """Substring dedup by sliding spans of consecutive sentences.
 
-A text is cut into sentences; a sentence too long to be one is cut again at marks of its own content, so that a passage
-is cut alike wherever it stands. From every sentence on, the shortest run of at least `sentences` sentences and `words`
-words is hashed (128 bits, letters and digits only, lower-cased). Runs are joined over all documents: the first
-occurrence of a run, by document and place, stays, and sentences that any later occurrence covers are removed.
+A text is cut into sentences, and each sentence again at marks of its own content, so that a passage is cut alike
+wherever it stands and however long its neighbours' sentences are. From every such piece on, the shortest run of at
+least `sentences` pieces and `words` words is hashed (96 bits, letters and digits only, lower-cased). Runs are joined
+over all documents: the first occurrence of a run, by document and place, stays, and pieces that any later occurrence
+covers are removed. n_sentences and n_removed count the pieces.
 
 Occurrences that follow another one in the same batch of documents are known to be repeats before anything moves; only
 the first of a batch takes part in the global comparison, so a passage that stands in very many documents is no hot key.
@@ -24,12 +25,25 @@ from pyspark.sql import functions as F
 SENTENCES, WORDS = 3, 20
 #: Up to a sentence's end before white space, or a line's end.
 SENTENCE = re.compile(r"""[^.!?。！？\n]*(?:[.!?。！？]+(?:["')\]”’]*(?:\s+|\Z)|(?=\S))|\n\s*|\Z)""")
-#: A longer sentence is cut after every vowel, consonant and white space, with up to three other signs between them.
-LONG = 120
-MARK = re.compile("(?i)" + "|".join(rf"(?<=[aeiou][lnrst][^\w\s]{{{n}}}\s)" for n in range(4)))
+#: Letters of scripts that put no spaces between words; each counts as a word.
+CLOSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+LETTERS = re.compile(rf"[{CLOSE}]|[^\W_{CLOSE}]+")
+
+
+def half(seed: int, close: bool) -> str:
+    """A fixed half of the letters beyond a-z in either case, of scripts without spaces or of the others."""
+    own = re.compile(f"[{CLOSE}]")
+    return "".join(c for c in map(chr, range(0x80, 0x10000)) if c.isalpha() and bool(own.match(c)) == close
+                   and len(low := c.lower()) == 1 and not low.isascii() and (ord(low) * 0x9E3779B1 + seed * 0x85EBCA6B) >> 15 & 1)
+
+
+#: Every sentence is cut after words with certain two letters at their end, their white space and up to three other signs
+#: between; without spaces, after certain two letters. What is cut depends on nothing but those few characters.
+ENDS = [(f"[aeiouAEIOU{half(1, False)}]", f"[lnrtLNRT{half(2, False)}]"), ("[cdklmnrstvCDKLMNRSTV]", "[desyDESY]")]
+MARK = re.compile("|".join([rf"(?<={a}{b}[^\w\s]{{{n}}}\s)" for a, b in ENDS for n in range(4)]
+                                    + [f"(?<=[{half(3, True)}][{half(4, True)}])"]))
 #: Where even those are missing, pieces have this length.
 PIECE = 400
-LETTERS = re.compile(r"[^\W_]+")
 #: Runs that are handed on at a time.
 SLICE = 100_000
 
@@ -47,10 +61,10 @@ def cut_sentences(text: str) -> list[str]:
             open_ = piece
             continue
         open_ = ""
-        if len(piece) <= LONG:
-            out.append(piece)
-            continue
-        for part in MARK.split(piece):
+        for k, part in enumerate(MARK.split(piece)):
+            if k and not part.strip():  # white space goes with what is before it
+                out[-1] += part
+                continue
             out += [part[i:i + PIECE] for i in range(0, len(part), PIECE)]
     if open_:
         out.append(open_)
@@ -70,7 +84,7 @@ def spans_of(sentences: list[str], least: int, words: int) -> Iterator[tuple[int
             end += 1
         if total < words or end - start < least:
             return
-        yield own[start][0], own[end - 1][0] + 1, "\n".join([w for _, _, w in own[start:end]])
+        yield own[start][0], own[end - 1][0] + 1, " ".join([w for _, _, w in own[start:end]])
         total -= own[start][1]
 
 

@@ -280,3 +280,42 @@ def test_passages_between_other_words_are_caught(spark):
         first, second = ({r[1:] for r in substring_dedup.runs(t, 3, 20)} for t in made)
         caught += bool(first & second)
     assert caught > 185
+
+
+def test_planted_passages_go_whole_whatever_stands_beside_them():
+    """How many planted passages are found, in all kinds of sample texts, and how much of each goes."""
+    import pyarrow.parquet as pq
+    rng = random.Random(10)
+    texts = [t.split(" ") for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if t]
+    texts = [t for t in texts if len(t) > 150]
+    found, gone = 0, 0.0
+    for _ in range(300):
+        source, at = rng.choice(texts), 0
+        at = rng.randrange(len(source) - 51)
+        passage, made = source[at:at + 51], []
+        for h in (rng.choice(texts), rng.choice(texts)):
+            p = rng.randrange(1, len(h))
+            made.append((" ".join(h[:p]) + " ", " ".join(passage), " " + " ".join(h[p:])))
+        first = {r[1:] for r in substring_dedup.runs("".join(made[0]), 3, 20)}
+        text, (before, own, _) = "".join(made[1]), made[1]
+        starts = {r[0] for r in substring_dedup.runs(text, 3, 20) if r[1:] in first}
+        pieces, lost = substring_dedup.cut_sentences(text), set()
+        for a, b, _ in substring_dedup.spans_of(pieces, 3, 20):
+            lost |= set(range(a, b)) if a in starts else set()
+        found += bool(starts)
+        ends = np.cumsum([len(s) for s in pieces])
+        cut = sum(max(0, min(ends[i], len(before) + len(own)) - max(ends[i] - len(pieces[i]), len(before))) for i in lost)
+        gone += cut / len(own)
+    assert found >= 0.98 * 300 and gone >= 0.9 * 300
+
+
+@pytest.mark.parametrize("letters,space", [("абвгдежзиклмнопрстуф", " "), ("的一是不了在人有我他这中大来上国个到说们", ""), ("äöüßéèñçåøæœšžýðþłęą", " ")])
+def test_passages_in_other_scripts_are_cut_alike(letters, space):
+    rng = random.Random(14)
+    make = lambda n: space.join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n))
+    hit = 0
+    for _ in range(50):
+        passage = make(80)
+        first, second = ({r[1:] for r in substring_dedup.runs(space.join([make(rng.randint(3, 60)), passage, make(40)]), 3, 20)} for _ in range(2))
+        hit += bool(first & second)
+    assert hit >= 48
