@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, exact_dedup, mixing, packing, pii, simhash, substring_dedup, toxicity, url_filter
+from . import chat_format, collocation, divergence, embedding_dedup, exact_dedup, mixing, packing, pii, simhash, substring_dedup, toxicity, url_filter
 from .registry import ORACLES, QUERIES, query, table
 
 LOWER_SQL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -140,6 +140,64 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                         pii.joined("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("bigint").alias("n_added"))
 
 
+@query(r"""
+WITH docs AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang,
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+parts AS (SELECT id, lang, unnest(regexp_extract_all(t, '[.,;:!?\x0A-\x0D]|[^\x20\x09.,;:!?\x0A-\x0D]+')) AS w,
+                 unnest(range(len(regexp_extract_all(t, '[.,;:!?\x0A-\x0D]|[^\x20\x09.,;:!?\x0A-\x0D]+')))) AS i FROM docs),
+marked AS (SELECT *, regexp_matches(w, '^[.,;:!?\x0A-\x0D]$') AS mark FROM parts),
+seen AS (SELECT lang, w, mark, lead(w) OVER o AS w2, lead(mark) OVER o AS m2, lead(w, 2) OVER o AS w3, lead(mark, 2) OVER o AS m3
+         FROM marked WINDOW o AS (PARTITION BY id ORDER BY i)),
+grams AS (SELECT lang, 1 AS m, w AS phrase FROM seen WHERE NOT mark
+          UNION ALL SELECT lang, 2, w || ' ' || w2 FROM seen WHERE NOT mark AND NOT m2
+          UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3 FROM seen WHERE NOT mark AND NOT m2 AND NOT m3),
+f AS (SELECT lang, m, phrase, CAST(count(*) AS BIGINT) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 10),
+cuts AS (SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r,
+                CAST((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+         FROM c JOIN (VALUES (1), (2)) AS s(k) ON k < m
+         JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ')
+         JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+most AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS most FROM c, (VALUES (1), (2)) AS s(i) WHERE m = 3 GROUP BY ALL),
+kept AS (SELECT scored.* FROM scored LEFT JOIN most ON scored.lang = most.lang AND scored.phrase = most.phrase
+         WHERE most IS NULL OR 100 * most < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+""")
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.mine_collocations(table(spark, sf_dir, "documents"))
+
+
+@query(r"""
+WITH docs AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+words AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+l AS (SELECT lang, term, count(*) AS c FROM words GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+gc AS (SELECT lang, source, term, count(*) AS c FROM words JOIN l USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM l GROUP BY lang),
+g AS (SELECT d.lang, d.source, coalesce(t.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM docs) d
+      LEFT JOIN (SELECT lang, source, sum(c) AS n FROM gc GROUP BY ALL) t ON d.lang = t.lang AND d.source = t.source),
+p AS (SELECT g.lang, g.source, l.term, coalesce(gc.c, 0) AS c,
+             CAST(1 + (1000000000::HUGEINT * (coalesce(gc.c, 0) + 5)) // (g.n + 5 * v.v) AS BIGINT) AS p,
+             CAST(1 + (1000000000::HUGEINT * (l.c + 5)) // (v.n + 5 * v.v) AS BIGINT) AS q
+      FROM g JOIN l ON g.lang = l.lang JOIN v ON g.lang = v.lang
+      LEFT JOIN gc ON gc.lang = g.lang AND gc.source = g.source AND gc.term = l.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+                     FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+          ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+rows AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+         UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM rows QUALIFY part = 'pair' OR rank <= 50
+""")
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 def all_queries():
     return dict(QUERIES)
 
