@@ -15,10 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from ..session import pin
 from . import bytewords
+from .bytewords import mixed
 
 #: Words of the corpus for each bucket of stripes; also the most occurrences of one prefix that meet in a bucket.
 BUCKET_WORDS = 1 << 20
@@ -52,17 +52,6 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(count, "lang string, word string, f bigint").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
-def mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
-    """A 64-bit hash of two."""
-    x = (a.astype("u8") ^ (np.asarray(b, "u8") + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) ^ (x >> np.uint64(31))
-
-
-def hashes(words: pa.Array) -> np.ndarray:
-    """64-bit hashes of strings, the same in every process."""
-    return np.array([xxh64_intdigest(v.as_buffer()) for v in words], "u8")
-
-
 def stripes_of(chunk: pa.RecordBatch, max_words: int, buckets: int, usual: int, hot: dict[tuple[str, str], int]) -> pa.RecordBatch | None:
     """(lang, bucket, stripes) of (lang, text): a line per prefix, its next words with their counts behind it, all parted by tabs.
 
@@ -73,7 +62,7 @@ def stripes_of(chunk: pa.RecordBatch, max_words: int, buckets: int, usual: int,
     if not len(w.codes):
         return None
     lang, size = chunk.column(0).dictionary_encode(), len(w.names)
-    word_hash, lang_hash = hashes(w.names), hashes(lang.dictionary)
+    word_hash, lang_hash = bytewords.hashes(w.names), bytewords.hashes(lang.dictionary)
     asked = np.full(len(lang.dictionary) * size, usual, "i8")
     if hot:
         places = [pc.index_in(pa.array([key[i] for key in hot], names.type), value_set=names).to_numpy(zero_copy_only=False)

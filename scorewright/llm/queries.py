@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, collocation, divergence, embedding_dedup, exact_dedup, mixing, packing, pii, simhash, substring_dedup, toxicity, url_filter
+from . import chat_format, collocation, divergence, embedding_dedup, exact_dedup, mixing, packing, pii, quality, simhash, substring_dedup, toxicity, url_filter
 from .registry import ORACLES, QUERIES, query, table
 
 LOWER_SQL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -170,6 +170,13 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.mine_collocations(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op12_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_quality(documents, table(spark, sf_dir, "labels")).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query(r"""
 WITH docs AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
