@@ -31,6 +31,9 @@ NOT_SPACE = ~bytewords.byte_set(" \t\n\x0b\x0c\r")
 KINDS = [bytewords.byte_set(s) for s in (
     "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\t\n\x0b\x0c\r", ".", ",", "!", "?;:", "'\"()-",
     "#", "$", "%", "&", "*", "+<=>^~`", "@/\\", "[]{}", "|", "_")] + [np.arange(256) >= 128, np.arange(256) < 9]
+#: Of each byte its kind, the last where it has none.
+KIND = np.argmax(np.stack([*KINDS, np.ones(256, bool)]), axis=0)
+KIND[KIND == len(KINDS)] = len(KINDS) - 1
 UPPER, LETTER, SIGN = KINDS[1], KINDS[0] | KINDS[1] | KINDS[20], ~(KINDS[0] | KINDS[1] | KINDS[2] | KINDS[20])
 FEATURES = len(KINDS) + 11 + SLOTS
 
@@ -48,22 +51,23 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     # A passage's bytes go from its first word, or the beginning of its text, to the next passage.
     nth = np.arange(total) - first_part[owner]
     begin = np.where(nth == 0, s.texts[owner], 0)
-    begin[nth > 0] = s.starts[first_word[owner] [nth > 0] + nth[nth > 0] * PASSAGE]
+    begin[nth > 0] = s.starts[first_word[owner][nth > 0] + nth[nth > 0] * PASSAGE]
     bounds = np.append(begin, len(s.data))
 
-    def counted(kind: np.ndarray) -> np.ndarray:
-        """Of every place in the bytes, how many of a kind precede it."""
-        return np.concatenate(([0], np.cumsum(kind[s.data], dtype="i8")))
-
-    per = lambda weights: np.bincount(part, weights, total)
+    size = np.diff(bounds)
     x = np.zeros((total, FEATURES), "f4")
-    size = np.maximum(np.diff(bounds), 1)
-    for i, kind in enumerate(KINDS):
-        x[:, i] = np.diff(counted(kind)[bounds]) / size
+    kinds = np.bincount(np.repeat(np.arange(total), size) * len(KINDS) + KIND[s.data], minlength=total * len(KINDS))
+    x[:, :len(KINDS)] = kinds.reshape(total, len(KINDS)) / np.maximum(size, 1)[:, None]
+    per = lambda weights: np.bincount(part, weights, total)
+
+    def within(chosen: np.ndarray) -> np.ndarray:
+        """Of each word, how many of its bytes are chosen."""
+        before = np.concatenate(([0], np.cumsum(chosen[s.data], dtype="i4")))
+        return before[s.ends] - before[s.starts]
+
     if len(doc):
         words = np.maximum(per(None), 1)
         length = (s.ends - s.starts).astype("f8")
-        within = lambda kind: (lambda c: c[s.ends] - c[s.starts])(counted(kind))
         upper, letters, signs = within(UPPER), within(LETTER), within(SIGN)
         mean = per(length) / words
         again = np.concatenate(([False], (codes[1:] == codes[:-1]) & (part[1:] == part[:-1])))
