@@ -35,10 +35,16 @@ def pairwise(groups: DataFrame, entity: str, on: list[str], values: list[str], c
     pairs = [f"{entity}_a", f"{entity}_b"]
     if chosen is None:
         return a.join(b, on).where(F.col(pairs[0]) < F.col(pairs[1]))
-    wanted = chosen.select(F.least(*pairs).alias(pairs[0]), F.greatest(*pairs).alias(pairs[1])).where(F.col(pairs[0]) < F.col(pairs[1])).distinct()
+    wanted = ordered_pairs(chosen, entity)
     return a.join(wanted, pairs[0]).join(b, [*on, pairs[1]]).select(*on, *pairs, *[f"{v}_{s}" for s in "ab" for v in values])
 
 
+def ordered_pairs(chosen: DataFrame, entity: str) -> DataFrame:
+    """Distinct pairs of different entities, the smaller name on side a."""
+    a, b = f"{entity}_a", f"{entity}_b"
+    return chosen.select(F.least(a, b).alias(a), F.greatest(a, b).alias(b)).where(F.col(a) < F.col(b)).distinct()
+
+
 def overlap(runs: DataFrame, entity: str, keys: list[str], minimum: int = 2) -> DataFrame:
     """Keys found in at least `minimum` run sets, with their number."""
     pairs = runs.select(*keys, entity).distinct()

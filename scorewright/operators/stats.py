@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import labels, tails
 from ..functions.numeric import ratio
 from ..session import pin
-from . import joins, prefix
+from . import joins, prefix, sweep
 
 TINY = 1e-10
 
@@ -285,7 +285,8 @@ def compare_run_sets(run_scores: DataFrame, entity: str, keys: list[str], dim: s
     `chosen` names the wanted run sets, or pairs of them, as in `joins.pairwise`; without it all are compared.
 
     The nominal number is pairs of run sets times keys found in at least two of them times dimensions,
-    whether or not each of those tests could be made.
+    whether or not each of those tests could be made. All pairs of a key and dimension come from one pass over its value counts;
+    values without a bound on their number need `splits`, which pairs the counts instead.
     """
     if chosen is not None:
         # Histograms of other run sets are of no use to any pair.
@@ -294,7 +295,13 @@ def compare_run_sets(run_scores: DataFrame, entity: str, keys: list[str], dim: s
         run_scores = run_scores.join(wanted, entity, "left_semi")
     hist = pin(histogram(run_scores, [*keys, dim, entity], value), "histogram")
     sides = [*keys, dim, f"{entity}_a", f"{entity}_b"]
-    stats = two_sample(all_pairs(hist, [*keys, dim], entity, chosen), sides, splits)
+    if splits is not None:
+        stats = two_sample(all_pairs(hist, [*keys, dim], entity, chosen), sides, splits)
+    else:
+        found = sweep.pair_sweep(hist, [*keys, dim], entity)
+        if chosen is not None and entity not in chosen.columns:
+            found = found.join(joins.ordered_pairs(chosen, entity), sides[-2:], "left_semi")
+        stats = _summary(found, sides)
     stats = stats.where((F.col("n_a") >= minimum) & (F.col("n_b") >= minimum))
     tested = mann_whitney(stats, "two-sided", method)
 

@@ -181,7 +181,7 @@ def results_validity(t):
     return src.validate_run_sets(sets, t.runs, sets.where("run_set % 3 <> 0"))
 
 
-def _catalog(t):
+def catalog_of(t):
     """Run sets as catalog entries: one per year and model."""
     g = t.runs.groupBy("run_set", "model").agg(
         F.array_sort(F.collect_set("profile")).alias("profiles"), F.array_sort(F.collect_set("task")).alias("tasks"), F.count("*").alias("total_runs"))
@@ -195,21 +195,22 @@ def _catalog(t):
         F.lit(None).cast("string").alias("experiment_name"), F.lit("2024-01-01").alias("intake_timestamp"))
 
 
-_CATALOG_CTE = RUNS_CTE + """, cat AS (SELECT 'run-' || lpad(CAST((run_set - 1994) * 3 + strpos('FOP', model) - 1 AS VARCHAR), 3, '0') AS run_id, 'Sweep ' || lower(model) || '-' || run_set AS name,
+CATALOG_SQL = """cat AS (SELECT 'run-' || lpad(CAST((run_set - 1994) * 3 + strpos('FOP', model) - 1 AS VARCHAR), 3, '0') AS run_id, 'Sweep ' || lower(model) || '-' || run_set AS name,
   run_set || '-07-01T12:00:00' AS timestamp, '/results/' || lower(model) || '-' || run_set AS results_path, run_set, model, count(DISTINCT task) AS task_count, count(*) AS total_runs FROM runs GROUP BY run_set, model)"""
+_CATALOG_CTE = RUNS_CTE + ", " + CATALOG_SQL
 
 
 @query("catalog_find", f"""WITH {_CATALOG_CTE}
 SELECT run_id, name, CASE WHEN run_id IN ('run-005', 'run-010') THEN 1 WHEN run_set % 2 = 0 THEN 2 ELSE 3 END AS match_rank FROM cat
 WHERE run_id IN ('run-005', 'run-010') OR run_set % 2 = 0 OR lower(name) LIKE '%p-199%'""")
 def catalog_find(t):
-    return filters.catalog_find(_catalog(t), ["run-005", "run-010", "run-999"], ["even", "none"], ["P-199"]).select("run_id", "name", "match_rank")
+    return filters.catalog_find(catalog_of(t), ["run-005", "run-010", "run-999"], ["even", "none"], ["P-199"]).select("run_id", "name", "match_rank")
 
 
 @query("catalog_list", f"""WITH {_CATALOG_CTE}
 SELECT run_id, name, left(timestamp, 10) AS date, task_count, total_runs FROM cat WHERE run_set % 2 = 0 AND model = 'O'""")
 def catalog_list(t):
-    return filters.catalog_list(_catalog(t), ["even"], "O", "promo-01").select(
+    return filters.catalog_list(catalog_of(t), ["even"], "O", "promo-01").select(
         "run_id", "name", "date", F.col("task_count").cast("bigint").alias("task_count"), "total_runs")
 
 
@@ -220,7 +221,7 @@ UNION ALL SELECT run_id, name, results_path, CASE WHEN model = 'F' THEN 'a,' ||
  FROM old WHERE run_set <= 1996 AND run_id <> 'run-005'""")
 def catalog_upsert(t):
     """Replace known paths and add new ones, remove one entry, tag the entries of a model."""
-    cat = _catalog(t)
+    cat = catalog_of(t)
     year = F.right("name", F.lit(4)).cast("int")
     old = cat.where(year <= 1998)
     new = cat.where(year > 1996).withColumn("name", F.lit(None).cast("string")).withColumn("tags", F.array(F.lit("new")))

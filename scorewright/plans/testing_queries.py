@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, tails
 from ..functions.numeric import round_to
-from ..operators import calibration, prefix, stats
+from ..operators import calibration, filters, prefix, stats
 from .aggregating_queries import r
 from .bindings import BASELINE, DIMS, JUDGED_CTE, LONG_CTE, QUALITY_CTE, SCORED_CTE
 from .registry import query, rnd
+from .source_queries import CATALOG_SQL, catalog_of
 
 _JUDGE_CRITERIA = ["readability", "architecture", "adherence", "correctness"]
 
@@ -181,7 +182,9 @@ def variant_vs_control(t):
 
 
 _DELTA = "CASE WHEN mean_a = 0 THEN 0 ELSE (mean_b - mean_a) / mean_a END"
-COMPARE_CTE = LONG_CTE + f""", b AS (SELECT model, profile, task, dimension, run_set, score FROM run_scores),
+def compare_cte(where: str = "") -> str:
+    """Raw scores of both sides of every two run sets, the U test over them and its correction."""
+    return f""", b AS (SELECT model, profile, task, dimension, run_set, score FROM run_scores{where}),
  sets AS (SELECT DISTINCT model, profile, task, dimension, run_set FROM b),
  prs AS (SELECT x.model, x.profile, x.task, x.dimension, x.run_set AS run_set_a, y.run_set AS run_set_b FROM sets x JOIN sets y
    ON x.model = y.model AND x.profile = y.profile AND x.task = y.task AND x.dimension = y.dimension AND x.run_set < y.run_set),
@@ -195,15 +198,30 @@ COMPARE_CTE = LONG_CTE + f""", b AS (SELECT model, profile, task, dimension, run
    p * (e * (e - 1) // 2 * k * dd) < 0.05 AND abs({_DELTA}) > 0.05 AS is_significant FROM tested CROSS JOIN nom)"""
 
 
-@query("compare_run_sets", f"""WITH {COMPARE_CTE}
-SELECT model, profile, task, dimension, run_set_a, run_set_b, n_a, n_b, u, {rnd('mean_a', 4)} AS mean_a, {rnd('mean_b', 4)} AS mean_b, {rnd('delta', 5)} AS delta_pct,
-  {rnd('z', 4)} AS z, {rnd('d', 4)} AS effect_size, {rnd('p', 5)} AS raw_p_value, {rnd('adj', 4)} AS p_value, effect_label, is_significant, n_comparisons FROM compared""")
-def compare_run_sets(t):
-    c = stats.compare_run_sets(t.run_scores, "run_set", ["model", "profile", "task"], method="asymptotic")
+COMPARE_CTE = LONG_CTE + compare_cte()
+_COMPARED = f"""SELECT model, profile, task, dimension, run_set_a, run_set_b, n_a, n_b, u, {rnd('mean_a', 4)} AS mean_a, {rnd('mean_b', 4)} AS mean_b, {rnd('delta', 5)} AS delta_pct,
+  {rnd('z', 4)} AS z, {rnd('d', 4)} AS effect_size, {rnd('p', 5)} AS raw_p_value, {rnd('adj', 4)} AS p_value, effect_label, is_significant, n_comparisons FROM compared"""
+
+
+def _compared(c):
     return c.select("model", "profile", "task", "dimension", "run_set_a", "run_set_b", "n_a", "n_b", "u", r("mean_a"), r("mean_b"),
                     r("delta_pct", 5), r("z"), r("effect_size"), r("raw_p_value", 5), r("p_value", 4), "effect_label", "is_significant", F.col("n_comparisons").cast("bigint").alias("n_comparisons"))
 
 
+@query("compare_run_sets", f"WITH {COMPARE_CTE} {_COMPARED}")
+def compare_run_sets(t):
+    return _compared(stats.compare_run_sets(t.run_scores, "run_set", ["model", "profile", "task"], method="asymptotic"))
+
+
+@query("compare_chosen_run_sets", f"""WITH {LONG_CTE}, {CATALOG_SQL},
+ chosen AS (SELECT DISTINCT run_set FROM cat WHERE run_id = 'run-005' OR run_set % 2 = 0){compare_cte(" WHERE run_set IN (SELECT run_set FROM chosen)")} {_COMPARED}""")
+def compare_chosen_run_sets(t):
+    """The run sets that the catalog finds by id or tag, each with each."""
+    found = filters.catalog_find(catalog_of(t), ["run-005"], ["even"])
+    chosen = found.select(F.right("name", F.lit(4)).cast("int").alias("run_set"))
+    return _compared(stats.compare_run_sets(t.run_scores, "run_set", ["model", "profile", "task"], chosen=chosen))
+
+
 @query("judge_variance", f"""WITH {JUDGED_CTE}, c AS (""" + " UNION ALL ".join(
     f"SELECT model, task, tier, '{c}' AS criterion, {c} AS s FROM judgements" for c in _JUDGE_CRITERIA) + f"""),
  g AS (SELECT model, task, tier, criterion, var_samp(s) AS v FROM c GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2)

@@ -242,3 +242,31 @@ def test_underpowered_experiments_say_so(spark):
     quality = df.groupBy("exp", "g").agg(F.avg("score").alias("quality"), F.sum("token_count").alias("total_tokens"))
     kinds = {r.kind: r.text for r in findings.experiment_findings(table, quality, ["exp"], "g").collect()}
     assert "no_difference" in kinds and kinds["underpowered"] == "2 of 2 comparisons have power below 80%"
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_one_sweep_gives_all_pairs(spark, monkeypatch, block):
+    from scorewright.operators import sweep
+
+    monkeypatch.setattr(sweep, "BLOCK", block)
+    rng = random.Random(block)
+    rows = [(rng.choice(["k", "ü", None]), rng.choice([1, 2, None]), rng.choice(["r1", "r10", "r2", "R", "ä", None]), float(rng.randint(0, 6)))
+            for _ in range(400)] + [("alone", 1, "r1", 2.0), ("k", 3, "r1", 1.0), ("k", 3, "r2", 1.0)]
+    df = spark.createDataFrame(rows, "k string, i int, e string, score double")
+    keys = ["k", "i", "e_a", "e_b"]
+    hist = stats.histogram(df, ["k", "i", "e"])
+    got = {tuple(r[k] for k in keys): r for r in stats._summary(sweep.pair_sweep(hist, ["k", "i"], "e"), keys).collect()}
+    sides = {}
+    for k, i, e, v in rows:
+        sides.setdefault((k, i), {}).setdefault(e, []).append(v)
+    want = {(k, i, a, b): (x[a], x[b]) for (k, i), x in sides.items() for a in x for b in x if a and b and a < b}
+    assert set(got) == set(want) and len(want) > 90
+    for key, (a, b) in want.items():
+        r = got[key]
+        assert (r.n_a, r.n_b, r.u) == (len(a), len(b), sum((x > y) + (x == y) / 2 for x in a for y in b))
+        assert r.mean_a == pytest.approx(sum(a) / len(a)) and r.mean_b == pytest.approx(sum(b) / len(b))
+        n, ties = len(a) + len(b), sum((a + b).count(v) ** 3 - (a + b).count(v) for v in set(a + b))
+        assert r.u_var == pytest.approx(max(0, len(a) * len(b) / 12 * ((n + 1) - ties / (n * (n - 1))))) and r.has_ties == (ties > 0)
+    assert sweep.pair_sweep(hist.limit(0), ["k", "i"], "e").count() == 0
+    plan = sweep.pair_sweep(hist, ["k", "i"], "e")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
