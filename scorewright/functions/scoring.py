@@ -174,7 +174,7 @@ def flatten_scores(raw: Column | str) -> Column:
 
     def flat(members: Column) -> Column:
         return F.transform(F.map_entries(members), lambda e: F.struct(
-            e["key"].alias("key"), finite(e["value"].try_cast("double")).alias("value")))
+            e["key"].alias("key"), finite(number(e["value"])).alias("value")))
 
     members = last_entries(F.map_entries(F.from_json(col(raw), "map<string,string>")))
     found = let(members, lambda m: F.when(
@@ -183,6 +183,11 @@ def flatten_scores(raw: Column | str) -> Column:
     return F.map_from_entries(F.filter(F.coalesce(found, none), lambda e: e["value"].isNotNull()))
 
 
+def number(text: Column) -> Column:
+    """A text as a double, null where it is none. What doesn't start like a number is not tried: a failed cast costs an exception."""
+    return F.when(text.rlike(r"^\s*[-+]?\.?[0-9]"), text.try_cast("double"))
+
+
 def run_quality(scores: Column | str, policy: str = "mean_all") -> Column:
     """One number per run from its score map; null where there is none."""
     m = col(scores)

@@ -105,25 +105,27 @@ def with_response_payload(df: DataFrame, text: str, out: str) -> DataFrame:
     else everything from the first brace to the last, else itself. Each step is its own projection,
     so that a costly value is computed once and then read as a column.
     """
-    names = ["_raw", "_structured", "_result", "_inner", "_fenced", "_bare"]
+    names = ["_raw", "_envelope", "_inner", "_fenced", "_bare"]
     df = df.withColumn("_raw", F.trim(col(text), F.lit(" \t\n\r")))
-    df = df.withColumns({"_structured": F.get_json_object("_raw", "$.structured_output"),
-                         "_result": F.get_json_object("_raw", "$.result")})
-    df = df.withColumn("_inner", F.coalesce("_result", "_raw"))
+    # Only an object can be an envelope; parsing any other text would cost an exception.
+    df = df.withColumn("_envelope", F.when(F.col("_raw").startswith("{"), F.from_json("_raw", ENVELOPE)))
+    df = df.withColumn("_inner", F.coalesce("_envelope.result", "_raw"))
     df = df.withColumns({"_fenced": F.regexp_extract("_inner", r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1),
                          "_bare": F.regexp_extract("_inner", r"(?s)\{.*\}", 0)})
-    payload = (F.when(F.col("_structured").startswith("{"), F.col("_structured"))
+    structured = F.col("_envelope.structured_output")
+    payload = (F.when(structured.startswith("{"), structured)
                .when(F.col("_fenced") != "", F.col("_fenced"))
                .when(F.col("_bare") != "", F.col("_bare")).otherwise(F.col("_inner")))
     return df.withColumn(out, payload).drop(*names)
 
 
-EVALUATIONS = "struct<evaluations:array<struct<criterion:string,score:string,reasoning:string>>>"
+ENVELOPE = "structured_output string, result string"
+EVALUATIONS = "array<struct<criterion:string,score:string,reasoning:string>>"
 
 
-def response_evaluations(payload: Column | str) -> Column:
-    """Evaluations of an extracted response payload."""
-    return F.from_json(col(payload), EVALUATIONS)["evaluations"]
+def response_evaluations(parsed: Column | str) -> Column:
+    """Evaluations of a payload parsed as a variant."""
+    return F.try_variant_get(col(parsed), "$.evaluations", EVALUATIONS)
 
 
 def whole_score(score: Column) -> Column:
@@ -131,9 +133,9 @@ def whole_score(score: Column) -> Column:
     return score.try_cast("double").try_cast("int")
 
 
-def response_verdict(text: Column | str, payload: Column | str, evaluations: Column | str,
+def response_verdict(text: Column | str, parsed: Column | str, evaluations: Column | str,
                      expected: list[str]) -> Column:
-    """ok, or the first reason to reject the response."""
+    """ok, or the first reason to reject the response; `parsed` is its payload as a variant, null if that is no JSON."""
     raw, ev = F.trim(col(text), F.lit(" \t\n\r")), col(evaluations)
     score = lambda e: whole_score(e["score"])
     names = F.transform(ev, lambda e: e["criterion"])
@@ -142,7 +144,7 @@ def response_verdict(text: Column | str, payload: Column | str, evaluations: Col
     bad_score = F.exists(ev, lambda e: score(e).isNull() | ~score(e).between(1, 5))
     no_reason = F.exists(ev, lambda e: F.trim(e["reasoning"]) == "")
     return (F.when(raw.isNull() | (raw == ""), "empty_response")
-            .when(F.try_parse_json(col(payload)).isNull(), "invalid_json")
+            .when(col(parsed).isNull(), "invalid_json")
             .when(ev.isNull() | (F.size(ev) <= 0), "no_evaluations")
             .when(bad_entry, "invalid_entry").when(bad_score, "invalid_score")
             .when(no_reason, "empty_reasoning")

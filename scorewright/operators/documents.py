@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,11 +56,11 @@ def lint(docs: DataFrame, rules: list[tuple[str, str]] = LINE_RULES, text: str =
 def parse_judgements(df: DataFrame, text: str, expected: list[str]) -> DataFrame:
     """Add the verdict on each response, and average and normalized score of the accepted ones."""
     out = tx.with_response_payload(df, text, "_payload")
-    out = out.withColumn("_ev", tx.response_evaluations("_payload"))
-    out = out.withColumn("verdict", tx.response_verdict(text, "_payload", "_ev", expected))
+    out = out.withColumn("_parsed", F.try_parse_json("_payload")).withColumn("_ev", tx.response_evaluations("_parsed"))
+    out = out.withColumn("verdict", tx.response_verdict(text, "_parsed", "_ev", expected))
     scores = F.transform("_ev", lambda e: tx.whole_score(e["score"]).cast("double"))
     out = out.withColumn("average", F.when(F.col("verdict") == "ok", scoring.judge_average_array(scores)))
-    return out.withColumn("normalized", scoring.judge_normalized("average")).drop("_payload", "_ev")
+    return out.withColumn("normalized", scoring.judge_normalized("average")).drop("_payload", "_parsed", "_ev")
 
 
 def concat_files(files: Column | str) -> Column:
@@ -74,33 +70,6 @@ def concat_files(files: Column | str) -> Column:
         entries, lambda e: F.concat(F.lit("# --- "), e["key"], F.lit(" ---\n"), e["value"])), "\n\n")
 
 
-def _diff_batches(batches: Iterator[pd.DataFrame], a: str, b: str, label_a: str, label_b: str) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for left, right, na, nb in zip(pdf[a], pdf[b], pdf[label_a], pdf[label_b]):
-            text = list(difflib.unified_diff(left.splitlines(True), right.splitlines(True), str(na), str(nb), n=3))
-            body = [x for x in text if not x.startswith(("---", "+++", "@@"))]
-            signs = [x[:1] for x in body]
-            rows.append((signs.count("+"), signs.count("-"), signs.count(" "),
-                         "".join(text) or "no differences"))
-        out = pdf.drop(columns=[a, b])
-        out[["additions", "deletions", "unchanged", "diff"]] = pd.DataFrame(rows, index=out.index)
-        yield out
-
-
-def diff_pairs(pairs: DataFrame, a: str, b: str, label_a: str, label_b: str) -> DataFrame:
-    """Unified diff of two texts per row: added, deleted and unchanged lines within its hunks.
-
-    Rows stay where they are; the pairs are spread over tasks because texts differ in length.
-    """
-    rest = [f for f in pairs.schema.fields if f.name not in (a, b)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    keys = [f.name for f in rest]
-    return pairs.repartition(*keys).mapInPandas(
-        lambda it: _diff_batches(it, a, b, label_a, label_b),
-        f"{schema}, additions bigint, deletions bigint, unchanged bigint, diff string")
-
-
 def line_set_diff(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Lines gained, lost and kept as multisets: one aggregation over lines, no join of the two sides."""
     def side(c: str, n: int) -> DataFrame:

@@ -264,8 +264,7 @@ def variant_table(runs: DataFrame, entity: str, control: str, value: str, part:
         neutral(cohens_d(), 0.0).alias("effect_size"),
         neutral(ratio(F.sqrt("var_b"), "mean_b", 0.0) * 100.0, 0.0).alias("cv_pct"), enough.alias("_enough"))
     if with_power:
-        power = tails.post_hoc_power(F.col("effect_size"), F.col("n_control").cast("double"),
-                                     F.col("n_variant").cast("double"), F.lit(alpha))
+        power = tails.post_hoc_power("effect_size", "n_control", "n_variant", alpha)
         rows = rows.withColumn("power", F.when(F.col("_enough"), power).otherwise(F.lit(0.0)))
     from .ranking import bonferroni
     family = F.count("*").over(Window.partitionBy(*part)) if part else None

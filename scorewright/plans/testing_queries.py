@@ -124,7 +124,7 @@ def label_effect(t):
 @query("post_hoc_power")
 def post_hoc_power(t):
     rows = _two(t).withColumn("d", stats.cohens_d())
-    power = tails.post_hoc_power("d", F.col("n_a").cast("double"), F.col("n_b").cast("double"), F.lit(0.05))
+    power = tails.post_hoc_power("d", "n_a", "n_b", 0.05)
     return rows.select("task", "dimension", "profile", r("d"), round_to(power, 4).alias("power"))
 
 

@@ -37,10 +37,17 @@ def test_t_critical(spark):
 
 
 def test_t_tail_and_power(spark):
-    assert tails.t_sf_values(2.0, 10) == pytest.approx(0.03669402, rel=1e-6)
-    assert tails.power_values(0.5, 64, 64, 0.05) == pytest.approx(0.8014596, abs=1e-5)
-    assert tails.power_values(0.0, 64, 64, 0.05) == pytest.approx(0.05)
-    assert tails.power_values(1.0, 1, 64, 0.05) == pytest.approx(0.05)
+    assert one(spark, tails.t_sf(F.lit(2.0), F.lit(10))) == pytest.approx(0.03669402, rel=1e-6)
+    # With one degree of freedom the tail is that of an angle, with two it is algebraic, with many it is normal.
+    for t in (-3.0, 0.0, 0.5, 12.0, 4000.0):
+        assert one(spark, tails.t_sf(F.lit(t), F.lit(1))) == pytest.approx(0.5 - math.atan(t) / math.pi, rel=1e-9)
+        assert one(spark, tails.t_sf(F.lit(t), F.lit(2))) == pytest.approx(
+            0.5 - t / (2 * math.sqrt(2 + t * t)) if t < 1000 else 0.5 / t ** 2, rel=1e-6)
+    assert one(spark, tails.t_sf(F.lit(4.0), F.lit(1e9))) == pytest.approx(math.erfc(4 / math.sqrt(2)) / 2, rel=1e-6)
+    assert one(spark, tails.t_critical(F.lit(1), 0.999)) == pytest.approx(1 / math.tan(math.pi * 0.0005), rel=1e-9)
+    power = lambda d, a, b: one(spark, tails.post_hoc_power(F.lit(d), F.lit(a), F.lit(b), 0.05))
+    assert power(0.5, 64, 64) == pytest.approx(0.8014596, abs=1e-5)
+    assert power(0.0, 64, 64) == power(1.0, 1, 64) == pytest.approx(0.05)
 
 
 def test_u_distribution_is_exact():
