@@ -74,10 +74,10 @@ def dim_stats(runs: DataFrame, by: list[str], dims: list[str], population: bool
     return reshape.agg_dims(runs, by, dims, {"mean": F.avg, "std": std})
 
 
-def macro_mean(runs: DataFrame, outer: list[str], inner: list[str], dims: list[str]) -> DataFrame:
-    """Mean over the inner groups of their means, so that each task counts the same."""
-    means = reshape.agg_dims(runs, [*outer, *inner], dims, {"mean": F.avg})
-    return means.groupBy(*outer, "dimension").agg(F.avg("mean").alias("macro_mean"), F.count("*").alias("groups"))
+def macro_mean(runs: DataFrame, outer: list[str], inner: list[str], dims: list[str], sums: dict[str, str] | None = None) -> DataFrame:
+    """Mean over the inner groups of their means, so that each task counts the same; `sums` adds sums over all runs of the outer group."""
+    means = reshape.agg_dims(runs, [*outer, *inner], dims, {"mean": F.avg}, sums=sums, sums_by=outer)
+    return means.groupBy(*outer, *(sums or {}), "dimension").agg(F.avg("mean").alias("macro_mean"), F.count("*").alias("groups"))
 
 
 def grid_mean(runs: DataFrame, axes: list[str], dims: list[str], fill: float | None = 0.0) -> DataFrame:
@@ -115,8 +115,8 @@ def heatmap(runs: DataFrame, rows: str, cols: str, values: list[str], score: str
 
 def run_health(runs: DataFrame, by: list[str], top: int = 3) -> DataFrame:
     """Totals, failure rate and the most frequent error messages with their counts."""
-    per_error = runs.groupBy(*by, F.when(~F.col("success"), F.col("error")).alias("error")).agg(
-        F.count("*").alias("n"), F.count_if(~F.col("success")).alias("failed"))
+    per_error = pin(runs.groupBy(*by, F.when(~F.col("success"), F.col("error")).alias("error")).agg(
+        F.count("*").alias("n"), F.count_if(~F.col("success")).alias("failed")), "errors")
     totals = per_error.groupBy(*by).agg(
         F.sum("n").alias("total_runs"), F.sum("failed").alias("failed_runs"))
     from .ranking import top_k

@@ -43,9 +43,9 @@ def task_rules() -> dict[str, Column]:
             "size_known": F.coalesce(F.col("size").isin("function", "module"), F.lit(False))}
 
 
-def select_rescore(runs: DataFrame, tasks: DataFrame, profiles: DataFrame, force: bool = False,
-                   rerun_empty: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Successful runs to score again, and the candidates rejected with a reason.
+def rescore_reasons(runs: DataFrame, tasks: DataFrame, profiles: DataFrame, force: bool = False,
+                    rerun_empty: bool = False) -> DataFrame:
+    """Successful runs that are candidates to be scored again, with the reason against it or null.
 
     A candidate has no scores, or is forced, or is degraded and `rerun_empty`. `tasks` and `profiles`
     are the known names; they are marked on in one left join each, so no run is read twice.
@@ -62,7 +62,13 @@ def select_rescore(runs: DataFrame, tasks: DataFrame, profiles: DataFrame, force
                | F.col("run_number").isNull())
     reason = (F.when(missing, "missing required fields").when(F.col("_t").isNull(), "unknown task")
               .when(F.col("_p").isNull(), "unknown profile"))
-    marked = cand.withColumn("reason", reason).drop("_t", "_p")
+    return cand.withColumn("reason", reason).drop("_t", "_p")
+
+
+def select_rescore(runs: DataFrame, tasks: DataFrame, profiles: DataFrame, force: bool = False,
+                   rerun_empty: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Runs to score again, and the candidates rejected with a reason: the two halves of `rescore_reasons`."""
+    marked = rescore_reasons(runs, tasks, profiles, force, rerun_empty)
     return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL")
 
 

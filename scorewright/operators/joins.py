@@ -110,9 +110,9 @@ def expand_experiment(variants: DataFrame, defaults: dict[str, Column]) -> DataF
     return run_matrix(plan, ["model", "task", "profile"])
 
 
-def missing_refs(df: DataFrame, dim: DataFrame, on: str) -> DataFrame:
-    """Names used in `df` that the dimension does not have, with the number of uses."""
-    used = df.groupBy(on).agg(F.count("*").alias("uses"))
+def missing_refs(df: DataFrame, dim: DataFrame, on: str, n: str | None = None) -> DataFrame:
+    """Names used in `df` that the dimension does not have, with the number of uses; `n` is the column of counts if rows are counted already."""
+    used = df.groupBy(on).agg((F.sum(n) if n else F.count("*")).alias("uses"))
     return used.join(dim.select(on), on, "left_anti")
 
 

@@ -96,9 +96,9 @@ def frontier(df: DataFrame, cost: str, quality: str, part: list[str] | None = No
     quality first; of rows with equal cost and equal quality all are kept as equals.
     """
     part = part or []
+    if splits is None:
+        df = pin(df, "frontier")  # small, and read twice
     best = df.groupBy(*part, cost).agg(F.max(quality).alias("_best"))
-    if splits is not None:
-        best = pin(best, "frontier")
     front = prefix.running_max(best, part, cost, "_best", "_before", splits)
     front = front.where(F.col("_best") > F.coalesce("_before", F.lit(-1.0))).select(
         *part, cost, F.col("_best").alias(quality), F.lit(True).alias("on_frontier"))
@@ -189,9 +189,7 @@ def top_k(df: DataFrame, part: list[str], order: list, k: int, out: str = "rank"
 def systematic_sample(df: DataFrame, part: list[str], order: list[str], lines: int = 10,
                       splits: list[float] | None = None) -> DataFrame:
     """Every N-th row of a group and its last one, N = max(1, rows // lines)."""
-    numbered = prefix.row_numbers(df, part, order, "position", splits)
-    # Written out, the sizes are known to be small and go to the rows; a join by group would deal all rows by few keys.
-    sizes = pin(df.groupBy(*part).agg(F.count("*").alias("total")), "sizes")
+    numbered = prefix.row_numbers(df, part, order, "position", splits, "total")
     step = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("total") / lines))
-    return numbered.join(sizes, part).where(
+    return numbered.where(
         (F.col("position") % step == 0) | (F.col("position") == F.col("total")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,20 +32,24 @@ def map_to_long(df: DataFrame, scores: str = "scores", name: str = "dimension",
     return df.select(*rest, F.explode(scores).alias(name, value)).where(F.col(value).isNotNull())
 
 
-def agg_dims(df: DataFrame, by: list[str], dims: list[str], aggs: dict, name: str = "dimension") -> DataFrame:
+def agg_dims(df: DataFrame, by: list[str], dims: list[str], aggs: dict, name: str = "dimension",
+             sums: dict[str, str] | None = None, sums_by: list[str] | None = None) -> DataFrame:
     """Aggregate score columns, then turn the few result rows into one row per dimension.
 
     Exploding first would send every run through the aggregation once per dimension; this way a run
     is read once and only results are exploded. `aggs` maps an output name to a function of a
-    column. Dimensions without any value in a group give no row.
+    column. Dimensions without any value in a group give no row. `sums` maps names to columns that are summed over all rows
+    of a group of `sums_by`, a part of `by`.
     """
+    sums = sums or {}
     cols = [F.count(d).alias(f"{d}.n") for d in dims]
     cols += [fn(F.col(d)).alias(f"{d}.{out}") for d in dims for out, fn in aggs.items()]
-    wide = df.groupBy(*by).agg(*cols)
+    wide = df.groupBy(*by).agg(*cols, *[F.sum(c).alias(out) for out, c in sums.items()])
+    wide = wide.withColumns({out: F.sum(out).over(Window.partitionBy(*(sums_by or by))) for out in sums})
     entries = F.array(*[
         F.struct(F.lit(d).alias(name), F.col(f"`{d}.n`").alias("n"),
                  *[F.col(f"`{d}.{out}`").alias(out) for out in aggs])
         for d in dims])
-    return (wide.select(*by, F.explode(entries).alias("_e"))
-            .select(*by, f"_e.{name}", "_e.n", *[f"_e.{out}" for out in aggs])
+    return (wide.select(*by, *sums, F.explode(entries).alias("_e"))
+            .select(*by, *sums, f"_e.{name}", "_e.n", *[f"_e.{out}" for out in aggs])
             .where(F.col("n") > 0))

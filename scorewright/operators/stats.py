@@ -227,7 +227,13 @@ def detect_regressions(run_scores: DataFrame, entity: str, baseline: str, on: li
 
     `test` is the caller's choice, `mann-whitney` or `welch`, and `test_used` records it.
     """
-    hist = histogram(run_scores, [*on, entity], value)
+    return regressions_in(histogram(run_scores, [*on, entity], value), entity, baseline, on, p_threshold, delta_threshold, minimum, method,
+                          splits, test)
+
+
+def regressions_in(hist: DataFrame, entity: str, baseline: str, on: list[str], p_threshold: float = 0.05, delta_threshold: float = 0.05,
+                   minimum: int = 2, method: str = "asymptotic", splits: list[float] | None = None, test: str = "mann-whitney") -> DataFrame:
+    """`detect_regressions` from a histogram by `on` and entity."""
     stats = versus(hist, on, entity, baseline, splits)
     stats = stats.where((F.col("n_a") >= minimum) & (F.col("n_b") >= minimum))
     if test == "welch":

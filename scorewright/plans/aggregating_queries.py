@@ -112,11 +112,8 @@ def dim_mean_std(t):
 SELECT p.profile, dimension, {rnd('avg(m)', 6)} AS macro_mean, count(*) AS tasks, any_value(total_tokens) AS total_tokens
 FROM p JOIN tok ON p.profile = tok.profile GROUP BY 1, 2""")
 def profile_macro_mean(t):
-    scored = t.scored
-    macro = aggregates.macro_mean(scored, ["profile"], ["task"], DIMS)
-    tokens = scored.groupBy("profile").agg(F.sum("token_count").alias("total_tokens"))
-    return macro.join(tokens, "profile").select(
-        "profile", "dimension", r("macro_mean", 6), F.col("groups").alias("tasks"), "total_tokens")
+    macro = aggregates.macro_mean(t.scored, ["profile"], ["task"], DIMS, {"total_tokens": "token_count"})
+    return macro.select("profile", "dimension", r("macro_mean", 6), F.col("groups").alias("tasks"), "total_tokens")
 
 
 @query("dim_grid", f"""WITH {LONG_CTE}, x AS (SELECT * FROM run_scores),
@@ -293,11 +290,10 @@ def rescore_candidates(t):
         "model", "profile", "task", F.when(F.col("k2") != 7, F.col("k2")).alias("run_number"),
         F.when(F.col("success"), "success").otherwise("failure").alias("status"),
         F.when(F.col("k2") % 3 == 0, "x").alias("scores"), (F.col("k2") % 6 == 0).alias("degraded"))
-    tasks = t.runs.select("task").distinct().where("task <> 'promo-01'")
+    tasks = t.part.select(F.concat(F.lower("p_type"), F.lit("-0"), (F.col("p_size") % 3 + 1).cast("string")).alias("task")).where("task <> 'promo-01'")
     profiles = t.orders.select(F.col("o_orderpriority").alias("profile")).distinct().where("profile <> '4-NOT SPECIFIED'")
-    good, bad = filters.select_rescore(runs, tasks, profiles, rerun_empty=True)
-    both = good.withColumn("reason", F.lit("selected")).unionByName(bad)
-    return both.groupBy(F.col("reason").alias("outcome"), "model").agg(F.count("*").alias("n"))
+    marked = filters.rescore_reasons(runs, tasks, profiles, rerun_empty=True)
+    return marked.groupBy(F.coalesce("reason", F.lit("selected")).alias("outcome"), "model").agg(F.count("*").alias("n"))
 
 
 @query("source_file_filter", """WITH x AS (SELECT doc_id, lang, CASE doc_id % 5 WHEN 0 THEN 'src/' || source || '/mod_' || doc_id || '.py' WHEN 1 THEN 'src/test_' || doc_id || '.py'

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..functions.numeric import round_to
 from ..operators import joins, ranking, reshape
+from ..session import pin
 from .aggregating_queries import _PLAN_KEYS, _PLAN_SQL, _plan, r
 from .bindings import BASELINE, DIMS, LONG_CTE, QUALITY_CTE, RUNS_CTE, SCORED_CTE
 from .registry import query, rnd
@@ -113,8 +114,9 @@ UNION ALL SELECT profile, 'profile', count(*) FROM runs WHERE profile NOT IN (SE
 def reference_integrity(t):
     tasks = t.part.select(F.concat(F.lower("p_type"), F.lit("-01")).alias("task")).distinct()
     profiles = t.orders.select(F.col("o_orderpriority").alias("profile")).where("profile < '3'").distinct()
-    a = joins.missing_refs(t.runs, tasks, "task").select(F.col("task").alias("name"), F.lit("task").alias("kind"), "uses")
-    b = joins.missing_refs(t.runs, profiles, "profile").select(F.col("profile").alias("name"), F.lit("profile").alias("kind"), "uses")
+    used = pin(t.runs.groupBy("task", "profile").agg(F.count("*").alias("n")), "used")
+    a = joins.missing_refs(used, tasks, "task", "n").select(F.col("task").alias("name"), F.lit("task").alias("kind"), "uses")
+    b = joins.missing_refs(used, profiles, "profile", "n").select(F.col("profile").alias("name"), F.lit("profile").alias("kind"), "uses")
     return a.unionByName(b)
 
 

@@ -42,7 +42,7 @@ UNION ALL SELECT 'best_pair', model, profile, quality FROM (SELECT model, profil
 def best_profile(t):
     """Three winners from one aggregation at model x profile level."""
     fine = t.quality.groupBy("model", "profile").agg(F.sum("quality").alias("s"), F.count("quality").alias("n"))
-    fine = fine.withColumn("quality", F.coalesce(F.try_divide("s", "n"), F.lit(0.0)))
+    fine = pin(fine.withColumn("quality", F.coalesce(F.try_divide("s", "n"), F.lit(0.0))), "fine")
     per_profile = fine.groupBy("profile").agg(
         F.coalesce(F.try_divide(F.sum("s"), F.sum("n")), F.lit(0.0)).alias("quality"), F.avg("quality").alias("macro"))
     overall = ranking.winners(per_profile, "profile", "quality")

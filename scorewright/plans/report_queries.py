@@ -194,5 +194,5 @@ SELECT run_set, max(run_set || '-12-31') AS date, string_agg(DISTINCT model, ','
   count(DISTINCT profile) AS profile_count, count(*) AS total_runs, 7 AS planned_profiles FROM x GROUP BY 1""")
 def report_metadata(t):
     runs = t.runs.withColumn("variant_label", F.when(F.col("k2") > 5, F.concat(F.lit("v"), F.col("k2").cast("string"))))
-    planned = t.runs.select("run_set").distinct().withColumn("planned_profiles", F.lit(7))
+    planned = t.orders.select(F.year("o_orderdate").alias("run_set")).distinct().withColumn("planned_profiles", F.lit(7))
     return findings.report_metadata(runs, ["run_set"], F.concat(F.col("run_set").cast("string"), F.lit("-12-31")), planned)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import round_to
 from ..operators import filters
-from ..session import scratch
+from ..session import pin, scratch
 from ..sources import catalog, dimensions, runs as src, sinks
 from .aggregating_queries import r
 from .bindings import DIMS, RUNS_CTE, SCORED_CTE
@@ -102,8 +102,9 @@ def quarantine_corrupt(t):
  u AS (SELECT * FROM f UNION SELECT * FROM m)
 SELECT run_set, string_agg(DISTINCT model, ',' ORDER BY model) AS models, string_agg(DISTINCT task, ',' ORDER BY task) AS tasks, count(DISTINCT model) * count(DISTINCT task) AS total_combinations FROM u GROUP BY 1""")
 def manifest_merge(t):
-    found = src.observed(t.runs.where("run_set > 1995"), ["run_set"], {"models": "model", "tasks": "task"})
-    planned = t.runs.where("run_set < 2000 AND task LIKE '%-02'").withColumn("model", F.concat("model", F.lit("-x")))
+    names = pin(t.runs.select("run_set", "model", "task").distinct(), "names")
+    found = src.observed(names.where("run_set > 1995"), ["run_set"], {"models": "model", "tasks": "task"})
+    planned = names.where("run_set < 2000 AND task LIKE '%-02'").withColumn("model", F.concat("model", F.lit("-x")))
     manifests = src.observed(planned, ["run_set"], {"models": "model", "tasks": "task"})
     merged = src.merge_manifest(found, manifests, ["run_set"], ["models", "tasks"])
     return merged.select("run_set", F.array_join("models", ",").alias("models"), F.array_join("tasks", ",").alias("tasks"), "total_combinations")

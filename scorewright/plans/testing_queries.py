@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import scoring, tails
 from ..functions.numeric import round_to
 from ..operators import calibration, filters, prefix, stats
+from ..session import pin
 from .aggregating_queries import r
-from .bindings import BASELINE, DIMS, JUDGED_CTE, LONG_CTE, QUALITY_CTE, SCORED_CTE
+from .bindings import BASELINE, JUDGED_CTE, LONG_CTE, QUALITY_CTE, SCORED_CTE
 from .registry import query, rnd
 from .source_queries import CATALOG_SQL, catalog_of
 
@@ -155,10 +156,13 @@ def detect_regressions(t):
 SELECT det.dimension, det.task, det.profile, det.model, {rnd('m', 6)} AS mean, {rnd('s', 4)} AS std, coalesce(p < 0.05 AND (mean_b - mean_a) / mean_a < -0.005, false) AS regression
 FROM det LEFT JOIN tested ON det.task = tested.task AND det.dimension = tested.dimension AND det.profile = tested.profile""")
 def score_detail(t):
-    from ..operators import aggregates
-    found = stats.detect_regressions(t.run_scores, "profile", BASELINE, ["task", "dimension"], delta_threshold=0.005)
+    """Means and flags from one table of value counts."""
+    by = ["dimension", "task", "profile", "model"]
+    hist = pin(stats.histogram(t.run_scores, by), "histogram")
+    whole = hist.groupBy("task", "dimension", "profile", "value").agg(F.sum("n").alias("n"))
+    found = stats.regressions_in(whole, "profile", BASELINE, ["task", "dimension"], delta_threshold=0.005)
     flags = found.where("is_regression").select("task", "dimension", "profile", F.lit(True).alias("regression"))
-    detail = aggregates.dim_stats(t.scored, ["task", "profile", "model"], DIMS, population=True)
+    detail = stats.moments(hist, by).withColumn("std", F.sqrt(F.col("var") * (F.col("n") - 1) / F.col("n")))
     return detail.join(flags, ["task", "dimension", "profile"], "left").select(
         "dimension", "task", "profile", "model", r("mean", 6), r("std"), F.coalesce("regression", F.lit(False)).alias("regression"))
 
