@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A tie such as 83.0003125 arrives as a double a hair below or above itself, depending on the order
 # in which the executors summed. The nudge sends both to the same side, so that a result does not
@@ -52,6 +53,37 @@ def finite_map(scores: Column | str) -> Column:
     return F.transform_values(col(scores), lambda _, v: finite(v))
 
 
+def finite_deep(value: Column | str, kind: T.DataType) -> Column:
+    """`value` of type `kind` with every NaN and infinity in it null, at any depth of structs, arrays and maps; all else as it is.
+
+    Parts that can't hold such a number are taken whole. Keys of maps stay, as they can't be null.
+    """
+    v = col(value)
+    if not _holds_doubles(kind):
+        return v
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(v, lambda x: finite_deep(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(v, lambda _, x: finite_deep(x, kind.valueType)) if _holds_doubles(kind.valueType) else v
+    fields = [finite_deep(v.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+    return F.when(v.isNotNull(), F.struct(*fields))
+
+
+def _holds_doubles(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_doubles(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _holds_doubles(kind.elementType)
+    return _holds_doubles(kind.valueType) if isinstance(kind, T.MapType) else isinstance(kind, (T.DoubleType, T.FloatType))
+
+
+def sanitized(df: DataFrame) -> DataFrame:
+    """Every column of `df` by `finite_deep`; names and types stay."""
+    return df.select(*[finite_deep(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
 def ratio(num: Column | str, den: Column | str, default: float | None = None) -> Column:
     """num / den, with a default where the denominator is 0."""
     out = F.try_divide(col(num).cast("double"), col(den).cast("double"))

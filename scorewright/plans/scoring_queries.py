@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels, scoring, text
-from ..functions.numeric import finite, round_to
+from ..functions.numeric import finite, round_to, sanitized
 from ..operators import filters
 from .bindings import CRITERIA, DEFAULT_PRICE, DIMS, PRICES_CTE, QUALITY_CTE, RUNS_CTE, SCORED_CTE
 from .registry import query, rnd
@@ -254,6 +254,22 @@ def sanitize_nonfinite(t):
         F.count("*").alias("n"), F.count("v").alias("n_finite"), round_to(F.avg("v"), 4).alias("mean_finite"))
 
 
+@query("sanitize_nested", f"""WITH {SCORED_CTE}, x AS (SELECT model, CASE WHEN k2 NOT IN (1, 2, 3) THEN composite END AS v, composite AS c FROM scored)
+SELECT model, count(*) AS n, count(v) AS in_struct, 2 * count(v) + count(c) AS in_array, count(v) AS in_map, {rnd('avg(v)', 4)} AS mean_finite FROM x GROUP BY model""")
+def sanitize_nested(t):
+    """Numbers that are not finite in a struct, in an array of structs and in a map, all cleaned in one walk over the schema."""
+    raw = (F.when(F.col("k2") == 1, float("nan")).when(F.col("k2") == 2, float("inf"))
+           .when(F.col("k2") == 3, float("-inf")).otherwise(F.col("composite")))
+    named = F.struct(raw.alias("value"), F.lit("points").alias("unit"))
+    report = F.struct(named.alias("total"), F.array(named, F.struct(F.col("composite").alias("value"), F.lit("x").alias("unit")), named).alias("parts"),
+                      F.map_from_arrays(F.array(F.lit("composite")), F.array(raw)).alias("scores"))
+    clean = sanitized(t.scored.select("model", report.alias("report")))
+    some = F.filter("report.parts", lambda p: p["value"].isNotNull() & ~F.isnan(p["value"]))
+    return clean.groupBy("model").agg(
+        F.count("*").alias("n"), F.count("report.total.value").alias("in_struct"), F.sum(F.size(some)).alias("in_array"),
+        F.count(F.col("report.scores")["composite"]).alias("in_map"), round_to(F.avg("report.total.value"), 4).alias("mean_finite"))
+
+
 @query("flatten_scores", f"""WITH {SCORED_CTE}
 SELECT CASE WHEN k2 = 1 THEN 'none' WHEN k2 = 2 THEN 'broken' WHEN k2 % 2 = 0 THEN 'flat' ELSE 'nested' END AS layout,
    count(*) AS n, {rnd("sum(CASE WHEN k2 > 2 THEN composite END)", 2)} AS composite, {rnd("sum(CASE WHEN k2 > 2 THEN llm_quality END)", 2)} AS llm_quality,

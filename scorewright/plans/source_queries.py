@@ -173,6 +173,24 @@ def partitioned_store(t):
     return back.groupBy("model", "profile").agg(F.count("*").alias("n"), F.sum("input_tokens").alias("tokens"))
 
 
+@query("store_aggregates", f"""WITH {RUNS_CTE}, x AS (SELECT model, profile, task, CASE WHEN model = 'O' THEN loc * 2 ELSE input_tokens END AS v FROM runs),
+ m AS (SELECT count(DISTINCT profile) AS profiles, count(DISTINCT task) AS tasks, count(*) AS total_runs FROM x)
+SELECT model, profile, count(*) AS runs, count(v) AS n, {rnd('avg(v)', 4)} AS mean, {rnd('stddev_samp(v)', 3)} AS stdev, CAST(min(v) AS DOUBLE) AS low, CAST(max(v) AS DOUBLE) AS high,
+ any_value(profiles) AS profiles, any_value(tasks) AS tasks, any_value(total_runs) AS total_runs FROM x CROSS JOIN m GROUP BY 1, 2""")
+def store_aggregates(t):
+    """Store all runs, store those of one model again with other values; statistics and manifest come from the stored sums."""
+    path = scratch(t.spark, "store")
+    runs = t.runs.select("model", "profile", "task", *_ORDER, "loc", F.col("input_tokens").alias("v"))
+    sinks.store_runs(runs, path, ["v"])
+    sinks.store_runs(runs.where("model = 'O'").withColumn("v", F.col("loc").cast("bigint") * 2), path, ["v"])
+    found = sinks.read_sums(t.spark, path, ["model", "profile"], ["v"])
+    names = sinks.read_manifest(t.spark, path).select(
+        F.size("profiles").cast("bigint").alias("profiles"), F.size("tasks").cast("bigint").alias("tasks"), "total_runs")
+    return found.select("model", "profile", "runs", F.col("v_n").alias("n"), round_to("v_mean", 4).alias("mean"), round_to("v_stdev", 3).alias("stdev"),
+                        F.col("v_min").alias("low"), F.col("v_max").alias("high")).withColumns(
+        {c: names.select(c).scalar() for c in ("profiles", "tasks", "total_runs")})
+
+
 @query("results_validity", f"""WITH {RUNS_CTE}, s AS (SELECT DISTINCT year(o_orderdate) + x AS run_set FROM orders, (VALUES (0), (50)) v(x)), c AS (SELECT run_set, count(*) AS n FROM runs GROUP BY 1)
 SELECT CAST(s.run_set AS INT) AS run_set, coalesce(n, 0) AS runs, CASE WHEN s.run_set % 3 = 0 THEN 'missing manifest' WHEN n IS NULL THEN 'no run records' ELSE '' END AS reason,
   s.run_set % 3 <> 0 AND n IS NOT NULL AS is_valid FROM s LEFT JOIN c ON s.run_set = c.run_set""")

@@ -58,3 +58,46 @@ def write_runs(runs: DataFrame, path: str) -> None:
     """
     (runs.hint("rebalance", *PARTITIONS).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path))
+
+
+def store_runs(runs: DataFrame, path: str, values: list[str]) -> None:
+    """`write_runs` with mergeable sums of `values` beside the runs, one row per partition.
+
+    Both are written from one staged copy of the new runs, so the runs of a rewritten partition and its sums agree; no other
+    partition is read or written.
+    """
+    staged = pin(runs, "staged")
+    write_runs(staged, path)
+    v = lambda name, fn: fn(F.col(name).cast("double"))
+    sums = staged.groupBy(*PARTITIONS).agg(F.count("*").alias("runs"), *[
+        v(name, fn).alias(f"{name}_{kind}") for name in values
+        for kind, fn in (("n", F.count), ("sum", F.sum), ("squares", lambda c: F.sum(c * c)), ("min", F.min), ("max", F.max))])
+    (sums.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*PARTITIONS).parquet(sums_path(path)))
+
+
+def sums_path(path: str) -> str:
+    """Beside the runs; readers of the runs pass over names that start with an underscore."""
+    return f"{path.rstrip('/')}/_sums"
+
+
+def read_sums(spark: SparkSession, path: str, by: list[str], values: list[str]) -> DataFrame:
+    """runs, and n, mean, stdev, min and max of each value per group of `by` (partition columns), merged from the stored sums alone.
+
+    A group without a value has n 0 and nulls; one value, or equal ones, have deviation 0.
+    """
+    g = spark.read.parquet(sums_path(path)).groupBy(*by).agg(F.sum("runs").alias("runs"), *[
+        fn(f"{name}_{kind}").alias(f"{name}_{kind}") for name in values
+        for kind, fn in (("n", F.sum), ("sum", F.sum), ("squares", F.sum), ("min", F.min), ("max", F.max))])
+    for name in values:
+        n, total, squares = (F.col(f"{name}_{kind}") for kind in ("n", "sum", "squares"))
+        var = F.try_divide(squares - F.try_divide(total * total, n), n - 1)
+        flat = (F.col(f"{name}_min") == F.col(f"{name}_max"))
+        g = g.withColumns({f"{name}_mean": F.try_divide(total, n), f"{name}_stdev": F.when(flat, 0.0).otherwise(F.sqrt(F.greatest(var, F.lit(0.0))))})
+    return g.drop(*[f"{name}_{kind}" for name in values for kind in ("sum", "squares")])
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """One row: sorted names of models, profiles and tasks that the store holds, and its runs, from the sums alone."""
+    sums = spark.read.parquet(sums_path(path))
+    return sums.agg(*[F.array_sort(F.collect_set(c)).alias(f"{c}s") for c in PARTITIONS], F.sum("runs").alias("total_runs"))

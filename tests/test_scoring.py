@@ -163,3 +163,20 @@ def test_rules_on_tasks_and_statistics(spark):
     stat = spark.createDataFrame([(-1.0, 0, 0.5), (0.0, 3, 0.6)], "s double, n int, w double")
     got = {r.rule: r.n_bad for r in filters.violations(stat, filters.statistic_rules(F.col("s"), F.col("n"), [F.col("w"), F.lit(0.4)])).collect()}
     assert got == {"spread_not_negative": 1, "count_positive": 1, "weights_add_up": 1}
+
+
+def test_sanitizing_at_any_depth(spark):
+    from scorewright.functions.numeric import sanitized
+
+    nan, inf = float("nan"), float("inf")
+    schema = ("id int, `a.b` double, f float, s struct<x:double,y:struct<z:array<double>>,name:string>, m map<string,array<struct<v:double>>>, "
+              "plain array<int>, k map<double,string>")
+    row = (1, nan, inf, (inf, ([1.0, nan, None, -inf],), "n"), {"a": [(nan,), (2.0,), None], "b": None}, [1, None], {1.5: "x"})
+    df = spark.createDataFrame([row, (2, 0.5, 1.5, None, None, None, None)], schema)
+    got = sanitized(df)
+    assert got.schema.simpleString() == df.schema.simpleString()
+    one, two = got.orderBy("id").collect()
+    assert one.asDict(recursive=True) == {
+        "id": 1, "a.b": None, "f": None, "s": {"x": None, "y": {"z": [1.0, None, None, None]}, "name": "n"},
+        "m": {"a": [{"v": None}, {"v": 2.0}, None], "b": None}, "plain": [1, None], "k": {1.5: "x"}}
+    assert tuple(two) == (2, 0.5, 1.5, None, None, None, None)

@@ -138,3 +138,29 @@ def test_catalog(spark):
     assert {r.run_id: r.tags for r in catalog.tag(cat, tags).collect()} == {"run-001": ["a", "z"], "run-004": ["b"]}
     found = filters.catalog_find(cat, ["run-004"], ["a"], ["SWEEP"]).orderBy("match_rank").collect()
     assert [(r.run_id, r.match_rank) for r in found] == [("run-004", 1), ("run-001", 2)]
+
+
+def test_sums_beside_the_store(spark, tmp_path):
+    import pathlib
+    import statistics
+
+    path = str(tmp_path / "store")
+    rows = [(m, p, t, float(i) if i % 7 else None) for i, (m, p, t) in enumerate((m, p, t) for m in "mn" for p in "pq" for t in "tu" for _ in range(9))]
+    make = lambda some: spark.createDataFrame(some, "model string, profile string, task string, v double")
+    sinks.store_runs(make(rows), path, ["v"])
+    stamps = lambda: {str(f): f.stat().st_mtime_ns for f in pathlib.Path(path).rglob("*.parquet") if "model=n" in str(f)}
+    before = stamps()
+    again = [(m, p, t, 5.0) for m, p, t, _ in rows if m == "m"][:20]
+    sinks.store_runs(make(again), path, ["v"])
+    assert stamps() == before and len(before) == 8  # of four partitions the runs and the sums
+    # The rewrite replaced the partitions it holds.
+    now = [r for r in rows if r[0] == "n" or r[:3] not in {a[:3] for a in again}] + again
+    assert spark.read.parquet(path).count() == len(now)
+    found = sinks.read_sums(spark, path, ["model"], ["v"])
+    assert all("/_sums/" in f for f in found.inputFiles())
+    for r in found.collect():
+        v = [x[3] for x in now if x[0] == r["model"] and x[3] is not None]
+        assert (r["runs"], r["v_n"], r["v_min"], r["v_max"]) == (sum(x[0] == r["model"] for x in now), len(v), min(v), max(v))
+        assert r["v_mean"] == pytest.approx(statistics.mean(v)) and r["v_stdev"] == pytest.approx(statistics.stdev(v))
+    manifest = sinks.read_manifest(spark, path).first()
+    assert tuple(manifest) == (["m", "n"], ["p", "q"], ["t", "u"], len(now))

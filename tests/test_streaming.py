@@ -124,3 +124,18 @@ def test_retries_of_a_stream_are_merged(spark, tmp_path):
     df.repartition(6).write.parquet(path)
     streamed = retries.retry_table(rp.file_stream(spark, path, df.schema, 2), ["k"])
     assert sorted(streamed.collect()) == sorted(retries.retry_chain(df, ["k"]).collect())
+
+
+def test_a_batch_writes_the_groups_it_touched_only(spark, tmp_path):
+    schema = "g string, status string, cost double, event_id long"
+    files = [[("a", "start", 1.0, 1), ("b", "start", 1.0, 2), (None, "start", 1.0, 3)], [("a", "done", 2.0, 4)], [("b", "fail", 1.0, 5), ("c", "start", 0.5, 6)]]
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{i}"))
+    stream = replay.file_stream(spark, str(tmp_path / "in" / "*"), spark.createDataFrame([], schema).schema, 1)
+    table = replay.latest_state(progress.live_progress(stream, ["g"]), ["g"], "touched")
+    got = {r["g"]: (r["started"], r["completed"], r["cost"], r["last_status"]) for r in table.collect()}
+    assert got == {"a": (1, 1, 3.0, "done"), "b": (1, 1, 2.0, "fail"), None: (1, 0, 1.0, "start"), "c": (1, 0, 0.5, "start")}
+    folder = table.inputFiles()[0].split("/changes/")[0] + "/changes"
+    written = spark.read.parquet(folder).groupBy("batch").agg(F.collect_set(F.coalesce("g", F.lit("-"))).alias("g")).collect()
+    touched = [sorted({r[0] or "-" for r in rows}) for rows in files]
+    assert sorted(sorted(r["g"]) for r in written) == sorted(touched)
