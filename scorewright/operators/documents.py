@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text as tx
@@ -147,11 +147,15 @@ def filler(paragraphs: DataFrame, chars: int, text: str = "text", seed: str = "4
     """One row with `chars` characters of filler: paragraphs in an order fixed by their hash, again and again.
 
     Every paragraph that is not blank takes part. A paragraph brings three characters at least, one of its own and the
-    blank line after it, so the first `chars` / 3 + 1 of the order are as many as can be needed.
+    blank line after it, so the first `chars` / 3 + 1 of the order are as many as can be needed. Their lengths say which of them
+    start before the filler is full; only the texts of those are brought together.
     """
-    ordered = (paragraphs.where(F.trim(text, F.lit(" \t\n\r")) != "")
-               .select(F.md5(F.concat(F.lit(seed), F.col(text))).alias("h"), F.col(text).alias("t")).distinct()
-               .orderBy("h").limit(chars // 3 + 1))
+    hashed = (paragraphs.where(F.trim(text, F.lit(" \t\n\r")) != "")
+              .select(F.md5(F.concat(F.lit(seed), F.col(text))).alias("h"), F.col(text).alias("t")))
+    first = hashed.select("h", F.length("t").alias("n")).distinct().orderBy("h").limit(chars // 3 + 1)
+    before = F.sum(F.col("n") + 2).over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
+    last = first.withColumn("start", F.coalesce(before, F.lit(0))).where(F.col("start") < chars).agg(F.max("h"))
+    ordered = hashed.where(F.col("h") <= last.scalar()).distinct()
     once = ordered.agg(F.concat(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("h", "t"))), lambda e: e["t"]), "\n\n"), F.lit("\n\n")).alias("once"))
     once = once.withColumn("once", F.when(F.length("once") > 2, F.col("once")).otherwise(

@@ -69,6 +69,21 @@ def cross_variant_expand(t):
                     round_to(F.col("mean_b") - F.col("mean_a"), 6).alias("delta"))
 
 
+@query("cross_variant_chosen", f"""WITH {LONG_CTE}, x AS (SELECT run_set || ':' || profile || ':v' || (k2 % 2) AS rs, model, task, dimension, score FROM run_scores WHERE run_set = 1997),
+ g AS (SELECT rs, model, task, dimension, avg(score) AS m, count(*) AS n FROM x GROUP BY 1, 2, 3, 4)
+SELECT a.rs AS run_set_a, b.rs AS run_set_b, a.model, a.task, a.dimension, a.n AS n_a, b.n AS n_b, {rnd('b.m - a.m', 6)} AS delta
+FROM g a JOIN g b ON a.model = b.model AND a.task = b.task AND a.dimension = b.dimension AND a.rs < b.rs""")
+def cross_variant_chosen(t):
+    """All dimensions of the virtual run sets of one year, each with each; the others are not paired."""
+    scored = t.scored.withColumn("variant", F.concat(F.lit("v"), (F.col("k2") % 2).cast("string")))
+    virtual = joins.expand_variants(scored)
+    means = pin(reshape.agg_dims(virtual, ["model", "task", "run_set"], DIMS, {"mean": F.avg}), "means")
+    chosen = means.select("run_set").distinct().where(F.col("run_set").startswith("1997:"))
+    p = joins.pairwise(means, "run_set", ["model", "task", "dimension"], ["mean", "n"], chosen)
+    return p.select("run_set_a", "run_set_b", "model", "task", "dimension", "n_a", "n_b",
+                    round_to(F.col("mean_b") - F.col("mean_a"), 6).alias("delta"))
+
+
 @query("resume_remaining", f"""WITH {RUNS_CTE}, {_PLAN_SQL}, done AS (SELECT DISTINCT run_set, task, profile, model, k2 AS run_number FROM runs WHERE success)
 SELECT run_set, model, count(*) AS remaining FROM (SELECT * FROM plan ANTI JOIN done USING (run_set, task, profile, model, run_number)) GROUP BY 1, 2""")
 def resume_remaining(t):

@@ -66,7 +66,7 @@ UNION ALL SELECT run_set, 'significant', profile, {rnd('mean_b - mean_a', 4)}, p
 UNION ALL {_TOKEN_SQL}""")
 def findings_experiment(t):
     runs = t.scored
-    table = stats.variant_table(runs.where("NOT (run_set = 2001 AND profile = '2-HIGH')"), "profile", BASELINE, "composite", ["run_set"], with_power=False)
+    table = stats.variant_table(runs, "profile", BASELINE, "composite", ["run_set"], with_power=False)
     quality = aggregates.quality(runs, ["run_set", "profile"], "composite")
     return _out(findings.experiment_findings(table, quality, ["run_set"], "profile"))
 

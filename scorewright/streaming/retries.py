@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..session import scratch
+from ..session import pin, scratch
 from .replay import drain
 
 # Retries of a transient failure, and the first delay in seconds.
@@ -63,11 +63,12 @@ def retry_table(attempts: DataFrame, key: list[str], out: str | None = None, **c
 def auth_aborts(attempts: DataFrame, group: list[str], order: str, error: str = "error") -> DataFrame:
     """Per group: the first attempt that failed for credentials, and how many later ones it takes down.
 
-    Attempts are counted per group and place first, so nothing is joined and a group's window holds its places only.
+    Attempts are counted per group and place first and written; the first failures, one row a group, then go to the places. No task
+    holds all places of a group.
     """
     auth = labels.error_class(error) == "auth"
-    places = attempts.groupBy(*group, order).agg(F.count("*").alias("n"), F.bool_or(auth).alias("_auth"))
-    first = F.min(F.when(F.col("_auth"), F.col(order))).over(Window.partitionBy(*group))
-    return (places.withColumn("aborted_at", first).groupBy(*group)
+    places = pin(attempts.groupBy(*group, order).agg(F.count("*").alias("n"), F.bool_or(auth).alias("_auth")), "places")
+    first = places.groupBy(*group).agg(F.min(F.when(F.col("_auth"), F.col(order))).alias("aborted_at"))
+    return (places.join(first, group).groupBy(*group)
             .agg(F.first("aborted_at").alias("aborted_at"),
                  F.coalesce(F.sum(F.when(F.col(order) > F.col("aborted_at"), F.col("n"))), F.lit(0)).alias("aborted")))
