@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import labels
 from ..session import pin, scratch
@@ -72,3 +76,51 @@ def auth_aborts(attempts: DataFrame, group: list[str], order: str, error: str =
     return (places.join(first, group).groupBy(*group)
             .agg(F.first("aborted_at").alias("aborted_at"),
                  F.coalesce(F.sum(F.when(F.col(order) > F.col("aborted_at"), F.col("n"))), F.lit(0)).alias("aborted")))
+
+
+#: What is held of a run until it has ended: the parts of `retry_parts`.
+_STATE = "final_attempt int, final_kind string, last_attempt int, last_kind string, attempts_seen bigint"
+
+
+def ended_runs(attempts: DataFrame, key: list[str], ts: str, delay: str, attempt: str = "attempt", success: str = "success",
+               error: str = "error") -> DataFrame:
+    """A stream of `retry_chain`: each run once, when no attempt has come for `delay`, which is then forgotten.
+
+    `delay` must exceed the longest wait between two attempts and how late one may arrive. A timer in event time ends a run, so the
+    state holds runs of the last `delay` only. Attempts that come after the watermark are not read any more; Spark counts
+    them as rows dropped by the watermark. A row with a null key only moves the time on, which a source without news may send.
+    """
+    kind = F.when(F.col(success), "success").otherwise(labels.error_class(error))
+    rows = attempts.withWatermark(ts, delay).select(*key, F.col(attempt).cast("int").alias("attempt"), kind.alias("kind"), ts, F.unix_millis(ts).alias("_ms"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in key)
+    wait = int(pd.Timedelta(delay).total_seconds() * 1000)
+
+    def follow(names: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            yield pd.DataFrame([[*names, *state.get]], columns=[*key, *_columns(_STATE)])
+            state.remove()
+            return
+        if any(pd.isna(n) for n in names):
+            return
+        final_attempt, final_kind, last_attempt, last_kind, seen = state.get if state.exists else (None, None, None, None, 0)
+        latest = 0
+        for batch in batches:
+            seen += len(batch)
+            latest = max(latest, int(batch["_ms"].max()))
+            allowed = batch[batch["attempt"] <= MAX_RETRIES + 1]
+            for n, k in zip(allowed["attempt"].tolist(), allowed["kind"]):
+                if k != "transient" and (final_attempt is None or (n, k) < (final_attempt, final_kind)):
+                    final_attempt, final_kind = n, k
+                if last_attempt is None or (n, k) > (last_attempt, last_kind):
+                    last_attempt, last_kind = n, k
+        state.update((final_attempt, final_kind, last_attempt, last_kind, seen))
+        state.setTimeoutTimestamp(max(latest + wait, state.getCurrentWatermarkMs() + 1))
+
+    found = rows.groupBy(*key).applyInPandasWithState(follow, f"{fields}, {_STATE}", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    end = lambda which: F.when(F.col(f"{which}_attempt").isNotNull(), F.struct(
+        F.col(f"{which}_attempt").alias("attempt"), F.col(f"{which}_kind").alias("kind"))).alias(f"_{which}")
+    return retry_outcomes(found.select(*key, "attempts_seen", end("final"), end("last")), key)
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]

@@ -139,3 +139,29 @@ def test_a_batch_writes_the_groups_it_touched_only(spark, tmp_path):
     written = spark.read.parquet(folder).groupBy("batch").agg(F.collect_set(F.coalesce("g", F.lit("-"))).alias("g")).collect()
     touched = [sorted({r[0] or "-" for r in rows}) for rows in files]
     assert sorted(sorted(r["g"]) for r in written) == sorted(touched)
+
+
+def test_ended_runs_are_told_once_and_forgotten(spark, tmp_path):
+    schema = "k long, attempt int, success boolean, error string, ts timestamp"
+    at = lambda minute: START + dt.timedelta(minutes=minute)
+    batches = [[(1, 1, False, "Rate limit", at(0)), (2, 1, False, "SSO session has expired", at(1)), (3, 1, False, "Rate limit", at(1))],
+               [(1, 2, True, None, at(3)), (3, 2, False, "Rate limit", at(4))],
+               [(4, 1, True, None, at(60))],
+               [(5, 1, False, "bad input", at(61))],
+               [(1, 3, True, None, at(5))],  # run 1 has been told by now
+               [(None, None, None, None, at(200))]]
+    path = str(tmp_path / "in")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    dropped, left = [], []
+    stream = retries.ended_runs(replay.file_stream(spark, path, spark.createDataFrame([], schema).schema, 1), ["k"], "ts", "10 minutes")
+    query = (stream.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out"))
+             .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    for progress_ in query.recentProgress:
+        for op in progress_["stateOperators"]:
+            dropped.append(op["numRowsDroppedByWatermark"])
+            left.append(op["numRowsTotal"])
+    got = sorted(tuple(r) for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, 2, "success", 1, 30), (2, 1, "auth", 0, 0), (3, 2, "pending", 1, 30), (4, 1, "success", 0, 0), (5, 1, "other", 0, 0)], got
+    assert sum(dropped) == 1 and left[-1] == 0
