@@ -70,13 +70,25 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns in one struct `_row`, so that no name of theirs meets an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
+def row_columns(docs: DataFrame, replaced: dict[str, Column] | None = None) -> list[Column]:
+    """The columns out of `_row` as `docs` has them, some replaced; those that `docs` doesn't have come last."""
+    replaced = replaced or {}
+    own = [replaced.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns]
+    return own + [value.alias(c) for c, value in replaced.items() if c not in docs.columns]
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, mark: Column) -> DataFrame:
-    """The rows of `docs` whose (id, mark) is in `kept` (`_k_id` a struct of the id, `_k_mark`), one row of each.
+    """The rows of `docs` whose (id, mark) is in `kept` (`_k_id` a struct of the id, `_k_mark`), one row of each; columns of any name.
 
     Rows are matched by what they hold, not by their place in a scan, so a lost task can be run again anywhere.
     The join and the numbering share one shuffle.
     """
     first = Window.partitionBy("_k_id", "_k_mark").orderBy(F.lit(1))
-    return (docs.withColumns({"_k_id": F.struct(F.col(id_col).alias("id")), "_k_mark": mark})
+    return (docs.select(F.struct(F.col(id_col).alias("id")).alias("_k_id"), mark.alias("_k_mark"), whole_row(docs))
             .join(kept, ["_k_id", "_k_mark"], "left_semi").withColumn("_k_n", F.row_number().over(first))
-            .where("_k_n = 1").drop("_k_id", "_k_mark", "_k_n"))
+            .where("_k_n = 1").select(*row_columns(docs)))

@@ -83,6 +83,13 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def of_length_one(vectors: np.ndarray) -> np.ndarray:
+    """Rows over their length. They are first scaled by a power of two, which is exact, so that no square leaves the range of doubles."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))
+    scaled = np.ldexp(vectors, -exponent)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 def met(home: np.ndarray, probed: np.ndarray) -> np.ndarray:
     return (home[:, None] == probed).any(axis=1)
 
@@ -91,7 +98,7 @@ def cell_links(table: int, bucket: int, vectors: np.ndarray, codes: np.ndarray,
                cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (indices) of a cell that are linked and meet here first; one and two are the blocks' rows, equal in a block's own cell."""
     # Lengths and products in double precision: the vectors' own scale is kept out of the comparison.
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = of_length_one(vectors)
     a, b = np.nonzero(unit[one] @ unit[two].T >= cosine)
     a, b = one[a], two[b]
     if one is two:
@@ -186,7 +193,7 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.95, id_col: str = "ve
         for batch in batches:
             for _, g in batch.groupby("dims"):
                 x = np.array(g["vector"].tolist(), "float64")
-                codes = addresses(x / np.linalg.norm(x, axis=1, keepdims=True), tables, hashes, probes, seed)
+                codes = addresses(of_length_one(x), tables, hashes, probes, seed)
                 yield g.assign(codes=list(codes.reshape(len(g), -1)))
 
     kind = classes.schema["vector"].dataType.simpleString()

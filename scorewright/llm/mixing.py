@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import pin
+from .common import row_columns, whole_row
 from .common import WORD
 
 #: Ranges that the whole table is sorted in, for each shuffle partition; a source has its share of them.
@@ -96,13 +97,15 @@ def mix_sources(docs: DataFrame, weights: list[float], share: float = 1.5, id_co
                 source_col: str = "source", **options) -> DataFrame:
     """`docs` as the mix has them: a row per pass, the last one of a source cut at its budget.
 
-    Column `n_chars`, where there is one, follows the text. Documents that take no words are absent.
+    Column `n_chars`, where there is one, follows the text. Documents that take no words are absent. Other columns stay, whatever
+    their names.
     """
     k = ["_k_id", "_k_text", "_k_source"]
     plan = (mix_plan(docs, weights, share, id_col=id_col, text_col=text_col, source_col=source_col, **options)
             .groupBy(F.struct(id_col).alias("_k_id"), F.col("text_hash").alias("_k_text"), F.struct("source").alias("_k_source"))
             .agg(F.max("size").alias("_size"), F.sum("taken").alias("_taken"), F.count("*").alias("_same")))
-    keyed = docs.withColumns({"_k_id": F.struct(id_col), "_k_text": F.xxhash64(text_col), "_k_source": F.struct(source_col)})
+    keyed = docs.select(F.struct(id_col).alias("_k_id"), F.xxhash64(text_col).alias("_k_text"), F.struct(source_col).alias("_k_source"),
+                        whole_row(docs))
     nth = Window.partitionBy(*k).orderBy(F.lit(1))
     rows = keyed.join(plan.where("_taken > 0"), k)
     # Of rows that repeat each other the first ones are served first.
@@ -113,8 +116,9 @@ def mix_sources(docs: DataFrame, weights: list[float], share: float = 1.5, id_co
     passes = F.sequence(F.lit(1), F.ceil(F.col("_mine") / F.col("_size")))
     rows = rows.withColumn("_pass", F.explode(passes))
     left = F.least(F.col("_size"), F.col("_mine") - (F.col("_pass") - 1) * F.col("_size"))
-    rows = rows.withColumn(text_col, F.when(left < F.col("_size"), first_words(F.col(text_col), left.cast("int")))
-                           .otherwise(F.col(text_col)))
+    text = F.col("_row").getField(text_col)
+    rows = rows.withColumn("_text", F.when(left < F.col("_size"), first_words(text, left.cast("int"))).otherwise(text))
+    replaced = {text_col: F.col("_text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length(text_col).cast("bigint"))
-    return rows.select(*docs.columns)
+        replaced["n_chars"] = F.length("_text").cast("bigint")
+    return rows.select(*row_columns(docs, replaced))

@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import row_columns, whole_row
+
 SENTENCES, WORDS = 3, 20
 #: Up to a sentence's end before white space, or a line's end.
 SENTENCE = re.compile(r"""[^.!?。！？\n]*(?:[.!?。！？]+(?:["')\]”’]*(?:\s+|\Z)|(?=\S))|\n\s*|\Z)""")
@@ -147,7 +149,7 @@ def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WOR
 
     The first occurrence is the one with the smallest id (null first), then by a hash of its text and by place; within a document
     too only the first stays. A null text stays null with counts of 0; a text wholly repeated becomes empty. Rows that
-    repeat both id and text are one document and have the same result. All rows stay.
+    repeat both id and text are one document and have the same result. All rows stay, and other columns, whatever their names.
     """
     spans = (repeated_spans(docs, sentences, words, id_col, text_col)
              .groupBy(F.struct(F.col("_id").alias("id")).alias("_k_id"), F.col("mark").alias("_k_mark"))
@@ -159,7 +161,7 @@ def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WOR
                 for t, f in zip(texts, found)]
         return pd.DataFrame(rows, columns=["text", "total", "lost"])
 
-    rows = docs.withColumns({"_k_id": F.struct(F.col(id_col).alias("id")), "_k_mark": F.xxhash64(text_col)})
-    return (rows.join(spans, ["_k_id", "_k_mark"], "left").withColumn("_clean", clean(text_col, "_spans"))
-            .withColumns({text_col: F.col("_clean.text"), "n_sentences": F.col("_clean.total"), "n_removed": F.col("_clean.lost")})
-            .drop("_k_id", "_k_mark", "_spans", "_clean"))
+    rows = docs.select(F.struct(F.col(id_col).alias("id")).alias("_k_id"), F.xxhash64(text_col).alias("_k_mark"), whole_row(docs))
+    cleaned = rows.join(spans, ["_k_id", "_k_mark"], "left").withColumn("_clean", clean(F.col("_row").getField(text_col), "_spans"))
+    return cleaned.select(*row_columns(docs, {
+        text_col: F.col("_clean.text"), "n_sentences": F.col("_clean.total"), "n_removed": F.col("_clean.lost")}))

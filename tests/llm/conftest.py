@@ -12,7 +12,8 @@ def docs(spark):
         if extra:
             from pyspark.sql import functions as F
             for name in ("size", "target", "kept", "score", "fp", "mark", "key", "part", "sequence_id", "offset", "_id", "_text", "text_hash",
-                         "n_removed", "component_id", "row_id", "predicted", "host", "rule", "path", "verdict"):
+                         "n_removed", "component_id", "row_id", "predicted", "host", "rule", "path", "verdict", "_taken", "_size", "_same",
+                         "_n", "_mine", "_pass", "_k_id", "_k_text", "_k_mark", "_k_n", "_spans", "_clean", "_row", "a.b"):
                 df = df.withColumn(name, F.lit("x"))
         return df
 

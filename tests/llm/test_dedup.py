@@ -319,3 +319,20 @@ def test_passages_in_other_scripts_are_cut_alike(letters, space):
         first, second = ({r[1:] for r in substring_dedup.runs(space.join([make(rng.randint(3, 60)), passage, make(40)]), 3, 20)} for _ in range(2))
         hit += bool(first & second)
     assert hit >= 48
+
+
+def test_columns_of_any_name_survive(odd):
+    from scorewright.llm import mixing
+
+    names = ["_taken", "_size", "_same", "_n", "_mine", "_pass", "_k_id", "_k_text", "_k_mark", "_k_n", "_spans", "_clean", "_row", "`a.b`"]
+    for out in (exact_dedup.drop_copies(odd), substring_dedup.remove_repeats(odd), mixing.mix_sources(odd, [1.0])):
+        assert [c for c in out.columns if c in odd.columns] == odd.columns
+        rows = out.select(*names).collect()
+        assert rows and all(tuple(r) == ("x",) * len(names) for r in rows)
+
+
+def test_vectors_at_the_ends_of_the_range_of_doubles(spark):
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1e-201]), (4, [0.6, 0.8]), (5, [1e-310, 1e-311]), (6, [1e308, -1e308])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"])
+           for r in embedding_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 4: (2, 1), 3: (1, 3), 5: (1, 3), 6: (0, 6)}
