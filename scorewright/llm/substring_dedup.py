@@ -2,7 +2,7 @@
 
 A text is cut into sentences, and each sentence again at marks of its own content, so that a passage is cut alike
 wherever it stands and however long its neighbours' sentences are. From every such piece on, the shortest run of at
-least `sentences` pieces and `words` words is hashed (96 bits, letters and digits only, lower-cased). Runs are joined
+least `sentences` pieces and `words` words is hashed (95 bits, letters and digits only, lower-cased). Runs are joined
 over all documents: the first occurrence of a run, by document and place, stays, and pieces that any later occurrence
 covers are removed. n_sentences and n_removed count the pieces.
 
@@ -13,11 +13,13 @@ the first of a batch takes part in the global comparison, so a passage that stan
 from __future__ import annotations
 
 import re
-import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +32,7 @@ SENTENCE = re.compile(r"""[^.!?。！？\n]*(?:[.!?。！？]+(?:["')\]”’]*(
 #: Letters of scripts that put no spaces between words; each counts as a word.
 CLOSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
 LETTERS = re.compile(rf"[{CLOSE}]|[^\W_{CLOSE}]+")
+ASCII_LETTERS = re.compile("[a-z0-9]+")
 
 
 def half(seed: int, close: bool) -> str:
@@ -42,12 +45,32 @@ def half(seed: int, close: bool) -> str:
 #: Every sentence is cut after words with certain two letters at their end, their white space and up to three other signs
 #: between; without spaces, after certain two letters. What is cut depends on nothing but those few characters.
 ENDS = [(f"[aeiouAEIOU{half(1, False)}]", f"[lnrtLNRT{half(2, False)}]"), ("[cdklmnrstvCDKLMNRSTV]", "[desyDESY]")]
-MARK = re.compile("|".join([rf"(?<={a}{b}[^\w\s]{{{n}}}\s)" for a, b in ENDS for n in range(4)]
-                                    + [f"(?<=[{half(3, True)}][{half(4, True)}])"]))
-#: Where even those are missing, pieces have this length.
-PIECE = 400
+MARK = re.compile("|".join([rf"{a}{b}[^\w\s]{{0,3}}\s" for a, b in ENDS] + [f"[{half(3, True)}](?=([{half(4, True)}]))"]))
+#: Where there is no mark this far on either side, the least hash of NEAR characters within that distance is one.
+REACH, NEAR = 200, 8
 #: Runs that are handed on at a time.
-SLICE = 100_000
+SLICE = 500_000
+#: Factors of the hashes of a run's words, and their inverses.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+INVERSES = tuple(pow(x, -1, 1 << 64) for x in BASES)
+
+
+def least_marks(part: str) -> list[int]:
+    """Where a part without marks is cut: after characters whose hash is the only least one within REACH of them."""
+    n = len(part)
+    if n <= 2 * REACH:
+        return []
+    codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
+    h = np.zeros(n + 1, "u8")  # of the characters before each place
+    for k in range(NEAR):
+        h[k + 1:] = h[k + 1:] * np.uint64(BASES[0]) + codes[:n - k] * np.uint64(BASES[1])
+    h = (h * np.uint64(BASES[1])) ^ (h >> np.uint64(29))
+    least, width = h, 1  # the least of `width` places from each on
+    while width < REACH:
+        step = min(width, REACH - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    at = np.arange(REACH, n - REACH + 1)
+    return at[(h[at] < least[at - REACH]) & (h[at] < least[at + 1])].tolist() if len(at) else []
 
 
 def cut_sentences(text: str) -> list[str]:
@@ -63,37 +86,47 @@ def cut_sentences(text: str) -> list[str]:
             open_ = piece
             continue
         open_ = ""
-        for k, part in enumerate(MARK.split(piece)):
-            if k and not part.strip():  # white space goes with what is before it
+        at = 0
+        for stop in [x.end(1) if x.lastindex else x.end() for x in MARK.finditer(piece)] + [len(piece)]:
+            part = piece[at:stop]
+            if at and not part.strip():  # white space goes with what is before it
                 out[-1] += part
-                continue
-            out += [part[i:i + PIECE] for i in range(0, len(part), PIECE)]
+            elif len(part) > 2 * REACH:
+                places = [0, *least_marks(part), len(part)]
+                out += [part[i:j] for i, j in zip(places, places[1:])]
+            else:
+                out.append(part)
+            at = stop
     if open_:
         out.append(open_)
     return out
 
 
-def spans_of(sentences: list[str], least: int, words: int) -> Iterator[tuple[int, int, str]]:
-    """(first sentence, sentence after the last, plain words) of every run; sentences without words are passed over."""
-    own = []
-    for i, s in enumerate(sentences):
-        if found := LETTERS.findall(s.lower()):
-            own.append((i, len(found), " ".join(found)))
-    end = total = 0
-    for start in range(len(own)):
-        while end < len(own) and (total < words or end - start < least):
-            total += own[end][1]
-            end += 1
-        if total < words or end - start < least:
-            return
-        yield own[start][0], own[end - 1][0] + 1, " ".join([w for _, _, w in own[start:end]])
-        total -= own[start][1]
-
-
-def runs(text: str, least: int, words: int) -> list[tuple[int, int, int]]:
-    """(first sentence, 64 bits and 32 more of the hash) of every run."""
-    return [(first, *struct.unpack("<qi", xxhash.xxh3_128_digest(body.encode())[:12]))
-            for first, _, body in spans_of(cut_sentences(text), least, words)]
+def spans_of(sentences: list[str], least: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First sentence, sentence after the last and hashes (two columns) of every run; sentences without words are passed over."""
+    found = [(ASCII_LETTERS if s.isascii() else LETTERS).findall(s.lower()) for s in sentences]
+    own = np.array([i for i, f in enumerate(found) if f], "int64")
+    upto = np.concatenate([[0], np.cumsum([len(found[i]) for i in own], dtype="int64")])
+    end = np.maximum(np.arange(len(own)) + least, np.searchsorted(upto, upto[:-1] + words))
+    end = end[end <= len(own)]  # ends never fall, so those are the first ones
+    start = np.arange(len(end))
+    hashes = np.zeros((len(end), 2), "u8")
+    if len(end):
+        marks = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(found)), "u8", int(upto[-1]))
+        for k, (base, back) in enumerate(zip(BASES, INVERSES)):
+            # A polynomial of the words' hashes: what a run adds to the sum before it, divided by the power that it starts with.
+            power = np.cumprod(np.full(len(marks) + 1, base, "u8"))
+            total = np.concatenate([np.zeros(1, "u8"), np.cumsum(marks * power[:-1])])
+            lower = np.cumprod(np.full(len(marks) + 1, back, "u8"))
+            h = (total[upto[end]] - total[upto[start]]) * lower[upto[start]]
+            hashes[:, k] = (h ^ (h >> np.uint64(31))) * np.uint64(BASES[1 - k])
+    return own[start], own[end - 1] + 1, hashes
+
+
+def runs(text: str, least: int, words: int) -> np.ndarray:
+    """First sentence, 64 bits and 31 more of the hash of every run, in three columns."""
+    first, _, hashes = spans_of(cut_sentences(text), least, words)
+    return np.stack([first, hashes[:, 0].view("i8"), (hashes[:, 1] >> np.uint64(33)).view("i8")], axis=1)
 
 
 def without(text: str, starts: set[int], least: int, words: int) -> tuple[str, int, int]:
@@ -102,7 +135,7 @@ def without(text: str, starts: set[int], least: int, words: int) -> tuple[str, i
     if not starts:
         return text, len(own), 0
     gone = np.zeros(len(own) + 1, "int64")
-    for a, b, _ in spans_of(own, least, words):
+    for a, b in zip(*[x.tolist() for x in spans_of(own, least, words)[:2]]):
         if a in starts:
             gone[a] += 1
             gone[b] -= 1
@@ -110,37 +143,68 @@ def without(text: str, starts: set[int], least: int, words: int) -> tuple[str, i
     return "".join(s for s, x in zip(own, lost) if not x), len(own), int(lost.sum())
 
 
+def places(batch: pa.RecordBatch) -> pa.Table:
+    """The documents of a batch in the order of their ids (null first) and marks, each one once."""
+    table = pa.Table.from_batches([batch])
+    table = table.take(pc.sort_indices(table, sort_keys=[("_id", "ascending"), ("mark", "ascending")], null_placement="at_start"))
+    ids = table["_id"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    mark = table["mark"].to_numpy()
+    return table.filter(pa.array((np.diff(ids, prepend=-2) != 0) | (np.diff(mark, prepend=~mark[:1]) != 0)))
+
+
 def span_table(docs: DataFrame, sentences: int, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(_id, mark, first, a, b) of every run. Where an earlier run of its batch is equal, b is null and a is any number."""
+    """bucket, and in arrays _id, mark, first, a, b of every run of it. Where an earlier run of its batch is equal, b is -1 and
+    a is any number. What a run takes is little more than its hash: the arrays go document by document, so ids and marks repeat."""
     kind = docs.schema[id_col].dataType.simpleString()
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def packed(table: pa.Table, which: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+        doc, flat = np.repeat(which, [len(f) for f in found]), np.concatenate(found)
+        mark, first, a, b = table["mark"].to_numpy()[doc], flat[:, 0], flat[:, 1].copy(), flat[:, 2].copy()
+        again = pd.DataFrame({"a": a, "b": b}).duplicated().to_numpy()
+        a[again], b[again] = mark[again] + first[again], -1
+        bucket = a.view("u8") % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        names, starts = np.unique(bucket[order], return_index=True)
+        ends = pa.array(np.append(starts, len(order)), pa.int32())
+        own = [table["_id"].combine_chunks().take(pa.array(doc[order])), mark[order], first[order].astype("i4"), a[order], b[order].astype("i4")]
+        lists = [pa.ListArray.from_arrays(ends, x if isinstance(x, pa.Array) else pa.array(x)) for x in own]
+        return pa.RecordBatch.from_arrays([pa.array(names.astype("i4")), *lists], ["bucket", "_id", "mark", "first", "a", "b"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.drop_duplicates(["_id", "mark"]).sort_values(["_id", "mark"], na_position="first")
-            # An array per text: a batch has some hundred runs a text, and tuples of them would fill the memory.
-            found = [np.array(runs(t, sentences, words), "int64").reshape(-1, 3) for t in batch["_text"]]
-            n = [len(f) for f in found]
-            flat = np.concatenate([np.empty((0, 3), "int64"), *found])
-            del found
-            out = pd.DataFrame({"_id": batch["_id"].repeat(n).array, "mark": batch["mark"].repeat(n).to_numpy(),
-                                "first": flat[:, 0].astype("int32"), "a": flat[:, 1], "b": pd.array(flat[:, 2], "Int32")})
-            again = out.duplicated(["a", "b"])
-            out.loc[again, "a"] = out.loc[again, "mark"] + out.loc[again, "first"]
-            out.loc[again, "b"] = pd.NA
-            for at in range(0, len(out), SLICE):
-                yield out.iloc[at:at + SLICE]
+            if not batch.num_rows:
+                continue
+            table = places(batch)
+            which, found, n = [], [], 0
+            for k, text in enumerate(table["_text"]):
+                own = runs(text.as_py(), sentences, words)
+                if len(own):
+                    which.append(k)
+                    found.append(own)
+                    n += len(own)
+                if n >= SLICE:
+                    yield packed(table, which, found)
+                    which, found, n = [], [], 0
+            if found:
+                yield packed(table, which, found)
 
     return (docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("_text"))
-            .where("_text IS NOT NULL").mapInPandas(find, f"_id {kind}, mark bigint, first int, a bigint, b int"))
+            .where("_text IS NOT NULL")
+            .mapInArrow(find, f"bucket int, _id array<{kind}>, mark array<bigint>, first array<int>, a array<bigint>, b array<int>"))
 
 
 def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
-    """(_id, mark, first): where the runs begin that have occurred before; mark is a hash of the document's text."""
+    """(_id, mark, first): where the runs begin that have occurred before; mark is a hash of the document's text.
+
+    Null texts and texts without a whole run have none, nor has an empty table; a null id is the first of all.
+    """
     place = F.struct("_id", "mark", "first")
-    origin = F.min(place).over(Window.partitionBy("a", "b"))
-    return (span_table(docs, sentences, words, id_col, text_col).withColumn("origin", origin)
-            .where(F.col("b").isNull() | (place != F.col("origin"))).select("_id", "mark", "first"))
+    origin = F.min(place).over(Window.partitionBy("bucket", "a", "b"))  # lies within the bucket, so nothing is dealt out again
+    return (span_table(docs, sentences, words, id_col, text_col).repartition("bucket")
+            .select("bucket", F.inline(F.arrays_zip("_id", "mark", "first", "a", "b"))).withColumn("origin", origin)
+            .where((F.col("b") < 0) | (place != F.col("origin"))).select("_id", "mark", "first"))
 
 
 def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, id_col: str = "doc_id",

@@ -188,6 +188,44 @@ def test_repeated_passages_go_and_the_rest_stays(docs):
         assert got[i]["n_removed"] == (7 if i % 3 == 0 and i else 0)
 
 
+def plain_cut(text):
+    """Sentences of plain prose, cut again where a word ends in one of the pairs of letters: character by character."""
+    out, own = [], ""
+    for k, c in enumerate(text):
+        own += c
+        bare = own[:-1].rstrip(".,")[-2:]
+        pair = len(bare) == 2 and (bare[0] in "aeiou" and bare[1] in "lnrt" or bare[0] in "cdklmnrstv" and bare[1] in "desy")
+        if c == " " and text[k + 1:k + 2] != " " and (text[k - 1] == "." or pair):
+            out.append(own)
+            own = ""
+    return out + [own] * bool(own)
+
+
+def plain_spans(own, least, words):
+    """The shortest run from every piece with words on, as its words."""
+    worded = [k for k, s in enumerate(own) if any(c.isalnum() for c in s)]
+    for n, first in enumerate(worded):
+        for m in range(n + least, len(worded) + 1):
+            body = " ".join(" ".join(own[k] for k in worded[n:m]).replace(".", " ").lower().split())
+            if len(body.split()) >= words:
+                yield first, worded[m - 1] + 1, body
+                break
+
+
+def test_stretches_without_marks_are_cut_by_their_content():
+    rng = random.Random(14)
+    shared = " ".join(f"w{rng.randrange(10**6)}" for _ in range(600))
+    for plain in (shared, shared.replace(" ", ""), "日" * 5000, "a" * 5000):
+        cuts = []
+        for before, after in (("", ""), ("some other words z9 " * 17, " and z8" * 90)):
+            t = before + plain + after
+            own = substring_dedup.cut_sentences(t)
+            assert "".join(own) == t
+            ends = np.cumsum([len(s) for s in own]) - len(before)
+            cuts.append({int(e) for e in ends if 500 < e < len(plain) - 500})
+        assert cuts[0] == cuts[1] and (bool(cuts[0]) == (len(set(plain)) > 1))
+
+
 def test_repeats_match_a_plain_version_on_odd_rows(odd, docs):
     rng = random.Random(7)
     pool = prose(rng, 9)
@@ -196,8 +234,8 @@ def test_repeats_match_a_plain_version_on_odd_rows(odd, docs):
     rows = [r for k, r in enumerate(rows) if k == 0 or rows[k - 1][0] != r[0]]
     seen, want = set(), {}
     for i, t in rows:
-        own, gone = substring_dedup.cut_sentences(t), set()
-        for first, end, body in substring_dedup.spans_of(own, 3, 20):
+        own, gone = plain_cut(t), set()
+        for first, end, body in plain_spans(own, 3, 20):
             gone |= set(range(first, end)) if body in seen else set()
             seen.add(body)
         want[i] = ("".join(s for k, s in enumerate(own) if k not in gone), len(own), len(gone))
@@ -264,6 +302,10 @@ def test_rotation_is_orthonormal():
     assert np.allclose(embedding_dedup.hadamard(embedding_dedup.hadamard(x)), x)
 
 
+def hashes_of(text):
+    return [tuple(r[1:]) for r in substring_dedup.runs(text, 3, 20).tolist()]
+
+
 def test_passages_between_other_words_are_caught(spark):
     """Passages of over 50 words of the sample texts, put between any two words of other texts."""
     rng = random.Random(10)
@@ -277,7 +319,7 @@ def test_passages_between_other_words_are_caught(spark):
         for h in hosts:
             p = rng.randrange(len(h))
             made.append(" ".join([*h[:p], *source[at:at + 55], *h[p:]]))
-        first, second = ({r[1:] for r in substring_dedup.runs(t, 3, 20)} for t in made)
+        first, second = (set(hashes_of(t)) for t in made)
         caught += bool(first & second)
     assert caught > 185
 
@@ -296,11 +338,11 @@ def test_planted_passages_go_whole_whatever_stands_beside_them():
         for h in (rng.choice(texts), rng.choice(texts)):
             p = rng.randrange(1, len(h))
             made.append((" ".join(h[:p]) + " ", " ".join(passage), " " + " ".join(h[p:])))
-        first = {r[1:] for r in substring_dedup.runs("".join(made[0]), 3, 20)}
+        first = set(hashes_of("".join(made[0])))
         text, (before, own, _) = "".join(made[1]), made[1]
-        starts = {r[0] for r in substring_dedup.runs(text, 3, 20) if r[1:] in first}
+        starts = {at for (at, *_), h in zip(substring_dedup.runs(text, 3, 20).tolist(), hashes_of(text)) if h in first}
         pieces, lost = substring_dedup.cut_sentences(text), set()
-        for a, b, _ in substring_dedup.spans_of(pieces, 3, 20):
+        for a, b in zip(*substring_dedup.spans_of(pieces, 3, 20)[:2]):
             lost |= set(range(a, b)) if a in starts else set()
         found += bool(starts)
         ends = np.cumsum([len(s) for s in pieces])
@@ -316,7 +358,7 @@ def test_passages_in_other_scripts_are_cut_alike(letters, space):
     hit = 0
     for _ in range(50):
         passage = make(80)
-        first, second = ({r[1:] for r in substring_dedup.runs(space.join([make(rng.randint(3, 60)), passage, make(40)]), 3, 20)} for _ in range(2))
+        first, second = (set(hashes_of(space.join([make(rng.randint(3, 60)), passage, make(40)]))) for _ in range(2))
         hit += bool(first & second)
     assert hit >= 48
 
