@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,7 @@ def half(seed: int, close: bool) -> str:
 #: between; without spaces, after certain two letters. What is cut depends on nothing but those few characters.
 ENDS = [(f"[aeiouAEIOU{half(1, False)}]", f"[lnrtLNRT{half(2, False)}]"), ("[cdklmnrstvCDKLMNRSTV]", "[desyDESY]")]
 MARK = re.compile("|".join([rf"{a}{b}[^\w\s]{{0,3}}\s" for a, b in ENDS] + [f"[{half(3, True)}](?=([{half(4, True)}]))"]))
+ASCII_MARK = re.compile(r"(?:[aeiouAEIOU][lnrtLNRT]|[cdklmnrstvCDKLMNRSTV][desyDESY])[^\w\s]{0,3}\s", re.ASCII)
 #: Where there is no mark this far on either side, the least hash of NEAR characters within that distance is one.
 REACH, NEAR = 200, 8
 #: Runs that are handed on at a time.
@@ -55,6 +57,15 @@ BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 INVERSES = tuple(pow(x, -1, 1 << 64) for x in BASES)
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """base to the 0 .. n - 1, modulo 2 ** 64."""
+    return np.cumprod(np.concatenate([np.ones(1, "u8"), np.full(n - 1, base, "u8")]))
+
+
+#: Those that all but very long texts need.
+POWERS = {base: powers(base, 1 << 14) for base in BASES + INVERSES}
+
+
 def least_marks(part: str) -> list[int]:
     """Where a part without marks is cut: after characters whose hash is the only least one within REACH of them."""
     n = len(part)
@@ -86,47 +97,63 @@ def cut_sentences(text: str) -> list[str]:
             open_ = piece
             continue
         open_ = ""
+        if piece.isascii():
+            stops = [x.end() for x in ASCII_MARK.finditer(piece)]
+        else:
+            stops = [x.end(1) if x.lastindex else x.end() for x in MARK.finditer(piece)]
+        while stops and not piece[stops[-1]:].strip():  # white space goes with what is before it
+            stops.pop()
         at = 0
-        for stop in [x.end(1) if x.lastindex else x.end() for x in MARK.finditer(piece)] + [len(piece)]:
-            part = piece[at:stop]
-            if at and not part.strip():  # white space goes with what is before it
-                out[-1] += part
-            elif len(part) > 2 * REACH:
-                places = [0, *least_marks(part), len(part)]
-                out += [part[i:j] for i, j in zip(places, places[1:])]
+        for stop in [*stops, len(piece)]:
+            if stop - at > 2 * REACH:
+                places = [0, *least_marks(piece[at:stop]), stop - at]
+                out += [piece[at + i:at + j] for i, j in zip(places, places[1:])]
             else:
-                out.append(part)
+                out.append(piece[at:stop])
             at = stop
     if open_:
         out.append(open_)
     return out
 
 
-def spans_of(sentences: list[str], least: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sentence, sentence after the last and hashes (two columns) of every run; sentences without words are passed over."""
+class Worded(NamedTuple):
+    words: list[list[str]]  # of each sentence, lower-cased
+    own: np.ndarray         # the sentences that have words
+    upto: np.ndarray        # words before each of those, and of all
+    end: np.ndarray         # for each that begins a run, its number among them: the one after the last
+
+
+def worded(sentences: list[str], least: int, words: int) -> Worded:
+    """The shortest run from every sentence on; sentences without words are passed over."""
     found = [(ASCII_LETTERS if s.isascii() else LETTERS).findall(s.lower()) for s in sentences]
-    own = np.array([i for i, f in enumerate(found) if f], "int64")
-    upto = np.concatenate([[0], np.cumsum([len(found[i]) for i in own], dtype="int64")])
+    counts = np.fromiter(map(len, found), "int64", len(found))
+    own = np.flatnonzero(counts)
+    upto = np.concatenate([[0], np.cumsum(counts[own])])
     end = np.maximum(np.arange(len(own)) + least, np.searchsorted(upto, upto[:-1] + words))
-    end = end[end <= len(own)]  # ends never fall, so those are the first ones
-    start = np.arange(len(end))
-    hashes = np.zeros((len(end), 2), "u8")
-    if len(end):
-        marks = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(found)), "u8", int(upto[-1]))
-        for k, (base, back) in enumerate(zip(BASES, INVERSES)):
-            # A polynomial of the words' hashes: what a run adds to the sum before it, divided by the power that it starts with.
-            power = np.cumprod(np.full(len(marks) + 1, base, "u8"))
-            total = np.concatenate([np.zeros(1, "u8"), np.cumsum(marks * power[:-1])])
-            lower = np.cumprod(np.full(len(marks) + 1, back, "u8"))
-            h = (total[upto[end]] - total[upto[start]]) * lower[upto[start]]
-            hashes[:, k] = (h ^ (h >> np.uint64(31))) * np.uint64(BASES[1 - k])
-    return own[start], own[end - 1] + 1, hashes
+    return Worded(found, own, upto, end[end <= len(own)])  # ends never fall, so those are the first ones
+
+
+def spans_of(sentences: list[str], least: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First sentence and sentence after the last of every run."""
+    _, own, _, end = worded(sentences, least, words)
+    return own[:len(end)], own[end - 1] + 1
 
 
 def runs(text: str, least: int, words: int) -> np.ndarray:
     """First sentence, 64 bits and 31 more of the hash of every run, in three columns."""
-    first, _, hashes = spans_of(cut_sentences(text), least, words)
-    return np.stack([first, hashes[:, 0].view("i8"), (hashes[:, 1] >> np.uint64(33)).view("i8")], axis=1)
+    found, own, upto, end = worded(cut_sentences(text), least, words)
+    out = np.zeros((len(end), 3), "int64")
+    out[:, 0] = own[:len(end)]
+    if len(end):
+        marks = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(found)), "u8", int(upto[-1]))
+        first, last = upto[:len(end)], upto[end]
+        for k in range(2):
+            base, back = (POWERS[x] if len(marks) <= len(POWERS[x]) else powers(x, len(marks)) for x in (BASES[k], INVERSES[k]))
+            # A polynomial of the words' hashes: what a run adds to the sum before it, divided by the power that it starts with.
+            total = np.concatenate([np.zeros(1, "u8"), np.cumsum(marks * base[:len(marks)])])
+            h = (total[last] - total[first]) * back[first]
+            out[:, 1 + k] = ((h ^ (h >> np.uint64(31))) * np.uint64(BASES[1 - k]) >> np.uint64(33 * k)).view("i8")
+    return out
 
 
 def without(text: str, starts: set[int], least: int, words: int) -> tuple[str, int, int]:
@@ -135,7 +162,7 @@ def without(text: str, starts: set[int], least: int, words: int) -> tuple[str, i
     if not starts:
         return text, len(own), 0
     gone = np.zeros(len(own) + 1, "int64")
-    for a, b in zip(*[x.tolist() for x in spans_of(own, least, words)[:2]]):
+    for a, b in zip(*[x.tolist() for x in spans_of(own, least, words)]):
         if a in starts:
             gone[a] += 1
             gone[b] -= 1
@@ -152,11 +179,10 @@ def places(batch: pa.RecordBatch) -> pa.Table:
     return table.filter(pa.array((np.diff(ids, prepend=-2) != 0) | (np.diff(mark, prepend=~mark[:1]) != 0)))
 
 
-def span_table(docs: DataFrame, sentences: int, words: int, id_col: str, text_col: str) -> DataFrame:
+def span_table(docs: DataFrame, sentences: int, words: int, buckets: int, id_col: str, text_col: str) -> DataFrame:
     """bucket, and in arrays _id, mark, first, a, b of every run of it. Where an earlier run of its batch is equal, b is -1 and
     a is any number. What a run takes is little more than its hash: the arrays go document by document, so ids and marks repeat."""
     kind = docs.schema[id_col].dataType.simpleString()
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def packed(table: pa.Table, which: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
         doc, flat = np.repeat(which, [len(f) for f in found]), np.concatenate(found)
@@ -200,11 +226,13 @@ def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WOR
 
     Null texts and texts without a whole run have none, nor has an empty table; a null id is the first of all.
     """
-    place = F.struct("_id", "mark", "first")
-    origin = F.min(place).over(Window.partitionBy("bucket", "a", "b"))  # lies within the bucket, so nothing is dealt out again
-    return (span_table(docs, sentences, words, id_col, text_col).repartition("bucket")
-            .select("bucket", F.inline(F.arrays_zip("_id", "mark", "first", "a", "b"))).withColumn("origin", origin)
-            .where((F.col("b") < 0) | (place != F.col("origin"))).select("_id", "mark", "first"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = (span_table(docs, sentences, words, buckets, id_col, text_col).repartitionById(buckets, "bucket")
+            .select("bucket", F.inline(F.arrays_zip("_id", "mark", "first", "a", "b")))
+            .select("bucket", "a", "b", F.struct("_id", "mark", "first").alias("place")))
+    # Equal runs lie in one bucket, so nothing is dealt out again; a comes first, by which Spark sorts quickest.
+    origin = F.min("place").over(Window.partitionBy("a", "b", "bucket"))
+    return rows.withColumn("origin", origin).where("b < 0 OR place <> origin").select("place.*")
 
 
 def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, id_col: str = "doc_id",
