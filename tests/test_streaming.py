@@ -84,6 +84,38 @@ def test_ingest_takes_each_run_once_and_survives_a_restart(spark, tmp_path):
     assert sorted((r.model, r.run_number) for r in second.collect()) == [("m", 1), ("m", 2), ("m", 4), ("other", 3)]
 
 
+def test_ingest_reads_only_folders_that_hold_a_key(spark, tmp_path, monkeypatch):
+    folder, table = tmp_path / "in", str(tmp_path / "table")
+    folder.mkdir()
+    read = []
+    places = ingest.known_places
+    monkeypatch.setattr(ingest, "known_places", lambda *a: read.append(places(*a)) or read[-1])
+    keys = ["model", "run_number"]
+    for n, numbers in enumerate([range(40), range(40, 80), range(80, 120), [7], [7, 50, 200]]):
+        (folder / f"run-{n}.json").write_text("\n".join(record(k) for k in numbers) + "\n")
+        out = ingest.ingest_stream(ingest.record_stream(spark, str(folder), files_per_batch=1), keys, table)
+    assert sorted(r.run_number for r in out.collect()) == [*range(120), 200]
+    # Two batches of new keys read no folder, the others one for each repeated key.
+    at = {r.run_number: (r.batch, r.bucket) for r in out.collect()}
+    assert read == [[], [], [at[7]], sorted([at[7], at[50]])]
+
+
+def test_ingest_of_a_batch_that_broke_off(spark, tmp_path):
+    """Rows were written but the batch was not committed: it runs again and gives the same table and index."""
+    folder, table = tmp_path / "in", tmp_path / "table"
+    folder.mkdir()
+    stream = lambda: ingest.record_stream(spark, str(folder), files_per_batch=1)
+    (folder / "run-0.json").write_text(record(1) + "\n")
+    ingest.ingest_stream(stream(), ["model", "run_number"], str(table))
+    (folder / "run-1.json").write_text("\n".join([record(1), record(2)]) + "\n")
+    ingest.ingest_stream(stream(), ["model", "run_number"], str(table))
+    for done in (tmp_path / "table-checkpoint" / "commits").glob("*1*"):
+        done.rename(tmp_path / f"not-committed{done.suffix}-{done.name.strip('.')}")
+    out = ingest.ingest_stream(stream(), ["model", "run_number"], str(table))
+    assert sorted((r.run_number, r.batch) for r in out.collect()) == [(1, 0), (2, 1)]
+    assert spark.read.schema(ingest.INDEX).parquet(f"{table}-index").count() == 2
+
+
 def test_repeats_within_the_watermark(spark, tmp_path):
     stream = files(spark, tmp_path, [event(1, 1), event(1, 2)], [event(1, 3), event(2, 4)])
     out = replay.appended(ingest.within_watermark(stream, ["event_id"], "ts", "10 minutes"), "dedup")
