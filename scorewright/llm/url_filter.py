@@ -7,7 +7,7 @@ Keys and rules are sorted together; the sweep carries the rules that were open a
 stack, outermost first), and a key closes those that do not cover it. The innermost left is the longest
 rule for that suffix; the longest over a url's suffixes wins.
 
-Repeated urls are swept once. Ranges of keys are swept side by side: each begins with the stack of the
+Repeated urls are swept once, and so is a suffix that many hosts share. Ranges of keys are swept side by side: each begins with the stack of the
 last rule start before it. Everything is DataFrame operations.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import pin
 from .common import LOWER, UPPER, range_bucket
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -96,16 +97,19 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     parsed = (pages.drop("host", "path", "rule", "verdict")
               .withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))}))
-    probes = (parsed.select("host", "path").distinct()
-              .withColumn("labels", reversed_labels(F.col("host")))
-              .select("host", "path", F.explode(F.transform(
-                  F.sequence(F.lit(1), F.size("labels")), lambda n: F.slice("labels", F.lit(1), n))).alias("labels"))
-              .select("host", "path", F.array_join(F.reverse("labels"), ".").alias("suffix"),
-                      key_of(F.col("labels"), F.col("path")).alias("key")))
+    suffixed = (parsed.select("host", "path").distinct()
+                .withColumn("labels", reversed_labels(F.col("host")))
+                .select("host", "path", F.explode(F.transform(
+                    F.sequence(F.lit(1), F.size("labels")), lambda n: F.slice("labels", F.lit(1), n))).alias("labels"))
+                .select("host", "path", "labels", F.array_join(F.reverse("labels"), ".").alias("suffix")))
+    # All hosts below one suffix meet a rule alike: each (suffix, path) is swept once, however many hosts there are.
+    probes = suffixed.select("suffix", "path", key_of(F.col("labels"), F.col("path")).alias("key")).distinct()
     open_rules = F.filter("stack", lambda s: (s["r_host"] == F.col("suffix")) & F.startswith(F.col("path"), s["r_path"]))
-    swept = sweep(probes, rule_stacks(rules), ranges).select("host", "path", F.try_element_at(open_rules, F.lit(-1)).alias("r"))
+    # Written out: few suffixes have a rule, and by its size Spark plans the join back to their hosts.
+    swept = pin(sweep(probes, rule_stacks(rules), ranges).select("suffix", "path", F.try_element_at(open_rules, F.lit(-1)).alias("r"))
+                .where("r IS NOT NULL"), "swept")
     text = F.concat("r.r_host", "r.r_path")
-    best = (swept.where("r IS NOT NULL").groupBy("host", "path")
+    best = (suffixed.select("host", "suffix", "path").join(swept, ["suffix", "path"]).groupBy("host", "path")
             .agg(F.max(F.struct(F.length(text), F.length("r.r_host"), text.alias("rule"), F.col("r.r_verdict").alias("verdict"))).alias("best"))
             .select("host", "path", "best.rule", F.col("best.verdict").alias("verdict")))
     return (parsed.join(best, ["host", "path"], "left")

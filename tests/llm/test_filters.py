@@ -41,6 +41,17 @@ def test_urls_match_plain_rules(spark, rules, ranges):
     assert url_filter.judge_urls(pages.limit(0), url_filter.rule_frame(spark, rules), ranges=ranges).count() == 0
 
 
+def test_a_suffix_of_many_hosts_is_swept_once(spark, monkeypatch):
+    swept = []
+    sweep = url_filter.sweep
+    monkeypatch.setattr(url_filter, "sweep", lambda probes, *a: swept.append(probes) or sweep(probes, *a))
+    pages = spark.range(3000).selectExpr("id AS page_id", "concat('http://h', id % 1000, '.com/') AS url")
+    rules = [("com", "/", "allow"), ("h7.com", "", "block")]
+    got = url_filter.judge_urls(pages, url_filter.rule_frame(spark, rules), ranges=4).groupBy("rule", "verdict").count().collect()
+    assert sorted(map(tuple, got)) == [("com/", "allow", 2997), ("h7.com", "block", 3)]
+    assert swept[0].where("suffix = 'com'").count() == 1 and swept[0].count() == 1001
+
+
 # --- personal data ------------------------------------------------------------------------------------------------------
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+",
