@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import labels
-from ..session import pin, scratch
+from ..session import pin, scratch, spread
 from .replay import drain
 
 # Retries of a transient failure, and the first delay in seconds.
@@ -18,21 +16,32 @@ MAX_RETRIES = 3
 BASE_DELAY = 30
 
 
+#: The kinds of an attempt in the order of their names; none comes before them.
+_KINDS = ["auth", "deterministic", "other", "success", "transient"]
+
+
 def retry_parts(attempts: DataFrame, key: list[str], attempt: str = "attempt", success: str = "success",
-                error: str = "error") -> DataFrame:
-    """What is to be known of each run's attempts; the parts of several tables of attempts can be merged."""
+                error: str = "error", within: list[Column] | None = None) -> DataFrame:
+    """What is to be known of each run's attempts; the parts of several tables of attempts can be merged.
+
+    An attempt and its kind travel as one number, attempt first, which sorts as the two do and is aggregated without a sort.
+    `within` are further group columns.
+    """
     kind = F.when(F.col(success), "success").otherwise(labels.error_class(error))
     allowed = F.col(attempt) <= MAX_RETRIES + 1
-    row = F.struct(F.col(attempt).alias("attempt"), kind.alias("kind"))
-    return attempts.groupBy(*key).agg(
+    place = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in _KINDS]), kind), F.lit(0))
+    row = F.shiftleft(F.col(attempt).cast("bigint"), 3) + place
+    return attempts.groupBy(*key, *(within or [])).agg(
         F.min(F.when(allowed & (kind != "transient"), row)).alias("_final"), F.max(F.when(allowed, row)).alias("_last"),
         F.count("*").alias("attempts_seen"))
 
 
-def retry_outcomes(parts: DataFrame, key: list[str]) -> DataFrame:
+def retry_outcomes(parts: DataFrame, key: list[str], numbers: str = "int") -> DataFrame:
+    """The outcome that the parts of a run give; `numbers` is the type of an attempt's number."""
     end = F.coalesce("_final", "_last")
-    retries = end["attempt"] - 1
-    outcome = F.when(end["kind"] == "transient", F.when(end["attempt"] > MAX_RETRIES, "exhausted").otherwise("pending")).otherwise(end["kind"])
+    kind = F.get(F.array(F.lit(None).cast("string"), *[F.lit(k) for k in _KINDS]), end.bitwiseAND(F.lit(7)).cast("int"))
+    retries = F.shiftright(end, 3).cast(numbers) - 1
+    outcome = F.when(kind == "transient", F.when(retries >= MAX_RETRIES, "exhausted").otherwise("pending")).otherwise(kind)
     return parts.select(*key, "attempts_seen", outcome.alias("outcome"), retries.alias("retries"),
                         (F.lit(BASE_DELAY) * (F.pow(F.lit(2.0), retries) - 1)).cast("bigint").alias("total_delay"))
 
@@ -43,7 +52,7 @@ def retry_chain(attempts: DataFrame, key: list[str], attempt: str = "attempt", s
 
     A transient failure is tried again at most MAX_RETRIES times with doubling delays.
     """
-    return retry_outcomes(retry_parts(attempts, key, attempt, success, error), key)
+    return retry_outcomes(retry_parts(attempts, key, attempt, success, error), key, attempts.schema[attempt].dataType.simpleString())
 
 
 def retry_table(attempts: DataFrame, key: list[str], out: str | None = None, **columns: str) -> DataFrame:
@@ -59,9 +68,9 @@ def retry_table(attempts: DataFrame, key: list[str], out: str | None = None, **c
         retry_parts(batch, key, **columns).write.mode("overwrite").parquet(f"{out}/parts/batch={batch_id}")
 
     drain(attempts, "append", handle, f"{out}/checkpoint")
-    merged = spark.read.parquet(f"{out}/parts").groupBy(*key).agg(
+    merged = spread(spark.read.parquet(f"{out}/parts"), *key).groupBy(*key).agg(
         F.min("_final").alias("_final"), F.max("_last").alias("_last"), F.sum("attempts_seen").alias("attempts_seen"))
-    return retry_outcomes(merged, key)
+    return retry_outcomes(merged, key, attempts.schema[columns.get("attempt", "attempt")].dataType.simpleString())
 
 
 def auth_aborts(attempts: DataFrame, group: list[str], order: str, error: str = "error") -> DataFrame:
@@ -78,49 +87,16 @@ def auth_aborts(attempts: DataFrame, group: list[str], order: str, error: str =
                  F.coalesce(F.sum(F.when(F.col(order) > F.col("aborted_at"), F.col("n"))), F.lit(0)).alias("aborted")))
 
 
-#: What is held of a run until it has ended: the parts of `retry_parts`.
-_STATE = "final_attempt int, final_kind string, last_attempt int, last_kind string, attempts_seen bigint"
-
-
 def ended_runs(attempts: DataFrame, key: list[str], ts: str, delay: str, attempt: str = "attempt", success: str = "success",
                error: str = "error") -> DataFrame:
     """A stream of `retry_chain`: each run once, when no attempt has come for `delay`, which is then forgotten.
 
-    `delay` must exceed the longest wait between two attempts and how late one may arrive. A timer in event time ends a run, so the
-    state holds runs of the last `delay` only. Attempts that come after the watermark are not read any more; Spark counts
-    them as rows dropped by the watermark. A row with a null key only moves the time on, which a source without news may send.
+    `delay` must exceed the longest wait between two attempts and how late one may arrive. A run is a session that ends `delay` after
+    its last attempt, so the state holds the parts of runs of the last `delay` only. Attempts that come when their session would
+    have ended are not read any more; Spark counts them as rows dropped by the watermark. A row with a null key only moves the
+    time on, which a source without news may send: its session has no length, and Spark passes such sessions over.
     """
-    kind = F.when(F.col(success), "success").otherwise(labels.error_class(error))
-    rows = attempts.withWatermark(ts, delay).select(*key, F.col(attempt).cast("int").alias("attempt"), kind.alias("kind"), ts, F.unix_millis(ts).alias("_ms"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in key)
-    wait = int(pd.Timedelta(delay).total_seconds() * 1000)
-
-    def follow(names: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            yield pd.DataFrame([[*names, *state.get]], columns=[*key, *_columns(_STATE)])
-            state.remove()
-            return
-        if any(pd.isna(n) for n in names):
-            return
-        final_attempt, final_kind, last_attempt, last_kind, seen = state.get if state.exists else (None, None, None, None, 0)
-        latest = 0
-        for batch in batches:
-            seen += len(batch)
-            latest = max(latest, int(batch["_ms"].max()))
-            allowed = batch[batch["attempt"] <= MAX_RETRIES + 1]
-            for n, k in zip(allowed["attempt"].tolist(), allowed["kind"]):
-                if k != "transient" and (final_attempt is None or (n, k) < (final_attempt, final_kind)):
-                    final_attempt, final_kind = n, k
-                if last_attempt is None or (n, k) > (last_attempt, last_kind):
-                    last_attempt, last_kind = n, k
-        state.update((final_attempt, final_kind, last_attempt, last_kind, seen))
-        state.setTimeoutTimestamp(max(latest + wait, state.getCurrentWatermarkMs() + 1))
-
-    found = rows.groupBy(*key).applyInPandasWithState(follow, f"{fields}, {_STATE}", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    end = lambda which: F.when(F.col(f"{which}_attempt").isNotNull(), F.struct(
-        F.col(f"{which}_attempt").alias("attempt"), F.col(f"{which}_kind").alias("kind"))).alias(f"_{which}")
-    return retry_outcomes(found.select(*key, "attempts_seen", end("final"), end("last")), key)
-
-
-def _columns(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.split(", ")]
+    unnamed = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
+    open_ = F.session_window(ts, F.when(unnamed, "0 seconds").otherwise(delay)).alias("_open")
+    rows = attempts.withWatermark(ts, delay).withColumn(attempt, F.col(attempt).cast("int"))
+    return retry_outcomes(retry_parts(rows, key, attempt, success, error, [open_]), key)

@@ -197,3 +197,24 @@ def test_ended_runs_are_told_once_and_forgotten(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect())
     assert got == [(1, 2, "success", 1, 30), (2, 1, "auth", 0, 0), (3, 2, "pending", 1, 30), (4, 1, "success", 0, 0), (5, 1, "other", 0, 0)], got
     assert sum(dropped) == 1 and left[-1] == 0
+
+
+def test_ended_runs_of_many_runs_need_no_python(spark, tmp_path):
+    rows = [(k, a, a == 3 and k % 2 == 0, "SSO session has expired" if k % 5 == 0 and a > 1 else "Rate limit", START + dt.timedelta(seconds=k % 600 + 30 * a))
+            for k in range(20_000) for a in range(1, 2 + k % 6)]
+    schema = "k long, attempt int, success boolean, error string, ts timestamp"
+    df, path = spark.createDataFrame(rows, schema), str(tmp_path / "in")
+    for part in (df.where("attempt < 3"), df.where("attempt >= 3"), spark.createDataFrame([(None, None, None, None, START + dt.timedelta(days=3))], schema)):
+        part.coalesce(2).write.mode("append").parquet(path)
+    stream = retries.ended_runs(replay.file_stream(spark, path, df.schema, 2), ["k"], "ts", "1 day")
+    assert "Pandas" not in stream._jdf.queryExecution().analyzed().toString()
+    assert sorted(replay.appended(stream, "many").collect()) == sorted(retries.retry_chain(df, ["k"]).collect())
+
+
+def test_kinds_are_those_of_the_error_classes():
+    """They travel as places in a list, which must be sorted and whole."""
+    from scorewright.functions import labels
+
+    named = str(labels.error_class("error"))
+    assert retries._KINDS == sorted(retries._KINDS) and "success" in retries._KINDS
+    assert all(k in named for k in retries._KINDS if k != "success")
