@@ -218,3 +218,22 @@ def test_kinds_are_those_of_the_error_classes():
     named = str(labels.error_class("error"))
     assert retries._KINDS == sorted(retries._KINDS) and "success" in retries._KINDS
     assert all(k in named for k in retries._KINDS if k != "success")
+
+
+def test_attempts_are_joined_and_grouped_in_more_parts(spark):
+    from scorewright.plans import streaming_queries
+    from scorewright.plans.bindings import Tables
+
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = streaming_queries._attempts(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    repartitions = [line for line in plan.splitlines() if "RepartitionByExpression" in line]
+    assert len(repartitions) == 2 and all(f", {parts}" in line for line in repartitions)
+
+
+def test_parts_of_retries_are_merged_in_more_parts(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1, False, None), (1, 2, False, "529"), (2, 1, True, None)], "k int, attempt int, success boolean, error string")
+    df.write.parquet(str(tmp_path / "in"))
+    table = retries.retry_table(replay.file_stream(spark, str(tmp_path / "in"), df.schema), ["k"])
+    assert "RepartitionByExpression" in table._jdf.queryExecution().optimizedPlan().toString()
+    # A failure without a message has no kind and ends the run if nothing else does.
+    assert sorted(map(tuple, table.collect())) == [(1, 2, "pending", 1, 30), (2, 1, "success", 0, 0)] == sorted(map(tuple, retries.retry_chain(df, ["k"]).collect()))
