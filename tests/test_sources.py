@@ -164,3 +164,27 @@ def test_sums_beside_the_store(spark, tmp_path):
         assert r["v_mean"] == pytest.approx(statistics.mean(v)) and r["v_stdev"] == pytest.approx(statistics.stdev(v))
     manifest = sinks.read_manifest(spark, path).first()
     assert tuple(manifest) == (["m", "n"], ["p", "q"], ["t", "u"], len(now))
+
+
+def test_record_files_are_packed(spark):
+    import pathlib
+
+    import __spark_entry__ as entry
+
+    base = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    for name, folder in (("scan_parallel_runs", "parallel"), ("scan_storage_runs", "storage"), ("incremental_ingest", "arrivals")):
+        before = set(base.glob(f"{folder}-*"))
+        assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+        (fresh,) = set(base.glob(f"{folder}-*")) - before
+        parts = list(fresh.rglob("part-*"))
+        assert parts and all(p.name.endswith(".gz") for p in parts)
+
+
+def test_scores_need_not_travel_with_a_run(spark):
+    raw = spark.createDataFrame([("m", '{"composite": 1.5, "other": "2"}'), ("n", None)], "model string, scores string")
+    raw = raw.select(*[(F.col(f.name) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+                       for f in spark.createDataFrame([], schemas.RUN_RECORD).schema], F.lit("f").alias("source_file"))
+    fields, whole = src.parallel_fields(raw), src.parse_parallel(raw)
+    assert not any(f.dataType.typeName() == "map" for f in fields.schema)
+    assert whole.columns == src.with_scores(fields.dropDuplicates(["model"])).columns
+    assert {r["model"]: r["scores"] for r in whole.collect()} == {"m": {"composite": 1.5, "other": 2.0}, "n": {}}
