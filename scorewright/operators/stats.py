@@ -294,9 +294,10 @@ def compare_run_sets(run_scores: DataFrame, entity: str, keys: list[str], dim: s
     values without a bound on their number need `splits`, which pairs the counts instead.
     """
     if chosen is not None:
-        # Histograms of other run sets are of no use to any pair.
+        # Histograms of other run sets are of no use to any pair. The names are written, so that Spark knows how few they are: it
+        # would else deal out the scores by run set, one task a set.
         sides_of = [c for c in chosen.columns if c in (entity, f"{entity}_a", f"{entity}_b")]
-        wanted = chosen.select(F.explode(F.array(*sides_of)).alias(entity)).distinct()
+        wanted = pin(chosen.select(F.explode(F.array(*sides_of)).alias(entity)).distinct(), "chosen")
         run_scores = run_scores.join(wanted, entity, "left_semi")
     hist = pin(histogram(run_scores, [*keys, dim, entity], value), "histogram")
     sides = [*keys, dim, f"{entity}_a", f"{entity}_b"]

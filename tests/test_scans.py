@@ -33,3 +33,13 @@ def test_runs_are_read_once(spark, monkeypatch, name, column):
     # Tables that the query wrote itself hold running sums beside the rows.
     reads = [line for p in plans for line in p.splitlines() if "Relation [" in line and column in line and "_t_" not in line]
     assert len(reads) == 1, "\n".join(reads)
+
+
+def test_scores_are_not_dealt_out_by_run_set(spark, monkeypatch):
+    from scorewright.operators import stats
+
+    plans, real = {}, stats.pin
+    monkeypatch.setattr(stats, "pin", lambda df, name="pin": plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or real(df, name))
+    entry.queries()["compare_chosen_run_sets"](spark, SF)
+    assert "SortMergeJoin" not in "".join(line for line in plans["histogram"].splitlines() if "LeftSemi" in line)
+    assert "LeftSemi" in plans["histogram"]
