@@ -80,13 +80,13 @@ def macro_mean(runs: DataFrame, outer: list[str], inner: list[str], dims: list[s
     return means.groupBy(*outer, *(sums or {}), "dimension").agg(F.avg("mean").alias("macro_mean"), F.count("*").alias("groups"))
 
 
-def grid_mean(runs: DataFrame, axes: list[str], dims: list[str], fill: float | None = 0.0) -> DataFrame:
+def grid_mean(runs: DataFrame, axes: list[str], dims: list[str], fill: float | None = 0.0, summed: bool = False) -> DataFrame:
     """Mean per cell of the full grid of axis values and dimensions; cells without runs get `fill`.
 
     The grid is spanned from the distinct values of each axis of the aggregated cells, which are
-    the names of models and profiles, not runs.
+    the names of models and profiles, not runs. `summed` tells that `runs` are cells of `reshape.cell_sums`.
     """
-    cells = reshape.agg_dims(runs, axes, dims, {"value": F.avg}).drop("n")
+    cells = reshape.agg_dims(runs, axes, dims, {"value": F.try_divide if summed else F.avg}, summed=summed).drop("n")
     if fill is None:
         return cells
     cells = pin(cells, "grid")
@@ -100,11 +100,15 @@ def grid_mean(runs: DataFrame, axes: list[str], dims: list[str], fill: float | N
         "value", F.coalesce("value", F.lit(float(fill))))
 
 
-def quality(runs: DataFrame, by: list[str], score: str = "quality", tokens: str = "token_count") -> DataFrame:
-    """Mean run quality (0 without any scored run) beside the tokens of all runs, failed ones included."""
+def quality(runs: DataFrame, by: list[str], score: str = "quality", tokens: str = "token_count", summed: bool = False) -> DataFrame:
+    """Mean run quality (0 without any scored run) beside the tokens of all runs, failed ones included.
+
+    `summed` tells that `runs` are cells of `reshape.cell_sums`.
+    """
+    scored = F.sum(f"`{score}.n`") if summed else F.count(score)
     return runs.groupBy(*by).agg(
-        F.coalesce(F.avg(score), F.lit(0.0)).alias("quality"),
-        F.count(score).alias("scored_runs"),
+        F.coalesce(F.try_divide(F.sum(score), scored) if summed else F.avg(score), F.lit(0.0)).alias("quality"),
+        scored.alias("scored_runs"),
         F.coalesce(F.sum(tokens), F.lit(0)).alias("total_tokens"))
 
 

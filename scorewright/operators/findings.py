@@ -154,15 +154,15 @@ def comparison_findings(comparisons: DataFrame, quality: DataFrame, by: list[str
     return head.unionByName(per_dim).unionByName(token_findings(quality, by, entity, tokens))
 
 
-def radar_series(runs: DataFrame, dims: list[str]) -> DataFrame:
-    """Value per model, profile and dimension; cells without runs are 0."""
-    grid = aggregates.grid_mean(runs, ["model", "profile"], dims)
+def radar_series(runs: DataFrame, dims: list[str], summed: bool = False) -> DataFrame:
+    """Value per model, profile and dimension; cells without runs are 0. For `summed` see `aggregates.grid_mean`."""
+    grid = aggregates.grid_mean(runs, ["model", "profile"], dims, summed=summed)
     return grid.select("model", "profile", labels.dimension_label("dimension").alias("axis"), "value")
 
 
-def bar_series(runs: DataFrame, dims: list[str]) -> DataFrame:
-    """Value per dimension, profile and task; cells without runs are 0."""
-    return aggregates.grid_mean(runs, ["profile", "task"], dims).select("dimension", "profile", "task", "value")
+def bar_series(runs: DataFrame, dims: list[str], summed: bool = False) -> DataFrame:
+    """Value per dimension, profile and task; cells without runs are 0. For `summed` see `aggregates.grid_mean`."""
+    return aggregates.grid_mean(runs, ["profile", "task"], dims, summed=summed).select("dimension", "profile", "task", "value")
 
 
 def scatter_series(quality: DataFrame, entity: str, by: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..functions.numeric import round_to
 from ..operators import aggregates, findings, joins, ranking, reshape, stats
+from ..session import pin
 from .aggregating_queries import r
 from .bindings import BASELINE, DIMS, LONG_CTE, QUALITY_CTE, RUNS_CTE, SCORED_CTE
 from .registry import query, rnd
@@ -92,11 +93,12 @@ SELECT 'radar' AS chart, profile AS series, model || '/' || {_LABEL} AS point, {
 UNION ALL SELECT 'bar', profile, dimension || '/' || task, {rnd('avg(score)', 4)}, NULL FROM run_scores GROUP BY profile, dimension, task
 UNION ALL SELECT 'scatter', profile, CAST(tk AS VARCHAR), v, v > coalesce(before, -1) FROM f""")
 def chart_series(t):
-    radar = findings.radar_series(t.scored, DIMS).select(
+    cells = pin(reshape.cell_sums(t.quality, ["model", "profile", "task"], [*DIMS, "quality"], ["token_count"]), "cells")
+    radar = findings.radar_series(cells, DIMS, summed=True).select(
         F.lit("radar").alias("chart"), F.col("profile").alias("series"), F.concat_ws("/", "model", "axis").alias("point"), r("value"), F.lit(None).cast("boolean").alias("on_frontier"))
-    bar = findings.bar_series(t.scored, DIMS).select(
+    bar = findings.bar_series(cells, DIMS, summed=True).select(
         F.lit("bar").alias("chart"), F.col("profile").alias("series"), F.concat_ws("/", "dimension", "task").alias("point"), r("value"), F.lit(None).cast("boolean").alias("on_frontier"))
-    q = aggregates.quality(t.quality, ["profile"]).withColumn("quality", round_to("quality", 4))
+    q = aggregates.quality(cells, ["profile"], summed=True).withColumn("quality", round_to("quality", 4))
     scatter = findings.scatter_series(q, "profile").select(
         F.lit("scatter").alias("chart"), F.col("profile").alias("series"), F.col("total_tokens").cast("string").alias("point"), F.col("quality").alias("value"), "on_frontier")
     return radar.unionByName(bar).unionByName(scatter)

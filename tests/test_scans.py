@@ -35,6 +35,10 @@ def test_runs_are_read_once(spark, monkeypatch, name, column):
     assert len(reads) == 1, "\n".join(reads)
 
 
+def test_charts_are_drawn_from_one_reading(spark, monkeypatch):
+    test_runs_are_read_once(spark, monkeypatch, "chart_series", "l_orderkey")
+
+
 def test_scores_are_not_dealt_out_by_run_set(spark, monkeypatch):
     from scorewright.operators import stats
 
