@@ -3,7 +3,7 @@
 1. toxicity: documents predicted to be toxic go.
 2. exact_dedup: of texts equal but for the case of A-Z, the row with the largest id stays.
 3. simhash_near_dedup: of documents linked by five-word shingles with a Jaccard similarity of 0.8 or more, the one with the
-   smallest id stays.
+   smallest id stays. Candidates come from SimHash fingerprints of these shingles; an exact search adds what they miss.
 4. source_mixing: sources are brought to their target weights; a document may come once per pass, and the one at which
    a source's budget ends is cut there.
 5. best_fit_packing: what is left is tokenised and packed.

@@ -1,10 +1,12 @@
-"""Near-dedup by the Jaccard similarity of word shingles, without loss.
+"""Near-dedup by SimHash, verified by the Jaccard similarity of word shingles and completed without loss.
 
 Documents are linked if their sets of shingles have a similarity of at least `similarity`, and links are followed to
-components. Two sets of n and m shingles can be so similar only if they share one of the first n - ceil(similarity n) + 1
+components. Candidates are sets whose SimHash fingerprints differ in few bits, found by the generalised pigeonhole (`simhash`).
+As fingerprints of similar sets may differ in many bits, sets that share rare shingles are candidates too. Two sets of n and m shingles can be so similar only if they share one of the first n - ceil(similarity n) + 1
 and m - ceil(similarity m) + 1 in whatever order all shingles are put, and the first one they share must leave enough
 after it in both (prefix and position filters). The order puts shingles that are common in a sample last, so that lines
-that many texts share bring few together; any order gives the same result. Candidates are verified on the whole sets.
+that many texts share bring few together; any order gives the same result. Candidates are verified on the whole sets; before,
+a bitmap of each set's hashes bounds what two can share, so the sets of few pairs have to meet.
 
 What shares a shingle is first compared with one of the sharers only; then pairs are formed of those that are not yet in
 one component. A large group of near copies so makes rows in proportion to its size.
@@ -18,13 +20,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import pin
+from . import simhash
 from .common import components, keep_rows
 
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
+#: Bits in which the fingerprints of candidates may differ. No link depends on it.
+RADIUS = 2
+#: Bits of a set's bitmap, as a power of 2.
+BITMAP = 10
 #: Texts whose shingles are counted for the order, and how many common shingles it puts last. Neither changes a result.
 ORDER_ROWS, ORDER_MOST = 20_000, 100_000
 #: Texts that are worked on at a time.
@@ -56,6 +63,13 @@ def prefix(own: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndar
     return np.concatenate([own[~last], own[last][np.argsort(rank[at[last]], kind="stable")]])[:size]
 
 
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """The first bits of each hash of a set, as places in a bitmap."""
+    bits = np.zeros(1 << BITMAP, bool)
+    bits[own.view("u8") >> np.uint64(64 - BITMAP)] = True
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
 def common_shingles(docs: DataFrame, words: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Shingles found in several texts of a sample, sorted, and their ranks from rare to common."""
     share = max(1, docs.count() // ORDER_ROWS)
@@ -74,7 +88,8 @@ def common_shingles(docs: DataFrame, words: int, text_col: str) -> tuple[np.ndar
 
 
 def shingle_prints(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """_id, mark (a hash of the text), node (a hash of the set of shingles), n (its size) and prefix per document."""
+    """_id, mark (a hash of the text), node (a hash of the set of shingles), n (its size), prefix, fp (the set's fingerprint) and
+    bits (its bitmap) per document."""
     kind = docs.schema[id_col].dataType.simpleString()
     common, rank = common_shingles(docs, words, text_col)
 
@@ -85,10 +100,11 @@ def shingle_prints(docs: DataFrame, words: int, similarity: float, id_col: str,
                 sets = [shingle_set(t, words) for t in part["_text"]]
                 yield pd.DataFrame({"_id": part["_id"].array, "mark": part["mark"].array,
                                     "node": np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], "u8").view("i8"),
-                                    "n": [len(s) for s in sets], "prefix": [prefix(s, similarity, common, rank) for s in sets]})
+                                    "n": [len(s) for s in sets], "prefix": [prefix(s, similarity, common, rank) for s in sets],
+                                    "fp": np.array([simhash.majority(s) for s in sets], "i8"), "bits": [bitmap(s) for s in sets]})
 
     return (docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("_text"))
-            .mapInPandas(read, f"_id {kind}, mark bigint, node bigint, n int, prefix array<bigint>"))
+            .mapInPandas(read, f"_id {kind}, mark bigint, node bigint, n int, prefix array<bigint>, fp bigint, bits array<bigint>"))
 
 
 def enough(shared: Column, n: Column, m: Column, similarity: float) -> Column:
@@ -96,33 +112,52 @@ def enough(shared: Column, n: Column, m: Column, similarity: float) -> Column:
     return shared * (1 + similarity) >= (n + m) * similarity - 1e-6
 
 
+def alone(x: Column, y: Column) -> Column:
+    """Bits of x that y has not: at least so many hashes of the one set are not in the other."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
     """The pairs (a, b) of sets that are similar enough."""
     @F.pandas_udf("array<bigint>")
     def of_texts(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, words) for t in texts])
 
-    pairs = pin(pairs.distinct(), "pairs")
+    sketches = prints.select("node", "n", "bits").dropDuplicates(["node"])
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    most = F.least(F.col("n_a") - alone(F.col("bits_a"), F.col("bits_b")), F.col("n_b") - alone(F.col("bits_b"), F.col("bits_a")))
+    pairs = pin(pairs.distinct().join(side("b"), "b").join(side("a"), "a")
+                .where(enough(most, F.col("n_a"), F.col("n_b"), similarity)).select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = pin(prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("_m")), "wanted")
-    found = docs.select(F.xxhash64(text_col).alias("_m"), F.col(text_col).alias("_text")).dropDuplicates(["_m"]).join(texts, "_m")
+    # Joined first, so that only wanted texts travel where their number allows that.
+    found = docs.select(F.xxhash64(text_col).alias("_m"), F.col(text_col).alias("_text")).join(texts, "_m").dropDuplicates(["_m"])
     sets = pin(found.select("node", of_texts("_text").alias("own")), "sets")
     close = enough(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"), similarity)
     return pin(pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("t")), "b")
                .join(sets.select(F.col("node").alias("a"), F.col("own").alias("s")), "a").where(close).select("a", "b"), "links")
 
 
+def fingerprint_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): sets whose fingerprints differ in at most `radius` bits; of equal fingerprints, the smallest set with each other."""
+    values = pin(prints.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    ends = [values.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab"]
+    close = simhash.links(values.select("fp"), radius).join(ends[0], "a").join(ends[1], "b").select("first_a", "first_b")
+    equal = prints.join(values, "fp").where("node <> first").select("first", "node")
+    return close.union(equal).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def shingle_links(docs: DataFrame, prints: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
     """(a, b): links between sets of shingles that give the components of all that are similar enough."""
     rows = prints.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
-    shared = pin(rows.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("h"), "shared")
-    met = pin(rows.join(shared, "h").distinct(), "met")
+    same = Window.partitionBy("h")  # one shuffle for what is shared and who shares it
+    met = pin(rows.withColumns({"lo": F.min("node").over(same), "hi": F.max("node").over(same)}).where("lo < hi").drop("lo", "hi").distinct(), "met")
     after = enough(F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")), F.col("n"), F.col("n2"), similarity)
 
     hubs = pin(met.groupBy("h").agg(F.min(F.struct("node", "n", "pos")).alias("x"))
                .select("h", F.col("x.node").alias("node2"), F.col("x.n").alias("n2"), F.col("x.pos").alias("pos2")), "hubs")
-    some = verified(met.join(hubs, "h").where((F.col("node") > F.col("node2")) & after)
-                    .select(F.col("node2").alias("a"), F.col("node").alias("b")), docs, prints, words, similarity, text_col)
+    hubbed = met.join(hubs, "h").where((F.col("node") > F.col("node2")) & after).select(F.col("node2").alias("a"), F.col("node").alias("b"))
+    some = verified(fingerprint_pairs(prints).unionByName(hubbed), docs, prints, words, similarity, text_col)
 
     roots = pin(components(some), "roots")
     rooted = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

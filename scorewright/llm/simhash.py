@@ -50,7 +50,11 @@ def fingerprint(text: str | None, words: int) -> int:
     k = min(words, len(tokens))
     view, digest = memoryview(joined), xxhash.xxh64_intdigest
     pairs = zip(starts[:len(tokens) - k + 1].tolist(), ends[k - 1:].tolist())
-    hashes = np.array([digest(view[a:b], SEED) for a, b in pairs], "<u8")
+    return majority(np.array([digest(view[a:b], SEED) for a, b in pairs], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the 64-bit hashes, as a signed number."""
     counts = np.zeros(BITS, "int64")
     for at in range(0, len(hashes), SLICE):
         part = hashes[at:at + SLICE].view("u1").reshape(-1, 8)

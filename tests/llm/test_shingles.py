@@ -69,3 +69,40 @@ def test_pipeline_stage_merges_copies_with_changed_words(spark, docs, changed):
         rows.append((k, " ".join(own)))
     got = sorted(r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs(rows), "").collect())
     assert got == sorted(set(plain_components(rows)[1])) == [0]
+
+
+def test_stage_takes_candidates_from_fingerprints(spark, docs, monkeypatch):
+    """SimHash is a step of the stage: sets whose fingerprints are close are verified, and no link depends on the radius."""
+    rng = random.Random(14)
+    rows = near_rows(rng)
+    frame = docs(rows)
+    prints = shingle_dedup.shingle_prints(frame, 5, 0.8, "doc_id", "text").cache()
+    own = {r["node"]: r["fp"] for r in prints.collect()}
+    found = {(r["a"], r["b"]) for r in shingle_dedup.fingerprint_pairs(prints, 3).collect()}
+    close = [(a, b) for a in own for b in own if a < b and bin((own[a] ^ own[b]) & (2 ** 64 - 1)).count("1") <= 3]
+    assert found and found <= set(close)
+    place = {n: k for k, n in enumerate(own)}
+    assert roots(len(own), [(place[a], place[b]) for a, b in found]) == roots(len(own), [(place[a], place[b]) for a, b in close])
+
+    seen = []
+    real = shingle_dedup.fingerprint_pairs
+    monkeypatch.setattr(shingle_dedup, "fingerprint_pairs", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_stage(spark, frame, "").collect())
+    assert len(seen) == 1 and got == sorted(set(plain_components(rows)[1]))
+
+
+def test_bitmaps_bound_what_sets_share(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(15)
+    rows, want = [], []
+    for size in (1, 5, 200, 900, 5000):
+        for kept in (0.0, 0.5, 0.95, 1.0):
+            a = np.unique(rng.integers(-2 ** 63, 2 ** 63, size))
+            b = np.unique(np.concatenate([a[:int(kept * size)], rng.integers(-2 ** 63, 2 ** 63, max(1, size // 10))]))
+            rows.append((len(rows), shingle_dedup.bitmap(a).tolist(), shingle_dedup.bitmap(b).tolist()))
+            want.append((len(a) - len(np.intersect1d(a, b)), int(np.unpackbits((shingle_dedup.bitmap(a) & ~shingle_dedup.bitmap(b)).view("u1")).sum())))
+    df = spark.createDataFrame(rows, "k int, x array<bigint>, y array<bigint>")
+    got = {r["k"]: r["v"] for r in df.select("k", shingle_dedup.alone(F.col("x"), F.col("y")).alias("v")).collect()}
+    assert [got[k] for k in range(len(rows))] == [v for _, v in want] and all(v <= n for n, v in want)
