@@ -30,8 +30,8 @@ from .common import components, keep_rows
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
 #: Bits in which the fingerprints of candidates may differ. No link depends on it.
 RADIUS = 2
-#: Bits of a set's bitmap, as a power of 2.
-BITMAP = 10
+#: Bits of a set's bitmap, as powers of 2: the first one with as many bits as the set has hashes, else the last.
+BITMAPS = (10, 13, 16)
 #: Texts whose shingles are counted for the order, and how many common shingles it puts last. Neither changes a result.
 ORDER_ROWS, ORDER_MOST = 20_000, 100_000
 #: Texts that are worked on at a time.
@@ -65,8 +65,9 @@ def prefix(own: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndar
 
 def bitmap(own: np.ndarray) -> np.ndarray:
     """The first bits of each hash of a set, as places in a bitmap."""
-    bits = np.zeros(1 << BITMAP, bool)
-    bits[own.view("u8") >> np.uint64(64 - BITMAP)] = True
+    k = next((k for k in BITMAPS if len(own) <= 1 << k), BITMAPS[-1])
+    bits = np.zeros(1 << k, bool)
+    bits[own.view("u8") >> np.uint64(64 - k)] = True
     return np.packbits(bits, bitorder="little").view("<i8")
 
 
@@ -113,8 +114,9 @@ def enough(shared: Column, n: Column, m: Column, similarity: float) -> Column:
 
 
 def alone(x: Column, y: Column) -> Column:
-    """Bits of x that y has not: at least so many hashes of the one set are not in the other."""
-    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
+    """Bits of x that y has not: at least so many hashes of the one set are not in the other. Bitmaps of two lengths tell nothing."""
+    lone = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
+    return F.when(F.size(x) == F.size(y), lone).otherwise(0)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
