@@ -8,8 +8,11 @@ after it in both (prefix and position filters). The order puts shingles that are
 that many texts share bring few together; any order gives the same result. Candidates are verified on the whole sets; before,
 a bitmap of each set's hashes bounds what two can share, so the sets of few pairs have to meet.
 
-What shares a shingle is first compared with one of the sharers only; then pairs are formed of those that are not yet in
-one component. A large group of near copies so makes rows in proportion to its size.
+Of shingles with the same sharers only the first is followed. What shares a shingle is first compared with one of the sharers
+only; then those that are not yet in one component are. Few sharers are paired by a join, which makes at most `PAIRED` rows of
+one. More are compared in blocks, bitmap by bitmap, and only pairs that the bitmaps let pass become rows. To tell that sets
+which share shingles are in no two cases similar, each has to be held against each, so these comparisons, unlike the rows, grow
+with the square of what a group leaves unlinked.
 """
 
 from __future__ import annotations
@@ -34,6 +37,10 @@ RADIUS = 2
 BITMAPS = (10, 13, 16)
 #: Texts whose shingles are counted for the order, and how many common shingles it puts last. Neither changes a result.
 ORDER_ROWS, ORDER_MOST = 20_000, 100_000
+#: Most sharers of a shingle that are paired by a join, and about how many of more make a block.
+PAIRED, BLOCK = 8, 512
+#: Words of bitmaps that are compared at a time.
+COMPARED = 1 << 20
 #: Texts that are worked on at a time.
 SLICE = 500
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -149,6 +156,58 @@ def fingerprint_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return close.union(equal).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def block_pairs(rows: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): sets of different roots that share an h and may be similar by its places and by their bitmaps; `rows` has hub, h, node,
+    n, pos and root.
+
+    What shares any h of one hub is compared once. It is dealt into parts of about `BLOCK` sets, and every two parts are compared
+    in a group of their own.
+    """
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        one = rows["i"].iat[0] == rows["j"].iat[0]
+        x, y = (rows[rows["part"] == rows[c]] for c in "ij")
+        (nx, rx, ix), (ny, ry, iy) = ([side[c].to_numpy("int64") for c in ("n", "root", "node")] for side in (x, y))
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": ix[:0], "b": ix[:0]})
+        held = []
+        for side in (x, y):  # the places of each h: (row, pos)
+            h, pos = (np.concatenate(side[c].to_list()) for c in ("h", "pos"))
+            row = np.repeat(np.arange(len(side)), [len(v) for v in side["h"]])
+            order = np.argsort(h, kind="stable")
+            names, starts = np.unique(h[order], return_index=True)
+            held.append(dict(zip(names.tolist(), np.split(np.column_stack([row, pos])[order], starts[1:]))))
+        near = np.zeros((len(x), len(y)), bool)
+        for h in held[0].keys() & held[1].keys():
+            (u, pu), (v, pv) = held[0][h].T, held[1][h].T
+            near[np.ix_(u, v)] |= enough(np.minimum((nx[u] - pu)[:, None], ny[v] - pv), nx[u][:, None], ny[v], similarity)
+        near &= rx[:, None] != ry
+        if one:
+            near &= ix[:, None] < iy
+        width = max(len(b) for b in rows["bits"])
+        (sx, mx), (sy, my) = ((np.array([len(b) for b in side["bits"]]), np.stack([np.pad(b, (0, width - len(b))) for b in side["bits"]]).view("u8"))
+                                for side in (x, y))
+        p, q = np.nonzero(near)
+        keep = [np.zeros(0, bool)]
+        for at in range(0, len(p), step := max(1, COMPARED // width)):
+            u, v = p[at:at + step], q[at:at + step]
+            same = sx[u] == sy[v]
+            shared = np.minimum(nx[u] - same * np.bitwise_count(mx[u] & ~my[v]).sum(axis=1, dtype="int64"),
+                                ny[v] - same * np.bitwise_count(my[v] & ~mx[u]).sum(axis=1, dtype="int64"))
+            keep.append(enough(shared, nx[u], ny[v], similarity))
+        keep = np.concatenate(keep)
+        u, v = ix[p[keep]], iy[q[keep]]
+        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)})
+
+    sets = rows.groupBy("hub", "node", "n", "root").agg(F.collect_list("h").alias("h"), F.collect_list("pos").alias("pos"))
+    sets = pin(sets, "sharers")
+    parts = sets.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    bits = prints.select("node", "bits").join(sets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    dealt = (sets.join(parts, "hub").join(bits, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+             .withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("parts", "other"))
+    return dealt.groupBy("hub", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+
+
 def shingle_links(docs: DataFrame, prints: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
     """(a, b): links between sets of shingles that give the components of all that are similar enough."""
     rows = prints.select("node", "n", F.posexplode("prefix").alias("pos", "h"))
@@ -156,19 +215,24 @@ def shingle_links(docs: DataFrame, prints: DataFrame, words: int, similarity: fl
     met = pin(rows.withColumns({"lo": F.min("node").over(same), "hi": F.max("node").over(same)}).where("lo < hi").drop("lo", "hi").distinct(), "met")
     after = enough(F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")), F.col("n"), F.col("n2"), similarity)
 
-    hubs = pin(met.groupBy("h").agg(F.min(F.struct("node", "n", "pos")).alias("x"))
-               .select("h", F.col("x.node").alias("node2"), F.col("x.n").alias("n2"), F.col("x.pos").alias("pos2")), "hubs")
-    hubbed = met.join(hubs, "h").where((F.col("node") > F.col("node2")) & after).select(F.col("node2").alias("a"), F.col("node").alias("b"))
+    # All prefixes have the same order, so of shingles with the same sharers one comes first in each, and leaves the most after it.
+    hubs = (met.groupBy("h").agg(F.min(F.struct("node", "n", "pos")).alias("x"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("who"))
+            .groupBy("c", "who", F.col("x.node").alias("node2"), F.col("x.n").alias("n2"))
+            .agg(F.min(F.struct(F.col("x.pos").alias("pos"), "h")).alias("y")).select(F.col("y.h").alias("h"), "node2", "n2", F.col("y.pos").alias("pos2")))
+    shared = pin(met.join(hubs, "h"), "shared")
+    hubbed = shared.where((F.col("node") > F.col("node2")) & after).select(F.col("node2").alias("a"), F.col("node").alias("b"))
     some = verified(fingerprint_pairs(prints).unionByName(hubbed), docs, prints, words, similarity, text_col)
 
     roots = pin(components(some), "roots")
-    rooted = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+    rooted = shared.select("h", "node", "n", "pos", F.col("node2").alias("hub")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("h", "c")
     left = pin(rooted.join(several, "h"), "left")
-    first = left.select("h", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "root")])
-    rest = (left.join(first, "h").where((F.col("node") > F.col("node2")) & (F.col("root") != F.col("root2")) & after)
+    few = left.where(F.col("c") <= PAIRED)
+    first = few.select("h", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "root")])
+    rest = (few.join(first, "h").where((F.col("node") > F.col("node2")) & (F.col("root") != F.col("root2")) & after)
             .select(F.col("node2").alias("a"), F.col("node").alias("b")))
-    return some.unionByName(verified(rest.join(some, ["a", "b"], "left_anti"), docs, prints, words, similarity, text_col))
+    rest = rest.unionByName(block_pairs(left.where(F.col("c") > PAIRED), prints, similarity))
+    return some.unionByName(verified(rest, docs, prints, words, similarity, text_col))
 
 
 def shingle_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id",

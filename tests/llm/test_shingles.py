@@ -107,3 +107,36 @@ def test_bitmaps_bound_what_sets_share(spark):
     df = spark.createDataFrame(rows, "k int, x array<bigint>, y array<bigint>")
     got = {r["k"]: r["v"] for r in df.select("k", shingle_dedup.alone(F.col("x"), F.col("y")).alias("v")).collect()}
     assert [got[k] for k in range(len(rows))] == [v for _, v in want] and all(v <= n for n, v in want)
+
+
+def test_blocks_match_brute_force_jaccard(docs, monkeypatch):
+    """Parts of a few sets each, so that most pairs lie in two parts; bitmaps of two lengths."""
+    monkeypatch.setattr(shingle_dedup, "PAIRED", 1)
+    monkeypatch.setattr(shingle_dedup, "BLOCK", 3)
+    monkeypatch.setattr(shingle_dedup, "COMPARED", 64)
+    rng = random.Random(16)
+    base = [f"w{rng.randrange(5000)}" for _ in range(1026)]
+    rows = near_rows(rng)
+    for k in range(12):  # sets around 1,024 shingles
+        own = base[:rng.choice([1026, 1029 - 40])] + [f"y{k}-{j}" for j in range(rng.randint(0, 120))]
+        rows.append((len(rows), " ".join(own)))
+    want = plain_components(rows)[1]
+    assert [r["component_id"] for r in shingle_dedup.shingle_groups(docs(rows).repartition(4)).orderBy("doc_id").collect()] == want
+
+
+def test_unlinked_group_makes_few_pairs(docs, monkeypatch):
+    """Texts of one origin that are each just too different from any other: no row for every two of them."""
+    rng = random.Random(17)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(120):
+        own = list(base)
+        for start in (5, 55, 105):
+            own[start + rng.randrange(40)] = f"x{k}-{start}"
+        rows.append((k, " ".join(own)))
+    given = []
+    real = shingle_dedup.verified
+    monkeypatch.setattr(shingle_dedup, "verified", lambda pairs, *a: given.append(pairs.count()) or real(pairs, *a))
+    got = [r["component_id"] for r in shingle_dedup.shingle_groups(docs(rows)).orderBy("doc_id").collect()]
+    assert got == plain_components(rows)[1]
+    assert sum(given) < 10 * len(rows)
