@@ -237,3 +237,59 @@ def test_parts_of_retries_are_merged_in_more_parts(spark, tmp_path):
     assert "RepartitionByExpression" in table._jdf.queryExecution().optimizedPlan().toString()
     # A failure without a message has no kind and ends the run if nothing else does.
     assert sorted(map(tuple, table.collect())) == [(1, 2, "pending", 1, 30), (2, 1, "success", 0, 0)] == sorted(map(tuple, retries.retry_chain(df, ["k"]).collect()))
+
+
+def _shuffle_files(spark):
+    """Names of the shuffle files that are on disk."""
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName() for f in (found.apply(i) for i in range(found.size())) if f.getName().startswith("shuffle_")}
+
+
+def test_ingest_leaves_no_shuffles_on_disk(spark, tmp_path):
+    import time
+
+    (tmp_path / "in").mkdir()
+    keys = ["model", "run_number"]
+    before, setting = _shuffle_files(spark), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    for n, numbers in enumerate([range(40), range(30, 60)]):
+        (tmp_path / "in" / f"run-{n}.json").write_text("\n".join(record(k) for k in numbers) + "\n")
+    ingest.ingest_stream(ingest.record_stream(spark, str(tmp_path / "in"), files_per_batch=1), keys, str(tmp_path / "table"))
+    for _ in range(50):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
+def test_ingest_takes_a_large_batch_by_its_folders(spark, tmp_path, monkeypatch):
+    """Several slices of a batch give the table of one; each looks up its own folders, and what was staged goes."""
+    (tmp_path / "in").mkdir()
+    keys, asked = ["model", "run_number"], []
+    places = ingest.known_places
+    monkeypatch.setattr(ingest, "known_places", lambda *a: asked.append(a[4]) or places(*a))
+    monkeypatch.setattr(ingest, "SLICE_ROWS", 25)
+    batches = [[*range(60), *range(10)], [*range(40, 110), 5, 5], [3], [], [200, 200, *range(0, 120, 2)]]
+    for n, numbers in enumerate(batches):
+        (tmp_path / "in" / f"run-{n}.json").write_text("".join(record(k) + "\n" for k in numbers) + "{broken\n")
+        out = ingest.ingest_stream(ingest.record_stream(spark, str(tmp_path / "in")), keys, str(tmp_path / "table"))
+    first = {k: next(n for n, b in enumerate(batches) if k in b) for b in batches for k in b}
+    assert sorted((r.run_number, r.batch) for r in out.collect()) == sorted(first.items())
+    assert {len(a) for a in asked} == {8, 16} and all(sorted(a + b) == [*range(16)] for a, b in zip(asked[:2], asked[1:2]))
+    assert spark.read.schema(ingest.INDEX).parquet(str(tmp_path / "table-index")).count() == len(first)
+    assert spark.read.schema("h long").parquet(str(tmp_path / "table-staged")).count() == 0
+
+
+def test_arrivals_make_room_for_the_next(spark):
+    """Each part of the arrivals is in the table before the next is written, and no run is lost or counted twice."""
+    import pathlib
+
+    import __spark_entry__ as entry
+
+    base = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(base.glob("*"))
+    out = entry.queries()["incremental_ingest"](spark, "/root/testdata/sf0.001")
+    total = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct().count()
+    assert sum(r["runs"] for r in out.collect()) == total
+    made = {p.name.split("-")[0]: p for p in set(base.glob("*")) - before if p.name.startswith("arrivals-")}
+    assert 0.4 * total < spark.read.text(f"{made['arrivals']}/part-*").count() < 0.6 * total
